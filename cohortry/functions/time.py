@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .fixed_values import DAYS_PER_YEAR
 
-_MICROS_PER_DAY = 86_400_000_000
-
 
 def calendar_date(col: Column) -> Column:
     """Cut the time of day off a timestamp."""
@@ -28,10 +26,12 @@ def calendar_days(start: Column, end: Column) -> Column:
 def elapsed_days(start: Column, end: Column) -> Column:
     """Whole elapsed days, rounded down: 23:00 to 01:00 is 0, twelve hours back is -1.
 
-    Works on whole microseconds, so the floor is exact next to a day boundary.
+    Works on the interval between the two wall-clock times, so neither the session time
+    zone nor floating point matters.
     """
-    micros = F.timestamp_diff("MICROSECOND", start, end)
-    return ((micros - F.pmod(micros, F.lit(_MICROS_PER_DAY))) / F.lit(_MICROS_PER_DAY)).cast("int")
+    gap = end - start
+    whole = F.extract(F.lit("DAY"), gap)
+    return (whole - F.when(gap < F.make_dt_interval(whole), 1).otherwise(0)).cast("int")
 
 
 def years(days: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import elapsed_days, years
+from ..sources.shared import written
 
 
 def histogram(df: DataFrame, value: Column, bins: int = 10, weight: Column | None = None) -> DataFrame:
@@ -15,33 +16,28 @@ def histogram(df: DataFrame, value: Column, bins: int = 10, weight: Column | Non
     have n = 0. NULL and NaN are left out. A single distinct value gets the range half
     below to half above it, and no values at all the range 0 to 1. `weight` counts
     a row several times, so that equal values can be aggregated beforehand.
+
+    The range is found first, by a job of its own that returns two numbers.
     """
     data = df.select(value.cast("double").alias("v"), (weight if weight is not None else F.lit(1)).alias("w")).filter(
         F.col("v").isNotNull() & ~F.isnan("v")
     )
-    low, high = F.min("v"), F.max("v")
-    widen = F.when(low == high, F.lit(0.5)).otherwise(F.lit(0.0))
-    span = data.agg(
-        F.struct(
-            F.coalesce(low - widen, F.lit(0.0)).alias("lo"), F.coalesce(high + widen, F.lit(1.0)).alias("hi")
-        )
-    ).scalar()
-    lo, hi = F.col("span.lo"), F.col("span.hi")
-    step = (hi - lo) / bins
+    low, high = data.agg(F.min("v"), F.max("v")).first()
+    if low is None:
+        low, high = 0.0, 1.0
+    elif low == high:
+        low, high = low - 0.5, high + 0.5
+    step = (high - low) / bins
 
     def edge(i: Column) -> Column:
-        return F.when(i == bins, hi).otherwise(lo + i * step)
+        return F.when(i == bins, F.lit(high)).otherwise(F.lit(low) + i * F.lit(step))
 
-    b = F.col("bin")
+    v, b = F.col("v"), F.col("bin")
     # the quotient may land next to an edge by rounding; the edges themselves decide
-    guess = F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
-    exact = b - (F.col("v") < edge(b)).cast("int")
-    exact = exact + ((F.col("v") >= edge(b + 1)) & (b != bins - 1)).cast("int")
-    counts = (
-        data.withColumn("span", span).withColumn("bin", guess).withColumn("bin", exact)
-        .groupBy("bin").agg(F.sum("w").alias("n"))
-    )
-    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).withColumn("span", span)
+    guess = F.least(F.floor((v - F.lit(low)) / F.lit(high - low) * bins), F.lit(bins - 1)).cast("int")
+    exact = b - (v < edge(b)).cast("int") + ((v >= edge(b + 1)) & (b != bins - 1)).cast("int")
+    counts = data.withColumn("bin", guess).groupBy(exact.alias("bin")).agg(F.sum("w").alias("n"))
+    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return frame.join(counts, "bin", "left").select(
         "bin", edge(b).alias("lo"), edge(b + 1).alias("hi"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )
@@ -50,13 +46,13 @@ def histogram(df: DataFrame, value: Column, bins: int = 10, weight: Column | Non
 def years_histogram(df: DataFrame, start: Column, end: Column, bins: int = 10) -> DataFrame:
     """Histogram of the elapsed years between two times.
 
-    Gaps are whole days, so rows are counted per day first. The range and the bins then read
-    a table of distinct day counts instead of the data a second time.
+    Gaps are whole days, so the data is read once to count rows per day. Range and bins read
+    the written day counts, one row per distinct gap.
     """
     per_day = df.select(elapsed_days(start, end).alias("days")).dropna().groupBy("days").agg(
         F.count(F.lit(1)).alias("n")
     )
-    return histogram(per_day, years(F.col("days")), bins, F.col("n"))
+    return histogram(written(per_day, "days"), years(F.col("days")), bins, F.col("n"))
 
 
 def age_at(birth: Column, at: Column) -> Column:

@@ -18,7 +18,7 @@ from ..functions.fixed_values import MEDICATION_CATEGORY_PATTERN, TABLET_SUFFIX
 from ..functions.labels import fill_missing
 from ..functions.text import any_like, ascii_brackets, drop_bracket_prefix, strip_text
 from ..sources.shared import use_checkpoints
-from .skew import BroadcastLimit, fits, skew_join
+from .skew import BroadcastLimit, fits, key_profile, skew_join
 
 _RESULT = "standard string, code string"
 
@@ -108,11 +108,14 @@ def walk_by_joins(names: DataFrame, table: DataFrame, suffix: str = TABLET_SUFFI
     moving = names.select(
         "name", F.lit("").alias("node"), F.split(ascii_brackets(F.col("name")), "").alias("rest")
     )
-    settled = []
+    settled = [names.select("name", F.lit("").alias("node")).limit(0)]
     while True:
+        left, hot = key_profile(moving, "node")
+        if left == 0:
+            break
         at = F.array_position(F.transform("rest", lambda ch: F.array_contains("next", ch)), F.lit(True))
         step = (
-            skew_join(moving, follow, "node", "left", spread_by=["name"])
+            skew_join(moving, follow, "node", "left", hot=hot, spread_by=["name"])
             .withColumn("at", F.coalesce(at, F.lit(0)).cast("int"))
             .select(
                 "name",
@@ -126,8 +129,6 @@ def walk_by_joins(names: DataFrame, table: DataFrame, suffix: str = TABLET_SUFFI
         )
         settled.append(step.filter(~F.col("moved")).select("name", "node"))
         moving = step.filter("moved").drop("moved")
-        if moving.isEmpty():
-            break
     reached = reduce(DataFrame.union, settled)
     longer = ends.select(F.col("node").alias("next_node"), F.col("word").alias("next_word"), F.col("code").alias("next_code"))
     # `ends` always has the root as a node when the dictionary is not empty

@@ -81,8 +81,8 @@ def _hashable(left: DataFrame, right: DataFrame, on: list[str]) -> bool:
     return all(a == b and not isinstance(a, (T.FractionalType, T.MapType)) for a, b in kinds)
 
 
-def hot_keys(df: DataFrame, on: str | Sequence[str], max_hot: int = MAX_HOT) -> list[int]:
-    """Hashes of the keys that hold more than 1/max_hot of the rows: at most max_hot numbers.
+def key_profile(df: DataFrame, on: str | Sequence[str], max_hot: int = MAX_HOT) -> tuple[int, list[int]]:
+    """Number of rows, and the hashes of the keys that hold more than 1/max_hot of them.
 
     One job that reads the key columns only. `approx_top_k` merges small sketches, so there
     is no shuffle by key, and its estimate is never below the true count.
@@ -93,7 +93,12 @@ def hot_keys(df: DataFrame, on: str | Sequence[str], max_hot: int = MAX_HOT) ->
         .agg(F.count(F.lit(1)), F.expr(f"approx_top_k({_HASH}, {max_hot}, {_TRACKED})"))
         .first()
     )
-    return [t[0] for t in top or [] if t[1] > 1 and t[1] * max_hot > n]
+    return n, [t[0] for t in top or [] if t[1] > 1 and t[1] * max_hot > n]
+
+
+def hot_keys(df: DataFrame, on: str | Sequence[str], max_hot: int = MAX_HOT) -> list[int]:
+    """Hashes of the hot keys, at most max_hot numbers."""
+    return key_profile(df, on, max_hot)[1]
 
 
 def skew_join(

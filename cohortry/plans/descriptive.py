@@ -17,7 +17,9 @@ from .registry import Tables, query
 
 def _bins_sql(values: str, bins: int = 10) -> str:
     """Histogram of the column `v` of a CTE: edges decide, the last bin is closed."""
-    return f"""b AS (SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / {bins} AS w FROM {values}),
+    return f"""m AS (SELECT coalesce(min(v), 0) AS a, coalesce(max(v), 1) AS z FROM {values}),
+    s AS (SELECT CASE WHEN a = z THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = z THEN z + 0.5 ELSE z END AS hi FROM m),
+    b AS (SELECT lo, hi, (hi - lo) / {bins} AS w FROM s),
     edges AS (SELECT CAST(i AS INTEGER) AS bin, lo + i * w AS lo,
       CASE WHEN i = {bins - 1} THEN hi ELSE lo + (i + 1) * w END AS hi, i = {bins - 1} AS closed
       FROM b, range({bins}) r(i)),
@@ -87,10 +89,10 @@ def category_encode(t):
 @query(
     "text_patterns",
     """SELECT lang, count(*) AS n FROM documents
-    WHERE text LIKE '%tion%ment%' OR text LIKE 'The%' OR text LIKE '%@%.com%' GROUP BY lang""",
+    WHERE text LIKE '%tion%ment%' OR text LIKE 'The%on%on.' OR text LIKE '%@%.com%' GROUP BY lang""",
 )
 def text_patterns(t):
-    hit = any_like(F.col("text"), ["%tion%ment%", "The%", "%@%.com%"])
+    hit = any_like(F.col("text"), ["%tion%ment%", "The%on%on.", "%@%.com%"])
     return t.documents.filter(hit).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -20,7 +20,7 @@ INDEX, OUTCOME, EXCLUDED = ("%sign%up%",), ("%err%: 9%", "%purch%: 5%"), ("%sign
 
 EVENTS_SQL = """v AS (
   SELECT event_id AS eid, CASE WHEN event_id % 2 = 0 THEN 'out' ELSE 'in' END AS source,
-         user_id AS person, user_id % 100 AS master, event_type || ' ' || props AS txt,
+         user_id AS person, user_id // 2 AS master, event_type || ' ' || props AS txt,
          CASE WHEN event_id % 41 <> 0 THEN ts END AS ts,
          CASE WHEN user_id % 23 <> 0 THEN TIMESTAMP '1960-03-01' + to_days(CAST(user_id * 97 AS INTEGER)) END AS birthday
   FROM events)"""
@@ -33,7 +33,7 @@ def events(t: Tables) -> Events:
         eid.alias("eid"),
         F.when(eid % 2 == 0, F.lit("out")).otherwise(F.lit("in")).alias("source"),
         user.alias("person"),
-        (user % 100).alias("master"),
+        F.floor(user / 2).alias("master"),
         F.concat_ws(" ", "event_type", "props").alias("txt"),
         F.when(eid % 41 != 0, F.col("ts")).alias("ts"),
         F.when(user % 23 != 0, born).alias("birthday"),
@@ -91,7 +91,7 @@ CHARGES_SQL = """charges AS (
          CASE WHEN l_linenumber <> 7 THEN l_shipdate END AS charge_time
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 EXPOSED_SQL = f"""{CODES_SQL}, {CHARGES_SQL}, exposed AS (
-  SELECT CAST(c_custkey % 1000 AS BIGINT) AS master, charge_time, item, code, source
+  SELECT c_custkey // 2 AS master, charge_time, item, code, source
   FROM codes JOIN charges ON p_name = item JOIN orders ON reg_id = o_orderkey
        JOIN customer ON o_custkey = c_custkey
   WHERE code LIKE 'C%')"""
@@ -122,7 +122,7 @@ def persons(t: Tables) -> DataFrame:
     return t.customer.select(
         F.col("c_custkey").alias("person_id"),
         F.col("c_name").alias("MASTER_INDEX"),
-        (F.col("c_custkey") % 1000).cast("string").alias("MASTER_INDEX2"),
+        F.floor(F.col("c_custkey") / 2).cast("string").alias("MASTER_INDEX2"),
         F.col("c_mktsegment").alias("segment"),
     )
 
@@ -133,7 +133,7 @@ DIAGNOSES_SQL = """diag AS (
          CASE WHEN l_linenumber <> 7 THEN l_shipdate END AS diag_time,
          l_linenumber, l_partkey, l_suppkey
   FROM lineitem),
-pers AS (SELECT c_custkey AS person_id, CAST(c_custkey % 1000 AS BIGINT) AS MASTER_INDEX, c_mktsegment AS segment FROM customer)"""
+pers AS (SELECT c_custkey AS person_id, c_custkey // 2 AS MASTER_INDEX, c_mktsegment AS segment FROM customer)"""
 
 
 def diagnoses(t: Tables) -> DataFrame:
