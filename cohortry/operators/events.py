@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,18 +33,22 @@ class EventColumns:
 
 @dataclass(frozen=True)
 class Events:
-    """Events of all sources in one frame that has a source column."""
+    """Events of all sources in one frame that has a source column.
+
+    `reduced` says that the frame holds at most one event per record and source already.
+    """
 
     frame: DataFrame
     sources: tuple[str, ...]
     columns: EventColumns = field(default_factory=EventColumns)
+    reduced: bool = False
 
     @classmethod
     def of(cls, sources: Mapping[str, DataFrame], columns: EventColumns = EventColumns()) -> "Events":
         return cls(union_sources(sources, columns.source), tuple(sources), columns)
 
     def where(self, condition: Column) -> "Events":
-        return Events(self.frame.filter(condition), self.sources, self.columns)
+        return replace(self, frame=self.frame.filter(condition))
 
     def matching(self, patterns: Iterable[str], ignore_case: bool = False) -> "Events":
         return self.where(any_like(F.col(self.columns.text), patterns, ignore_case))
@@ -77,6 +81,11 @@ def rows_at_extreme(
     return skew_join(df, extreme, [*keys, time], hot=hot, spread_by=spread_by).select(*df.columns)
 
 
+def _check_null_times(null_times: str) -> None:
+    if null_times not in ("first", "drop"):
+        raise ValueError("null_times is 'first' or 'drop'")
+
+
 def _extreme_per_source(events: Events, key: str, how: str, null_times: str) -> DataFrame:
     """One row per key with an array: the earliest (latest) event of each source.
 
@@ -86,8 +95,9 @@ def _extreme_per_source(events: Events, key: str, how: str, null_times: str) ->
     events of its source. `null_times='drop'` removes such events beforehand.
     """
     c = events.columns
-    if null_times not in ("first", "drop"):
-        raise ValueError("null_times is 'first' or 'drop'")
+    _check_null_times(null_times)
+    if events.reduced and null_times == "drop":
+        raise ValueError("events are reduced already: give null_times to milestones")
     frame = events.frame.filter(F.col(c.person).isNotNull())
     if null_times == "drop":
         frame = frame.filter(F.col(c.time).isNotNull())
@@ -132,8 +142,7 @@ def first_occurrence(
         return kept.select(*[_field(n, c.person) for n in columns])
     if per == "record":
         # one row per record and source is left: no sketch, adaptive execution can split
-        found = _exploded(_extreme_per_source(events, c.record, "min", null_times), c.record, columns)
-        return rows_at_extreme(found, c.person, c.time, "min", hot=())
+        return rows_at_extreme(_per_record(events, "min", null_times), c.person, c.time, "min", hot=())
     raise ValueError("per is 'person' or 'record'")
 
 
@@ -146,10 +155,17 @@ def _exploded(found: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return found.select("__key", F.explode("__events").alias("e")).select(*[_field(n, key) for n in columns])
 
 
+def _per_record(events: Events, how: str, null_times: str = "first") -> DataFrame:
+    """The earliest (latest) dated event of each record and source."""
+    c = events.columns
+    if events.reduced:
+        return events.frame.dropna(subset=[c.person, c.time])
+    return _exploded(_extreme_per_source(events, c.record, how, null_times), c.record, events.frame.columns)
+
+
 def latest_per_record(events: Events) -> DataFrame:
     """The latest dated event of each record and source."""
-    record = events.columns.record
-    return _exploded(_extreme_per_source(events, record, "max", "first"), record, events.frame.columns)
+    return _per_record(events, "max")
 
 
 def last_contact(events: Events, keys: DataFrame | None = None) -> DataFrame:
@@ -159,35 +175,44 @@ def last_contact(events: Events, keys: DataFrame | None = None) -> DataFrame:
     reduced to one row per record and source, so raw events are never shuffled for it.
     """
     c = events.columns
-    lean = Events(events.frame.select(c.person, c.record, c.time, c.text, c.source, *c.order), events.sources, c)
-    latest = latest_per_record(lean).select(c.person, c.time, c.text)
+    lean = events.frame.select(c.person, c.record, c.time, c.text, c.source, *c.order)
+    latest = latest_per_record(replace(events, frame=lean)).select(c.person, c.time, c.text)
     if keys is not None:
         latest = latest.join(keys.select(c.person).distinct(), c.person, "left_semi")
     return rows_at_extreme(latest, c.person, c.time, "max", hot=()).distinct()
 
 
-def milestones(events: Events, kinds: Mapping[str, Column | None], latest: Iterable[str] = ()) -> dict[str, Events]:
+def milestones(
+    events: Events,
+    kinds: Mapping[str, Column | None],
+    latest: Iterable[str] = (),
+    null_times: str = "first",
+) -> dict[str, Events]:
     """Reduce events to the few that a cohort needs, in one scan and one shuffle.
 
     `kinds` maps a name to the condition of its events (None: every event). Of each
     record, source and kind the earliest event stays, or the latest for names in `latest`.
     first_occurrence, last_contact and keys_matching give the same on a part as on all
-    events of that kind.
+    events of that kind. `null_times` has the meaning it has in first_occurrence.
 
     The result is written to the shared folder, partitioned by kind, since every part is read
     several times; a lost executor then costs a read of the small table, not a new scan.
     """
     c, latest = events.columns, list(latest)
+    _check_null_times(null_times)
     kind = F.col("__kind")
     tags = F.array(*[F.lit(k) if when is None else F.when(when, F.lit(k)) for k, when in kinds.items()])
-    tagged = events.frame.filter(F.col(c.person).isNotNull()).withColumn("__kind", F.explode(F.array_compact(tags)))
+    tagged = events.frame.dropna(subset=[c.person]).withColumn("__kind", F.explode(F.array_compact(tags)))
     row = F.struct(*[F.col(f"`{n}`") for n in events.frame.columns])
+    # an event without a time still names an excluded person, so it is ranked, not removed
+    undated = F.lit(null_times == "drop") & F.col(c.time).isNull()
     rank = F.struct(*[F.col(f"`{n}`") for n in (c.time, *c.order)])
+    first = F.struct(undated.alias("undated"), rank.alias("rank"))
     # each row counts for one of the two picks only
-    early, late = F.min_by(row, F.when(~kind.isin(latest), rank)), F.max_by(row, F.when(kind.isin(latest), rank))
+    early, late = F.min_by(row, F.when(~kind.isin(latest), first)), F.max_by(row, F.when(kind.isin(latest), rank))
     reduced = tagged.groupBy(c.record, c.source, kind).agg(F.coalesce(early, late).alias("__row"))
     table = written(reduced.select("__kind", "__row.*"), "milestones", partition_by=["__kind"])
-    return {k: Events(table.filter(kind == k).drop("__kind"), events.sources, c) for k in kinds}
+    return {k: Events(table.filter(kind == k).drop("__kind"), events.sources, c, reduced=True) for k in kinds}
 
 
 def keys_matching(events: Events, patterns: Iterable[str], ignore_case: bool = False) -> DataFrame:

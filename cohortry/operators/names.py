@@ -22,6 +22,10 @@ from .skew import BroadcastLimit, fits, key_profile, skew_join
 
 _RESULT = "standard string, code string"
 
+# Every Python worker holds all prefixes of the dictionary, so it may be broadcast only
+# when it is well below what a plain broadcast join could take.
+DICTIONARY_LIMIT = BroadcastLimit(rows=50_000, bytes=8 * 1024 * 1024)
+
 
 def distinct_clean_names(
     sources: Iterable[DataFrame], item: str, category: str, patterns: Iterable[str] = (MEDICATION_CATEGORY_PATTERN,)
@@ -155,7 +159,7 @@ def standardise(
     suffix: str = TABLET_SUFFIX,
     missing: str | None = None,
     code_match: str = "stripped",
-    limit: BroadcastLimit = BroadcastLimit(),
+    limit: BroadcastLimit = DICTIONARY_LIMIT,
 ) -> DataFrame:
     """Add the dictionary word (`standard`) and its `code` to every row of `names`.
 

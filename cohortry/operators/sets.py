@@ -31,7 +31,8 @@ def drop_keys_where(
 
 def keys_minus(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Distinct keys of `left` that are not in `right`."""
-    return left.select(key).dropna().subtract(right.select(key))
+    # distinct before the join: a hot key is one row by then
+    return left.select(key).dropna().distinct().join(right.select(key).dropna().distinct(), key, "left_anti")
 
 
 def first_per_key(df: DataFrame, keys: str | list[str], order: Column, last: bool = False) -> DataFrame:

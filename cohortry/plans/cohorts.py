@@ -321,7 +321,7 @@ def _gaps(t: Tables):
     def hours(col):
         return F.make_dt_interval(F.lit(0), (F.col(col) % 24).cast("int"))
 
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return fx.lines_with_orders(t).select(
         "l_orderkey", "l_partkey", "l_linenumber",
         (F.col("o_orderdate") + hours("o_custkey")).alias("a"),
         (F.col("l_shipdate") + hours("l_partkey")).alias("b"),
@@ -331,7 +331,7 @@ def _gaps(t: Tables):
 @query(
     "day_gap_calendar",
     f"""WITH {_GAPS} SELECT l_orderkey, l_partkey, l_linenumber,
-      date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) AS gap FROM gaps""",
+      CAST(date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) AS INTEGER) AS gap FROM gaps""",
 )
 def day_gap_calendar(t):
     return _gaps(t).select("l_orderkey", "l_partkey", "l_linenumber", calendar_days(F.col("a"), F.col("b")).alias("gap"))
@@ -351,14 +351,14 @@ def day_gap_elapsed(t):
 @query(
     "day_labels",
     f"""WITH {_GAPS} SELECT CASE WHEN date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) < 1 THEN -1 ELSE 1 END AS label,
-      CAST(a AS DATE) AS day, CAST(CAST(b AS DATE) AS VARCHAR) AS other_day, count(*) AS n FROM gaps GROUP BY 1, 2, 3""",
+      CAST(CAST(a AS DATE) AS VARCHAR) AS day, CAST(CAST(b AS DATE) AS VARCHAR) AS other_day, count(*) AS n FROM gaps GROUP BY 1, 2, 3""",
 )
 def day_labels(t):
     a, b = F.col("a"), F.col("b")
     day = calendar_date_of_text(F.date_format(b, "yyyy-MM-dd HH:mm:ss"))
     return (
         _gaps(t)
-        .select(follow_up_label(calendar_days(a, b)).alias("label"), calendar_date(a).alias("day"),
+        .select(follow_up_label(calendar_days(a, b)).alias("label"), calendar_date(a).cast("string").alias("day"),
                 day.cast("string").alias("other_day"))
         .groupBy("label", "day", "other_day")
         .agg(F.count(F.lit(1)).alias("n"))

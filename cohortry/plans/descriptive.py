@@ -37,8 +37,7 @@ def _rounded(df):
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey), {_bins_sql('d')} SELECT * FROM bins""",
 )
 def time_histogram(t):
-    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return _rounded(years_histogram(rows, F.col("o_orderdate"), F.col("l_shipdate")))
+    return _rounded(years_histogram(fx.lines_with_orders(t), F.col("o_orderdate"), F.col("l_shipdate")))
 
 
 @query(
@@ -79,11 +78,13 @@ def age_at_index(t):
 
 @query(
     "category_encode",
-    """SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 END AS code FROM customer""",
+    """SELECT c_custkey, c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS unmapped,
+      CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE -1 END AS code FROM customer""",
 )
 def category_encode(t):
     codes = {"BUILDING": 0, "MACHINERY": 1}
-    return t.customer.select("c_custkey", encode(F.col("c_mktsegment"), codes).alias("code"))
+    code = encode(F.col("c_mktsegment"), codes)
+    return t.customer.select("c_custkey", code.isNull().alias("unmapped"), F.coalesce(code, F.lit(-1)).alias("code"))
 
 
 @query(

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import drop_bracket_prefix
+from ..functions.text import any_like, drop_bracket_prefix
 from ..operators.events import EventColumns, Events, milestones
-from ..functions.text import any_like
+from ..operators.skew import skew_join
 from .registry import Tables
 
 # Events of two sources. A person (`master`) can own several records (`person`).
@@ -76,7 +76,7 @@ COHORT_SQL = f"""{EVENTS_SQL}, {INDEX_SQL}, {OUTCOME_SQL}, {EXCLUDED_SQL}, {CONT
 cohort AS (
   SELECT j.master, index_time, index_text, birthday,
          coalesce(o_time, l.ts) AS end_time, coalesce(o_text, l.txt) AS end_text, o_time IS NOT NULL AS observed,
-         date_diff('day', CAST(index_time AS DATE), CAST(coalesce(o_time, l.ts) AS DATE)) AS gap_days,
+         CAST(date_diff('day', CAST(index_time AS DATE), CAST(coalesce(o_time, l.ts) AS DATE)) AS INTEGER) AS gap_days,
          CASE WHEN date_diff('day', CAST(index_time AS DATE), CAST(coalesce(o_time, l.ts) AS DATE)) < 1
               THEN -1 ELSE 1 END AS label
   FROM joined j LEFT JOIN lc l ON j.master = l.master AND j.o_time IS NULL)"""
@@ -105,7 +105,8 @@ def codes(t: Tables) -> DataFrame:
 
 
 def charges(t: Tables) -> DataFrame:
-    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    return skew_join(t.lineitem, parts, "l_partkey").select(
         F.col("l_orderkey").alias("reg_id"),
         F.col("p_name").alias("item"),
         F.col("l_linestatus").alias("source"),
@@ -113,6 +114,11 @@ def charges(t: Tables) -> DataFrame:
     )
 
 
+def lines_with_orders(t: Tables) -> DataFrame:
+    """Line items with the columns of their order."""
+    return skew_join(t.lineitem, t.orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+
+
 def visits(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("reg_id"), F.col("o_custkey").alias("person_id"))
 
@@ -201,7 +207,7 @@ def common_names(t: Tables) -> DataFrame:
 
 def dictionary(t: Tables) -> DataFrame:
     padded = F.when(F.col("p_size") > 40, F.concat(F.lit(" "), "p_name", F.lit(" "))).otherwise(F.col("p_name"))
-    return t.part.join(common_names(t), "p_name").select(
+    return skew_join(t.part, common_names(t), "p_name").select(
         padded.alias("medical_name"), F.col("p_brand").alias("atc"), F.col("p_partkey").alias("ord")
     )
 

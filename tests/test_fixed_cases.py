@@ -12,7 +12,9 @@ from cohortry.functions.text import (
 from cohortry.functions.time import calendar_date_of_text, calendar_days, elapsed_days, years
 from cohortry.functions.fixed_values import EXCLUDED_PATTERNS, INDEX_PATTERNS, OUTCOME_PATTERNS, SEX_CODES
 from cohortry.operators.cohort import build_cohort, events_after_index, frequency
-from cohortry.operators.events import EventColumns, Events, first_occurrence, last_contact, milestones, rows_at_extreme
+from cohortry.operators.events import (
+    EventColumns, Events, first_occurrence, keys_matching, last_contact, milestones, rows_at_extreme,
+)
 from cohortry.operators.exposures import first_exposure
 from cohortry.operators.sets import combine_first, drop_keys_where, exclude, first_per_key, keys_minus, restrict_to
 
@@ -205,7 +207,6 @@ def test_build_cohort(small_cohort):
 
 
 def test_cohort_properties_and_partition_independence(spark, data):
-    from cohortry.operators.events import keys_matching
     from cohortry.plans import fixtures as fx
     from cohortry.plans.cohorts import cohort
     from cohortry.plans.registry import Tables
@@ -232,3 +233,11 @@ def test_milestones_read_events_once(two_sources):
     parts = milestones(two_sources, {"a": None, "z": F.col("x") == "z"}, latest=["a"])
     assert parts["z"].frame.count() == 0
     assert sorted(r.id for r in parts["a"].frame.collect()) == [2, 3, 4, 5, 6]
+    for null_times, ids in (("first", [3, 4, 5]), ("drop", [2, 4, 5])):
+        part = milestones(two_sources, {"a": F.col("x") == "a"}, null_times=null_times)["a"]
+        assert sorted(r.id for r in first_occurrence(part).collect()) == ids
+        assert sorted(r.id for r in first_occurrence(part, per="record").collect()) == ids
+        # a person known only from an event without a time is still a match
+        assert sorted(r.k for r in keys_matching(part, ["a"]).collect()) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        first_occurrence(part, null_times="drop")
