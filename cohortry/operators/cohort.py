@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import EXCLUDED_PATTERNS, INDEX_PATTERNS, OUTCOME_PATTERNS
 from ..functions.labels import follow_up_label
+from ..functions.text import any_like
 from ..functions.time import calendar_days
-from .events import EventColumns
+from .events import EventColumns, Events, first_occurrence, last_contact, linked_milestones
+from .linking import canonical_person
 from .skew import as_list, skew_join
 
 
@@ -71,6 +74,65 @@ def build_cohort(
     )
 
 
+def cohort_of_parts(
+    parts: Mapping[str, Events], columns: EventColumns, required: Sequence[str] = (), keep: Sequence[str] | None = None
+) -> DataFrame:
+    """`build_cohort` over milestones named index, outcome, excluded and contact.
+
+    `keep` names the person columns of the result, by default all columns of the index events.
+    """
+    c = columns
+    index = first_occurrence(parts["index"])
+    if keep is not None:
+        index = index.select(c.person, c.time, c.text, *keep)
+    return build_cohort(
+        index,
+        first_occurrence(parts["outcome"], per="record"),
+        parts["excluded"].frame.select(c.person).distinct(),
+        last_contact(parts["contact"]),
+        c,
+        required,
+    )
+
+
+# Columns of the diagnosis, visit and person tables.
+CLINICAL_COLUMNS = EventColumns(
+    person="MASTER_INDEX", record="PERSON_ID", time="DIAG_TIME", text="DISEASE_NAME", source="SOURCE"
+)
+
+
+def study_cohort(
+    diagnoses: Mapping[str, DataFrame],
+    visits: Mapping[str, DataFrame],
+    persons: DataFrame,
+    *,
+    index: Iterable[str] = INDEX_PATTERNS,
+    outcome: Iterable[str] = OUTCOME_PATTERNS,
+    excluded: Iterable[str] = EXCLUDED_PATTERNS,
+    ignore_case: bool = False,
+    null_times: str = "first",
+    visit: str = "REG_ID",
+    real_person: str = "MASTER_INDEX2",
+    columns: EventColumns = CLINICAL_COLUMNS,
+    required: Sequence[str] = ("BIRTHDAY",),
+) -> DataFrame:
+    """The labelled cohort from diagnosis and visit tables per source and one person table.
+
+    All diagnoses are read once. The study population is `filter('label = 1')`.
+    """
+    text = F.col(columns.text)
+    kinds = {
+        "index": any_like(text, index, ignore_case),
+        "outcome": any_like(text, outcome, ignore_case),
+        "excluded": any_like(text, excluded, ignore_case),
+        "contact": None,
+    }
+    people = canonical_person(persons, real_person, columns.person)
+    parts = linked_milestones(diagnoses, visits, people, visit, columns, kinds, ["contact"], null_times)
+    keep = [n for n in people.columns if n != columns.person]
+    return cohort_of_parts(parts, columns, required, keep)
+
+
 def attrition(steps: Mapping[str, DataFrame], person: str) -> DataFrame:
     """Rows and distinct persons after each step, in step order."""
     counts = [

@@ -182,6 +182,35 @@ def last_contact(events: Events, keys: DataFrame | None = None) -> DataFrame:
     return rows_at_extreme(latest, c.person, c.time, "max", hot=()).distinct()
 
 
+_KIND = "__kind"
+
+
+def _tagged(frame: DataFrame, kinds: Mapping[str, Column | None]) -> DataFrame:
+    """One row per event and kind it belongs to."""
+    tags = F.array(*[F.lit(k) if when is None else F.when(when, F.lit(k)) for k, when in kinds.items()])
+    return frame.withColumn(_KIND, F.explode(F.array_compact(tags)))
+
+
+def _reduced(tagged: DataFrame, by: Sequence[str], c: EventColumns, latest: list[str], null_times: str) -> DataFrame:
+    """The earliest row of each group and kind, or the latest for kinds in `latest`."""
+    _check_null_times(null_times)
+    row = F.struct(*[F.col(f"`{n}`") for n in tagged.columns])
+    # an event without a time still names an excluded person, so it is ranked, not removed
+    undated = F.lit(null_times == "drop") & F.col(c.time).isNull()
+    rank = F.struct(*[F.col(f"`{n}`") for n in (c.time, *c.order)])
+    first = F.struct(undated.alias("undated"), rank.alias("rank"))
+    # each row counts for one of the two picks only
+    is_latest = F.col(_KIND).isin(latest)
+    pick = F.coalesce(F.min_by(row, F.when(~is_latest, first)), F.max_by(row, F.when(is_latest, rank)))
+    return tagged.groupBy(*by, _KIND).agg(pick.alias("__row")).select("__row.*")
+
+
+def _parts(table: DataFrame, kinds: Iterable[str], sources: Sequence[str], c: EventColumns) -> dict[str, Events]:
+    return {
+        k: Events(table.filter(F.col(_KIND) == k).drop(_KIND), tuple(sources), c, reduced=True) for k in kinds
+    }
+
+
 def milestones(
     events: Events,
     kinds: Mapping[str, Column | None],
@@ -198,21 +227,35 @@ def milestones(
     The result is written to the shared folder, partitioned by kind, since every part is read
     several times; a lost executor then costs a read of the small table, not a new scan.
     """
-    c, latest = events.columns, list(latest)
-    _check_null_times(null_times)
-    kind = F.col("__kind")
-    tags = F.array(*[F.lit(k) if when is None else F.when(when, F.lit(k)) for k, when in kinds.items()])
-    tagged = events.frame.dropna(subset=[c.person]).withColumn("__kind", F.explode(F.array_compact(tags)))
-    row = F.struct(*[F.col(f"`{n}`") for n in events.frame.columns])
-    # an event without a time still names an excluded person, so it is ranked, not removed
-    undated = F.lit(null_times == "drop") & F.col(c.time).isNull()
-    rank = F.struct(*[F.col(f"`{n}`") for n in (c.time, *c.order)])
-    first = F.struct(undated.alias("undated"), rank.alias("rank"))
-    # each row counts for one of the two picks only
-    early, late = F.min_by(row, F.when(~kind.isin(latest), first)), F.max_by(row, F.when(kind.isin(latest), rank))
-    reduced = tagged.groupBy(c.record, c.source, kind).agg(F.coalesce(early, late).alias("__row"))
-    table = written(reduced.select("__kind", "__row.*"), "milestones", partition_by=["__kind"])
-    return {k: Events(table.filter(kind == k).drop("__kind"), events.sources, c, reduced=True) for k in kinds}
+    c = events.columns
+    tagged = _tagged(events.frame.dropna(subset=[c.person]), kinds)
+    reduced = _reduced(tagged, [c.record, c.source], c, list(latest), null_times)
+    return _parts(written(reduced, "milestones", partition_by=[_KIND]), kinds, events.sources, c)
+
+
+def linked_milestones(
+    events: Mapping[str, DataFrame],
+    visits: Mapping[str, DataFrame],
+    persons: DataFrame,
+    visit: str,
+    columns: EventColumns,
+    kinds: Mapping[str, Column | None],
+    latest: Iterable[str] = (),
+    null_times: str = "first",
+) -> dict[str, Events]:
+    """`milestones` for events that know their visit only: event -> visit -> record -> person.
+
+    Events shrink to one row per visit and kind before they meet the visits, and to one per
+    record, source and kind before they meet the persons. So neither join has a hot key
+    and raw events are shuffled by the map-side result of an aggregate only.
+    """
+    c, latest = columns, list(latest)
+    tagged = _tagged(union_sources(events, c.source), kinds)
+    per_visit = _reduced(tagged, [c.source, visit], c, latest, null_times)
+    of_visit = union_sources({n: df.select(visit, c.record) for n, df in visits.items()}, c.source)
+    per_record = _reduced(per_visit.join(of_visit, [c.source, visit]), [c.record, c.source], c, latest, null_times)
+    linked = per_record.join(persons, c.record).dropna(subset=[c.person])
+    return _parts(written(linked, "milestones", partition_by=[_KIND]), kinds, tuple(events), c)
 
 
 def keys_matching(events: Events, patterns: Iterable[str], ignore_case: bool = False) -> DataFrame:

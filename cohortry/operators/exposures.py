@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,19 @@ from ..functions.text import excluded_code
 from .skew import BroadcastLimit, lookup_join, skew_join
 
 
+def _coded_charges(
+    charges: DataFrame, codes: DataFrame, item: str, code: str, code_prefix: str, limit: BroadcastLimit
+) -> DataFrame:
+    """Charges with a code of the class.
+
+    The code table is a reference table: it is filtered first and broadcast if its
+    measured size allows, which drops foreign items before any shuffle. A code table
+    with repeated names multiplies rows.
+    """
+    wanted = codes.select(item, code).filter(F.col(code).startswith(code_prefix))
+    return lookup_join(charges, wanted, item, "inner", limit)
+
+
 def exposures(
     charges: DataFrame,
     codes: DataFrame,
@@ -20,22 +35,46 @@ def exposures(
     visit: str,
     code_prefix: str = EXPOSURE_CODE_PREFIX,
     limit: BroadcastLimit = BroadcastLimit(),
+    spread_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Charges of items whose code starts with `code_prefix`, with the person of the visit.
+    """Charges of items whose code starts with `code_prefix`, with the person of the visit."""
+    coded = _coded_charges(charges, codes, item, code, code_prefix, limit)
+    return skew_join(coded, visit_person, visit, spread_by=spread_by)
 
-    The code table is a reference table: it is filtered first and broadcast if its
-    measured size allows, which drops foreign items before any shuffle. A code table
-    with repeated names multiplies rows.
-    """
-    wanted = codes.select(item, code).filter(F.col(code).startswith(code_prefix))
-    return skew_join(lookup_join(charges, wanted, item, "inner", limit), visit_person, visit)
+
+def _counted(df: DataFrame, time: str, code: str, excluded_marker: str | None) -> DataFrame:
+    kept = df.filter(F.col(time).isNotNull())
+    return kept if excluded_marker is None else kept.filter(~excluded_code(F.col(code), excluded_marker))
 
 
 def first_exposure(
     exposed: DataFrame, *, person: str, time: str, code: str, excluded_marker: str | None = "1"
 ) -> DataFrame:
     """Earliest dated exposure of each person, without codes whose head holds the marker."""
-    kept = exposed.dropna(subset=[time, person])
-    if excluded_marker is not None:
-        kept = kept.filter(~excluded_code(F.col(code), excluded_marker))
+    kept = _counted(exposed, time, code, excluded_marker).filter(F.col(person).isNotNull())
     return kept.groupBy(person).agg(F.min(time).alias(time))
+
+
+def first_exposure_of_charges(
+    charges: DataFrame,
+    codes: DataFrame,
+    visit_person: DataFrame,
+    *,
+    item: str,
+    code: str,
+    visit: str,
+    person: str,
+    time: str,
+    code_prefix: str = EXPOSURE_CODE_PREFIX,
+    excluded_marker: str | None = "1",
+    limit: BroadcastLimit = BroadcastLimit(),
+) -> DataFrame:
+    """`first_exposure` of `exposures` without linking every charge to its person.
+
+    The first time of a person is the first of the first times of the visits, so charges
+    shrink to one row per visit in the map tasks before they are joined.
+    """
+    coded = _coded_charges(charges.select(visit, item, time), codes, item, code, code_prefix, limit)
+    per_visit = _counted(coded, time, code, excluded_marker).groupBy(visit).agg(F.min(time).alias(time))
+    linked = per_visit.join(visit_person.select(visit, person), visit).filter(F.col(person).isNotNull())
+    return linked.groupBy(person).agg(F.min(time).alias(time))

@@ -26,9 +26,16 @@ def visit_persons(visits: DataFrame, persons: DataFrame, visit: str, record: str
     return skew_join(visits.select(visit, record), persons, record, spread_by=[visit])
 
 
-def link_events(events: DataFrame, visits: DataFrame, persons: DataFrame, visit: str, record: str) -> DataFrame:
+def link_events(
+    events: DataFrame,
+    visits: DataFrame,
+    persons: DataFrame,
+    visit: str,
+    record: str,
+    spread_by: Sequence[str] = (),
+) -> DataFrame:
     """Every event with the columns of its person record."""
-    return skew_join(events, visit_persons(visits, persons, visit, record), visit)
+    return skew_join(events, visit_persons(visits, persons, visit, record), visit, spread_by=spread_by)
 
 
 def link_extreme(

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.labels import follow_up_label, person_key
 from ..functions.text import any_like
 from ..functions.time import calendar_date, calendar_date_of_text, calendar_days, elapsed_days
-from ..operators.cohort import as_outcome, attrition, build_cohort, events_after_index, frequency, left_join_suffixed
+from ..operators.cohort import (
+    as_outcome, attrition, cohort_of_parts, events_after_index, frequency, left_join_suffixed, study_cohort,
+)
 from ..operators.events import first_occurrence, keys_matching, last_contact, rows_at_extreme, union_sources
 from ..operators.linking import canonical_person, link_events, link_extreme, link_keys
 from ..operators.sets import combine_first, drop_keys_where, exclude, keys_minus, restrict_to
@@ -20,12 +22,7 @@ _EVENT_COLUMNS = _EVENT.split(", ")
 
 def cohort(t: Tables):
     """Index events with end of follow-up and label; events are scanned once."""
-    parts = fx.cohort_parts(t)
-    index = first_occurrence(parts["index"]).select("master", "ts", "txt", "birthday")
-    outcome = first_occurrence(parts["outcome"], per="record")
-    excluded = parts["excluded"].frame.select("master").distinct()
-    contact = last_contact(parts["contact"])
-    return build_cohort(index, outcome, excluded, contact, fx.COLUMNS, ["birthday"])
+    return cohort_of_parts(fx.cohort_parts(t), fx.COLUMNS, ["birthday"], keep=["birthday"])
 
 
 def _index(t: Tables):
@@ -271,7 +268,8 @@ _LINKED = f"""{fx.DIAGNOSES_SQL}, linked AS (
 )
 def linked_events(t):
     picked = fx.diagnoses(t).filter(any_like(F.col("disease"), ["R%F%", "%O 3%"]))
-    rows = link_events(picked, fx.visits(t), canonical_person(fx.persons(t)), "reg_id", "person_id")
+    rows = link_events(picked, fx.visits(t), canonical_person(fx.persons(t)), "reg_id", "person_id",
+                       spread_by=["l_partkey", "l_linenumber"])
     return rows.select("reg_id", "person_id", "MASTER_INDEX", "segment", "disease", "diag_time", "l_partkey")
 
 
@@ -311,6 +309,15 @@ def linked_keys(t):
     return link_keys(picked, fx.visits(t), canonical_person(fx.persons(t)), "reg_id", "person_id", "MASTER_INDEX")
 
 
+query("study_cohort", f"WITH {fx.STUDY_SQL} SELECT * FROM cohort")(
+    lambda t: study_cohort(
+        fx.study_diagnoses(t), fx.study_visits(t), fx.persons(t), index=fx.STUDY_INDEX,
+        outcome=fx.STUDY_OUTCOME, excluded=fx.STUDY_EXCLUDED, visit="reg_id", columns=fx.STUDY_COLUMNS,
+        required=["birthday"],
+    )
+)
+
+
 _GAPS = """gaps AS (
   SELECT l_orderkey, l_partkey, l_linenumber, o_orderdate + to_hours(CAST(o_custkey % 24 AS INTEGER)) AS a,
          l_shipdate + to_hours(CAST(l_partkey % 24 AS INTEGER)) AS b

@@ -116,7 +116,8 @@ def charges(t: Tables) -> DataFrame:
 
 def lines_with_orders(t: Tables) -> DataFrame:
     """Line items with the columns of their order."""
-    return skew_join(t.lineitem, t.orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    orders = t.orders.withColumnRenamed("o_orderkey", "l_orderkey")
+    return skew_join(t.lineitem, orders, "l_orderkey", spread_by=["l_partkey", "l_linenumber"])
 
 
 def visits(t: Tables) -> DataFrame:
@@ -130,6 +131,7 @@ def persons(t: Tables) -> DataFrame:
         F.col("c_name").alias("MASTER_INDEX"),
         F.floor(F.col("c_custkey") / 2).cast("string").alias("MASTER_INDEX2"),
         F.col("c_mktsegment").alias("segment"),
+        F.when(F.col("c_nationkey") != 3, F.lit("1960-03-01").cast("timestamp_ntz")).alias("birthday"),
     )
 
 
@@ -151,6 +153,75 @@ def diagnoses(t: Tables) -> DataFrame:
     )
 
 
+# Diagnoses, visits and persons of two sources for the whole study: line items by status, with
+# orders as visits of both sources.
+STUDY_COLUMNS = EventColumns(
+    person="MASTER_INDEX", record="person_id", time="diag_time", text="disease", source="source",
+    order=("l_linenumber", "l_partkey", "l_suppkey", "reg_id"),
+)
+STUDY_INDEX, STUDY_OUTCOME, STUDY_EXCLUDED = ("R%small%",), ("%A%red%r%", "N%hot anvil%"), ("A%new ring 5%",)
+_STUDY_LIKE = {
+    "idx": "disease LIKE 'R%small%'",
+    "outc": "(disease LIKE '%A%red%r%' OR disease LIKE 'N%hot anvil%')",
+}
+
+
+def _first_sql(name: str, group: str) -> str:
+    return f"""{name} AS (
+  SELECT * FROM (
+    SELECT *, rank() OVER (PARTITION BY MASTER_INDEX ORDER BY diag_time) AS rk FROM (
+      SELECT *, row_number() OVER (PARTITION BY source, {group}
+        ORDER BY diag_time ASC NULLS FIRST, l_linenumber, l_partkey, l_suppkey, reg_id) AS rn
+      FROM ev WHERE {_STUDY_LIKE[name]}) WHERE rn = 1 AND diag_time IS NOT NULL) WHERE rk = 1)"""
+
+
+STUDY_SQL = f"""ev AS (
+  SELECT l_orderkey AS reg_id, l_returnflag || ' ' || p_name || ' ' || CAST(l_linenumber AS VARCHAR) AS disease,
+         CASE WHEN l_linenumber <> 7 OR l_tax > 0.01 THEN l_shipdate END AS diag_time, l_linestatus AS source,
+         l_linenumber, l_partkey, l_suppkey, c_custkey AS person_id, c_custkey // 2 AS MASTER_INDEX, c_mktsegment AS segment,
+         CASE WHEN c_nationkey <> 3 THEN TIMESTAMP '1960-03-01' END AS birthday
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
+       JOIN customer ON o_custkey = c_custkey),
+{_first_sql("idx", "MASTER_INDEX")}, {_first_sql("outc", "person_id")},
+ex AS (SELECT DISTINCT MASTER_INDEX FROM ev WHERE disease LIKE 'A%new ring 5%'),
+lc AS (
+  SELECT DISTINCT MASTER_INDEX, diag_time, disease FROM (
+    SELECT *, rank() OVER (PARTITION BY MASTER_INDEX ORDER BY diag_time DESC) AS rk FROM (
+      SELECT *, row_number() OVER (PARTITION BY source, person_id ORDER BY diag_time DESC NULLS LAST,
+        l_linenumber DESC, l_partkey DESC, l_suppkey DESC, reg_id DESC) AS rn
+      FROM ev) WHERE rn = 1 AND diag_time IS NOT NULL) WHERE rk = 1),
+joined AS (
+  SELECT i.MASTER_INDEX, i.person_id, i.segment, i.birthday, i.diag_time AS index_time, i.disease AS index_text,
+         o.diag_time AS o_time, o.disease AS o_text
+  FROM idx i LEFT JOIN outc o ON i.MASTER_INDEX = o.MASTER_INDEX
+  WHERE i.MASTER_INDEX NOT IN (SELECT MASTER_INDEX FROM ex)
+    AND i.MASTER_INDEX NOT IN (SELECT MASTER_INDEX FROM idx WHERE birthday IS NULL)),
+ended AS (
+  SELECT j.MASTER_INDEX, person_id, segment, birthday, index_time, index_text,
+         coalesce(o_time, l.diag_time) AS end_time, coalesce(o_text, l.disease) AS end_text, o_time IS NOT NULL AS observed
+  FROM joined j LEFT JOIN lc l ON j.MASTER_INDEX = l.MASTER_INDEX AND j.o_time IS NULL),
+cohort AS (
+  SELECT *, CAST(date_diff('day', CAST(index_time AS DATE), CAST(end_time AS DATE)) AS INTEGER) AS gap_days,
+         CASE WHEN date_diff('day', CAST(index_time AS DATE), CAST(end_time AS DATE)) < 1 THEN -1 ELSE 1 END AS label
+  FROM ended)"""
+
+
+def study_diagnoses(t: Tables) -> dict[str, DataFrame]:
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    dated = (F.col("l_linenumber") != 7) | (F.col("l_tax") > 0.01)
+    rows = skew_join(t.lineitem, parts, "l_partkey").select(
+        F.col("l_orderkey").alias("reg_id"),
+        F.concat_ws(" ", "l_returnflag", "p_name", F.col("l_linenumber").cast("string")).alias("disease"),
+        F.when(dated, F.col("l_shipdate")).alias("diag_time"),
+        "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus",
+    )
+    return {s: rows.filter(F.col("l_linestatus") == s).drop("l_linestatus") for s in ("O", "F")}
+
+
+def study_visits(t: Tables) -> dict[str, DataFrame]:
+    return {s: visits(t) for s in ("O", "F")}
+
+
 # Raw item names of two sources, and a dictionary with repeated names and outer blanks.
 FEES_SQL = """fees AS (
   SELECT '(' || p_type || ')' || CASE WHEN p_type = 'PROMO' THEN substr(p_name, 1, length(p_name) - 1) ELSE p_name END

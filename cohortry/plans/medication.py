@@ -8,21 +8,27 @@ from ..functions.labels import fill_missing
 from ..functions.text import ascii_brackets, clean_label, excluded_code
 from ..functions.fixed_values import MISSING_NAME, WHITE_SPACE
 from ..operators.cohort import frequency
-from ..operators.exposures import exposures, first_exposure
+from ..operators.exposures import exposures, first_exposure, first_exposure_of_charges
 from ..operators.linking import canonical_person, visit_persons
 from ..operators.names import dictionary_table, distinct_clean_names, match_ratio, standardise
 from ..operators.rules import changed_rows, fill_by_pattern
 from ..operators.sets import first_per_key
-from ..operators.skew import BroadcastLimit
+from ..operators.skew import BroadcastLimit, lookup_join
 from ..sources.tables import query as run_sql
 from . import fixtures as fx
 from .registry import Tables, query
 
 
-def _exposed(t: Tables):
+def _visit_person(t: Tables):
     people = canonical_person(fx.persons(t)).select("person_id", F.col("MASTER_INDEX").alias("master"))
-    linked = visit_persons(fx.visits(t), people, "reg_id", "person_id")
-    return exposures(fx.charges(t), fx.codes(t), linked, item="item", code="code", visit="reg_id").select(
+    return visit_persons(fx.visits(t), people, "reg_id", "person_id")
+
+
+def _exposed(t: Tables):
+    rows = exposures(
+        fx.charges(t), fx.codes(t), _visit_person(t), item="item", code="code", visit="reg_id", spread_by=["charge_time"]
+    )
+    return rows.select(
         "master", "charge_time", "item", "code", "source"
     )
 
@@ -36,7 +42,30 @@ query("exposures", f"WITH {fx.EXPOSED_SQL} SELECT * FROM exposed")(_exposed)
     WHERE charge_time IS NOT NULL AND NOT contains(substr(trim(code), 1, 3), '1') GROUP BY master""",
 )
 def first_exposures(t):
-    return first_exposure(_exposed(t), person="master", time="charge_time", code="code")
+    return first_exposure_of_charges(
+        fx.charges(t), fx.codes(t), _visit_person(t),
+        item="item", code="code", visit="reg_id", person="master", time="charge_time",
+    )
+
+
+@query(
+    "first_exposure_all_codes",
+    f"""WITH {fx.EXPOSED_SQL} SELECT master, min(charge_time) AS charge_time FROM exposed
+    WHERE charge_time IS NOT NULL GROUP BY master""",
+)
+def first_exposures_all_codes(t):
+    return first_exposure(_exposed(t), person="master", time="charge_time", code="code", excluded_marker=None)
+
+
+@query(
+    "lookup_names",
+    """SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n
+    ON c_nationkey = n_nationkey""",
+)
+def lookup_names(t):
+    """A code table maps keys to names; keys it does not know become NULL."""
+    known = t.nation.filter("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return lookup_join(t.customer.select("c_custkey", "c_nationkey"), known, "c_nationkey").select("c_custkey", "n_name")
 
 
 @query(
