@@ -12,7 +12,7 @@ from ..functions.fixed_values import EXCLUDED_PATTERNS, INDEX_PATTERNS, OUTCOME_
 from ..functions.labels import follow_up_label
 from ..functions.text import any_like
 from ..functions.time import calendar_days
-from .events import EventColumns, Events, first_occurrence, last_contact, linked_milestones
+from .events import KIND, EventColumns, Milestones, linked_milestones
 from .linking import canonical_person
 from .skew import as_list, skew_join
 
@@ -66,32 +66,74 @@ def build_cohort(
     ends = outcome.withColumn("observed", F.lit(True)).unionByName(contact.withColumn("observed", F.lit(False)))
     followed = timed.join(ends, [c.person, "end_time", "observed"])
     open_end = timed.filter(F.col("end_time").isNull()).withColumn("end_text", F.lit(None).cast("string"))
+    return _labelled(followed.unionByName(open_end))
+
+
+def _labelled(followed: DataFrame) -> DataFrame:
     gap = calendar_days(F.col("index_time"), F.col("end_time"))
-    return (
-        followed.unionByName(open_end)
-        .withColumn("gap_days", gap)
-        .withColumn("label", follow_up_label(F.col("gap_days")))
-    )
+    return followed.withColumn("gap_days", gap).withColumn("label", follow_up_label(F.col("gap_days")))
 
 
-def cohort_of_parts(
-    parts: Mapping[str, Events], columns: EventColumns, required: Sequence[str] = (), keep: Sequence[str] | None = None
-) -> DataFrame:
-    """`build_cohort` over milestones named index, outcome, excluded and contact.
+def cohort_of(found: Milestones, required: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
+    """`build_cohort` over milestones of the kinds index, outcome, excluded and contact.
 
-    `keep` names the person columns of the result, by default all columns of the index events.
+    Same rows, but milestones need no joins to find them: one aggregate per person yields
+    the index events, the exclusion and the time of the end. Only the texts at that
+    time are joined, equal ones as a count, so that many copies of one text do not travel.
+    `keep` names the person columns of the result, by default all columns of the index event.
     """
-    c = columns
-    index = first_occurrence(parts["index"])
-    if keep is not None:
-        index = index.select(c.person, c.time, c.text, *keep)
-    return build_cohort(
-        index,
-        first_occurrence(parts["outcome"], per="record"),
-        parts["excluded"].frame.select(c.person).distinct(),
-        last_contact(parts["contact"]),
-        c,
-        required,
+    c, table = found.events.columns, found.table
+    kind, time = F.col(KIND), F.col(c.time)
+    if keep is None:
+        keep = [n for n in table.columns if n not in (KIND, c.person, c.time, c.text)]
+
+    def columns(names):
+        return [F.col(f"`{n}`") for n in names]
+
+    event = F.struct(time.alias("index_time"), F.col(c.text).alias("index_text"), *columns(keep))
+    rank = F.struct(*columns([c.time, *c.order]))
+    candidate = (kind == "index") & (time.isNotNull() | F.lit(found.events.reduced == "first"))
+    firsts = [
+        F.min_by(event, F.when(candidate & (F.col(c.source) == s), rank)).alias(f"__s{i}")
+        for i, s in enumerate(found.events.sources)
+    ]
+    people = table.groupBy(c.person).agg(
+        *firsts,
+        F.bool_or(kind == "excluded").alias("__excluded"),
+        F.min(F.when(kind == "outcome", time)).alias("__outcome"),
+        F.max(F.when(kind == "contact", time)).alias("__contact"),
+    )
+    dated = F.filter(
+        F.array(*[f"__s{i}" for i in range(len(firsts))]), lambda e: e.isNotNull() & e["index_time"].isNotNull()
+    )
+    people = people.filter(~F.col("__excluded")).withColumn("__dated", dated)
+    earliest = F.array_min(F.transform("__dated", lambda e: e["index_time"]))
+    people = people.withColumn("__first", earliest)
+    people = people.withColumn("__index", F.filter("__dated", lambda e: e["index_time"] == F.col("__first")))
+    if required:
+        incomplete = F.exists("__index", lambda e: reduce(lambda a, b: a | b, (e[n].isNull() for n in required)))
+        people = people.filter(~incomplete)
+    timed = people.select(
+        c.person,
+        F.explode("__index").alias("e"),
+        F.col("__outcome").isNotNull().alias("observed"),
+        F.coalesce("__outcome", "__contact").alias("end_time"),
+    ).select(c.person, "e.*", "observed", "end_time")
+
+    # outcomes keep their number, contacts are distinct
+    ends = (
+        table.filter(kind.isin("outcome", "contact") & time.isNotNull())
+        .groupBy(c.person, time.alias("end_time"), (kind == "outcome").alias("observed"), F.col(c.text).alias("end_text"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    copies = F.when(F.col("observed"), F.sequence(F.lit(1).cast("bigint"), F.col("n"))).otherwise(
+        F.array(F.lit(1).cast("bigint"))
+    )
+    followed = timed.join(ends, [c.person, "end_time", "observed"]).withColumn("n", F.explode(copies)).drop("n")
+    open_end = timed.filter(F.col("end_time").isNull())
+    result = _labelled(followed.unionByName(open_end, allowMissingColumns=True))
+    return result.select(
+        c.person, "index_time", "index_text", *columns(keep), "end_time", "end_text", "observed", "gap_days", "label"
     )
 
 
@@ -128,9 +170,8 @@ def study_cohort(
         "contact": None,
     }
     people = canonical_person(persons, real_person, columns.person)
-    parts = linked_milestones(diagnoses, visits, people, visit, columns, kinds, ["contact"], null_times)
-    keep = [n for n in people.columns if n != columns.person]
-    return cohort_of_parts(parts, columns, required, keep)
+    found = linked_milestones(diagnoses, visits, people, visit, columns, kinds, ["contact"], null_times)
+    return cohort_of(found, required, keep=[n for n in people.columns if n != columns.person])
 
 
 def attrition(steps: Mapping[str, DataFrame], person: str) -> DataFrame:

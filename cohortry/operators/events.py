@@ -35,13 +35,14 @@ class EventColumns:
 class Events:
     """Events of all sources in one frame that has a source column.
 
-    `reduced` says that the frame holds at most one event per record and source already.
+    `reduced` says that the frame holds at most one event per record and source already, and
+    how events without a time were ranked for that ('first' or 'drop').
     """
 
     frame: DataFrame
     sources: tuple[str, ...]
     columns: EventColumns = field(default_factory=EventColumns)
-    reduced: bool = False
+    reduced: str | None = None
 
     @classmethod
     def of(cls, sources: Mapping[str, DataFrame], columns: EventColumns = EventColumns()) -> "Events":
@@ -81,9 +82,13 @@ def rows_at_extreme(
     return skew_join(df, extreme, [*keys, time], hot=hot, spread_by=spread_by).select(*df.columns)
 
 
-def _check_null_times(null_times: str) -> None:
-    if null_times not in ("first", "drop"):
+def _null_times(events: Events, wanted: str) -> str:
+    """How to rank events without a time; for reduced events that is decided already."""
+    if wanted not in ("first", "drop"):
         raise ValueError("null_times is 'first' or 'drop'")
+    if events.reduced == "first" and wanted == "drop":
+        raise ValueError("events are reduced already: give null_times to milestones")
+    return events.reduced or wanted
 
 
 def _extreme_per_source(events: Events, key: str, how: str, null_times: str) -> DataFrame:
@@ -95,9 +100,6 @@ def _extreme_per_source(events: Events, key: str, how: str, null_times: str) ->
     events of its source. `null_times='drop'` removes such events beforehand.
     """
     c = events.columns
-    _check_null_times(null_times)
-    if events.reduced and null_times == "drop":
-        raise ValueError("events are reduced already: give null_times to milestones")
     frame = events.frame.filter(F.col(c.person).isNotNull())
     if null_times == "drop":
         frame = frame.filter(F.col(c.time).isNotNull())
@@ -129,6 +131,7 @@ def first_occurrence(
     that of each record and source; then all rows at the person's earliest time remain.
     """
     c = events.columns
+    null_times = _null_times(events, null_times)
     if patterns is not None:
         events = events.matching(patterns, ignore_case)
     columns = events.frame.columns
@@ -182,33 +185,43 @@ def last_contact(events: Events, keys: DataFrame | None = None) -> DataFrame:
     return rows_at_extreme(latest, c.person, c.time, "max", hot=()).distinct()
 
 
-_KIND = "__kind"
+# Column of a milestones table.
+KIND = "__kind"
 
 
 def _tagged(frame: DataFrame, kinds: Mapping[str, Column | None]) -> DataFrame:
     """One row per event and kind it belongs to."""
     tags = F.array(*[F.lit(k) if when is None else F.when(when, F.lit(k)) for k, when in kinds.items()])
-    return frame.withColumn(_KIND, F.explode(F.array_compact(tags)))
+    return frame.withColumn(KIND, F.explode(F.array_compact(tags)))
 
 
 def _reduced(tagged: DataFrame, by: Sequence[str], c: EventColumns, latest: list[str], null_times: str) -> DataFrame:
     """The earliest row of each group and kind, or the latest for kinds in `latest`."""
-    _check_null_times(null_times)
     row = F.struct(*[F.col(f"`{n}`") for n in tagged.columns])
     # an event without a time still names an excluded person, so it is ranked, not removed
     undated = F.lit(null_times == "drop") & F.col(c.time).isNull()
     rank = F.struct(*[F.col(f"`{n}`") for n in (c.time, *c.order)])
     first = F.struct(undated.alias("undated"), rank.alias("rank"))
     # each row counts for one of the two picks only
-    is_latest = F.col(_KIND).isin(latest)
+    is_latest = F.col(KIND).isin(latest)
     pick = F.coalesce(F.min_by(row, F.when(~is_latest, first)), F.max_by(row, F.when(is_latest, rank)))
-    return tagged.groupBy(*by, _KIND).agg(pick.alias("__row")).select("__row.*")
+    return tagged.groupBy(*by, KIND).agg(pick.alias("__row")).select("__row.*")
+
+
+@dataclass(frozen=True)
+class Milestones:
+    """A table with one event per record, source and kind; `self[kind]` are the Events of a kind."""
+
+    table: DataFrame
+    events: Events
 
+    def __getitem__(self, kind: str) -> Events:
+        return replace(self.events, frame=self.table.filter(F.col(KIND) == kind).drop(KIND))
 
-def _parts(table: DataFrame, kinds: Iterable[str], sources: Sequence[str], c: EventColumns) -> dict[str, Events]:
-    return {
-        k: Events(table.filter(F.col(_KIND) == k).drop(_KIND), tuple(sources), c, reduced=True) for k in kinds
-    }
+
+def _written(reduced: DataFrame, sources: Sequence[str], c: EventColumns, null_times: str) -> Milestones:
+    table = written(reduced, "milestones", partition_by=[KIND])
+    return Milestones(table, Events(table, tuple(sources), c, null_times))
 
 
 def milestones(
@@ -216,7 +229,7 @@ def milestones(
     kinds: Mapping[str, Column | None],
     latest: Iterable[str] = (),
     null_times: str = "first",
-) -> dict[str, Events]:
+) -> Milestones:
     """Reduce events to the few that a cohort needs, in one scan and one shuffle.
 
     `kinds` maps a name to the condition of its events (None: every event). Of each
@@ -224,13 +237,13 @@ def milestones(
     first_occurrence, last_contact and keys_matching give the same on a part as on all
     events of that kind. `null_times` has the meaning it has in first_occurrence.
 
-    The result is written to the shared folder, partitioned by kind, since every part is read
+    The result is written to the shared folder, partitioned by kind, since it is read
     several times; a lost executor then costs a read of the small table, not a new scan.
     """
-    c = events.columns
+    c, null_times = events.columns, _null_times(events, null_times)
     tagged = _tagged(events.frame.dropna(subset=[c.person]), kinds)
     reduced = _reduced(tagged, [c.record, c.source], c, list(latest), null_times)
-    return _parts(written(reduced, "milestones", partition_by=[_KIND]), kinds, events.sources, c)
+    return _written(reduced, events.sources, c, null_times)
 
 
 def linked_milestones(
@@ -242,7 +255,7 @@ def linked_milestones(
     kinds: Mapping[str, Column | None],
     latest: Iterable[str] = (),
     null_times: str = "first",
-) -> dict[str, Events]:
+) -> Milestones:
     """`milestones` for events that know their visit only: event -> visit -> record -> person.
 
     Events shrink to one row per visit and kind before they meet the visits, and to one per
@@ -250,12 +263,13 @@ def linked_milestones(
     and raw events are shuffled by the map-side result of an aggregate only.
     """
     c, latest = columns, list(latest)
-    tagged = _tagged(union_sources(events, c.source), kinds)
-    per_visit = _reduced(tagged, [c.source, visit], c, latest, null_times)
+    union = Events(union_sources(events, c.source), tuple(events), c)
+    null_times = _null_times(union, null_times)
+    per_visit = _reduced(_tagged(union.frame, kinds), [c.source, visit], c, latest, null_times)
     of_visit = union_sources({n: df.select(visit, c.record) for n, df in visits.items()}, c.source)
     per_record = _reduced(per_visit.join(of_visit, [c.source, visit]), [c.record, c.source], c, latest, null_times)
     linked = per_record.join(persons, c.record).dropna(subset=[c.person])
-    return _parts(written(linked, "milestones", partition_by=[_KIND]), kinds, tuple(events), c)
+    return _written(linked, union.sources, c, null_times)
 
 
 def keys_matching(events: Events, patterns: Iterable[str], ignore_case: bool = False) -> DataFrame:

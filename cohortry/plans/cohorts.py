@@ -8,7 +8,7 @@ from ..functions.labels import follow_up_label, person_key
 from ..functions.text import any_like
 from ..functions.time import calendar_date, calendar_date_of_text, calendar_days, elapsed_days
 from ..operators.cohort import (
-    as_outcome, attrition, cohort_of_parts, events_after_index, frequency, left_join_suffixed, study_cohort,
+    as_outcome, attrition, build_cohort, cohort_of, events_after_index, frequency, left_join_suffixed, study_cohort,
 )
 from ..operators.events import first_occurrence, keys_matching, last_contact, rows_at_extreme, union_sources
 from ..operators.linking import canonical_person, link_events, link_extreme, link_keys
@@ -22,7 +22,7 @@ _EVENT_COLUMNS = _EVENT.split(", ")
 
 def cohort(t: Tables):
     """Index events with end of follow-up and label; events are scanned once."""
-    return cohort_of_parts(fx.cohort_parts(t), fx.COLUMNS, ["birthday"], keep=["birthday"])
+    return cohort_of(fx.cohort_milestones(t), ["birthday"], keep=["birthday"])
 
 
 def _index(t: Tables):
@@ -36,6 +36,16 @@ def _outcome(t: Tables):
 query("cohort", f"WITH {fx.COHORT_SQL} SELECT * FROM cohort")(cohort)
 
 
+@query("cohort_of_frames", f"WITH {fx.COHORT_SQL} SELECT * FROM cohort")
+def cohort_of_frames(t):
+    """The same cohort from frames that were found one by one."""
+    index = _index(t).select("master", "ts", "txt", "birthday")
+    contact = last_contact(fx.events(t), index)
+    return build_cohort(
+        index, _outcome(t), keys_matching(fx.events(t), fx.EXCLUDED), contact, fx.COLUMNS, ["birthday"]
+    )
+
+
 @query("cohort_members", f"WITH {fx.COHORT_SQL} SELECT * FROM cohort WHERE label = 1")
 def cohort_members(t):
     return cohort(t).filter("label = 1")
@@ -144,11 +154,11 @@ def index_with_outcome(t):
     UNION ALL SELECT 4, 'end after index', count(*), count(DISTINCT master) FROM cohort WHERE label = 1""",
 )
 def cohort_attrition(t):
-    parts = fx.cohort_parts(t)
-    index = first_occurrence(parts["index"])
-    allowed = index.join(parts["excluded"].frame.select("master").distinct(), "master", "left_anti")
+    found = fx.cohort_milestones(t)
+    index = first_occurrence(found["index"])
+    allowed = index.join(found["excluded"].frame.select("master").distinct(), "master", "left_anti")
     complete = drop_keys_where(allowed, "master", F.col("birthday").isNull(), hot=())
-    members = cohort(t).filter("label = 1")
+    members = cohort_of(found, ["birthday"], keep=["birthday"]).filter("label = 1")
     return attrition(
         {"index event": index, "not excluded": allowed, "birth date known": complete, "end after index": members},
         "master",

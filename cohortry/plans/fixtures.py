@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_like, drop_bracket_prefix
-from ..operators.events import EventColumns, Events, milestones
+from ..operators.events import EventColumns, Events, Milestones, milestones
 from ..operators.skew import skew_join
 from .registry import Tables
 
@@ -33,7 +33,7 @@ def events(t: Tables) -> Events:
         eid.alias("eid"),
         F.when(eid % 2 == 0, F.lit("out")).otherwise(F.lit("in")).alias("source"),
         user.alias("person"),
-        F.floor(user / 2).alias("master"),
+        F.shiftright(user, 1).alias("master"),
         F.concat_ws(" ", "event_type", "props").alias("txt"),
         F.when(eid % 41 != 0, F.col("ts")).alias("ts"),
         F.when(user % 23 != 0, born).alias("birthday"),
@@ -41,7 +41,7 @@ def events(t: Tables) -> Events:
     return Events(frame, ("out", "in"), COLUMNS)
 
 
-def cohort_parts(t: Tables) -> dict[str, Events]:
+def cohort_milestones(t: Tables) -> Milestones:
     txt = F.col("txt")
     return milestones(
         events(t),
@@ -129,7 +129,7 @@ def persons(t: Tables) -> DataFrame:
     return t.customer.select(
         F.col("c_custkey").alias("person_id"),
         F.col("c_name").alias("MASTER_INDEX"),
-        F.floor(F.col("c_custkey") / 2).cast("string").alias("MASTER_INDEX2"),
+        F.shiftright("c_custkey", 1).cast("string").alias("MASTER_INDEX2"),
         F.col("c_mktsegment").alias("segment"),
         F.when(F.col("c_nationkey") != 3, F.lit("1960-03-01").cast("timestamp_ntz")).alias("birthday"),
     )

@@ -240,4 +240,4 @@ def test_milestones_read_events_once(two_sources):
         # a person known only from an event without a time is still a match
         assert sorted(r.k for r in keys_matching(part, ["a"]).collect()) == [1, 2, 3]
     with pytest.raises(ValueError):
-        first_occurrence(part, null_times="drop")
+        first_occurrence(milestones(two_sources, {"a": None})["a"], null_times="drop")
