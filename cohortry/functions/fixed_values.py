@@ -38,6 +38,20 @@ MEDICATION_CATEGORY_PATTERN = "%药费%"
 # Sex codes.
 SEX_CODES = {"男": 0, "女": 1}
 
+# A drug code is excluded if its first characters contain the marker.
+EXCLUDED_CODE_MARKER = "1"
+CODE_HEAD_WIDTH = 3
+
+# Fixed value: a leading remark in ASCII or full-width brackets.
+BRACKET_PREFIX = r"^[(（].*?[)）]+"
+
+# Full-width brackets and their ASCII forms; question marks to remove.
+WIDE_BRACKETS, PLAIN_BRACKETS = "（）", "()"
+QUESTION_MARKS = "?？"
+
+# Fixed value: number of histogram bins when none is given.
+HISTOGRAM_BINS = 10
+
 # Fixed value: word appended when a walk through the dictionary stops one
 # character short of a tablet name.
 TABLET_SUFFIX = "片"

@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed_values import WHITE_SPACE
+from .fixed_values import (
+    BRACKET_PREFIX, CODE_HEAD_WIDTH, EXCLUDED_CODE_MARKER, PLAIN_BRACKETS, QUESTION_MARKS, WHITE_SPACE, WIDE_BRACKETS,
+)
 
 
 def like(col: Column, pattern: str) -> Column:
@@ -60,17 +62,17 @@ def drop_bracket_prefix(col: Column) -> Column:
     (?d) limits line ends to a line feed, so a carriage return inside the
     brackets does not stop the match.
     """
-    return F.regexp_replace(col, r"(?d)^[(（].*?[)）]+", "")
+    return F.regexp_replace(col, "(?d)" + BRACKET_PREFIX, "")
 
 
 def ascii_brackets(col: Column) -> Column:
     """Full-width to ASCII parentheses."""
-    return F.translate(col, "（）", "()")
+    return F.translate(col, WIDE_BRACKETS, PLAIN_BRACKETS)
 
 
 def drop_question_marks(col: Column) -> Column:
     """Remove `?` and its full-width form."""
-    return F.translate(col, "?？", "")
+    return F.translate(col, QUESTION_MARKS, "")
 
 
 def clean_label(col: Column) -> Column:
@@ -78,11 +80,11 @@ def clean_label(col: Column) -> Column:
     return drop_question_marks(strip_text(col))
 
 
-def code_head(col: Column, width: int = 3) -> Column:
+def code_head(col: Column, width: int = CODE_HEAD_WIDTH) -> Column:
     """The first characters of a code after stripping."""
     return F.substring(strip_text(col), 1, width)
 
 
-def excluded_code(col: Column, marker: str = "1", width: int = 3) -> Column:
+def excluded_code(col: Column, marker: str = EXCLUDED_CODE_MARKER, width: int = CODE_HEAD_WIDTH) -> Column:
     """True where the code head contains `marker`."""
     return code_head(col, width).contains(marker)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import HISTOGRAM_BINS
 from ..functions.time import elapsed_days, years
 from ..sources.shared import written
 
 
-def histogram(df: DataFrame, value: Column, bins: int = 10, weight: Column | None = None) -> DataFrame:
+def histogram(df: DataFrame, value: Column, bins: int = HISTOGRAM_BINS, weight: Column | None = None) -> DataFrame:
     """Equal-width bins between the smallest and the largest value: (bin, lo, hi, n).
 
     Every bin includes its lower edge and the last one its upper edge; bins without values
@@ -43,7 +44,7 @@ def histogram(df: DataFrame, value: Column, bins: int = 10, weight: Column | Non
     )
 
 
-def years_histogram(df: DataFrame, start: Column, end: Column, bins: int = 10) -> DataFrame:
+def years_histogram(df: DataFrame, start: Column, end: Column, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Histogram of the elapsed years between two times.
 
     Gaps are whole days, so the data is read once to count rows per day. Range and bins read

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import EXPOSURE_CODE_PREFIX
+from ..functions.fixed_values import EXCLUDED_CODE_MARKER, EXPOSURE_CODE_PREFIX
 from ..functions.text import excluded_code
 from .skew import BroadcastLimit, lookup_join, skew_join
 
@@ -48,7 +48,7 @@ def _counted(df: DataFrame, time: str, code: str, excluded_marker: str | None) -
 
 
 def first_exposure(
-    exposed: DataFrame, *, person: str, time: str, code: str, excluded_marker: str | None = "1"
+    exposed: DataFrame, *, person: str, time: str, code: str, excluded_marker: str | None = EXCLUDED_CODE_MARKER
 ) -> DataFrame:
     """Earliest dated exposure of each person, without codes whose head holds the marker."""
     kept = _counted(exposed, time, code, excluded_marker).filter(F.col(person).isNotNull())
@@ -66,7 +66,7 @@ def first_exposure_of_charges(
     person: str,
     time: str,
     code_prefix: str = EXPOSURE_CODE_PREFIX,
-    excluded_marker: str | None = "1",
+    excluded_marker: str | None = EXCLUDED_CODE_MARKER,
     limit: BroadcastLimit = BroadcastLimit(),
 ) -> DataFrame:
     """`first_exposure` of `exposures` without linking every charge to its person.

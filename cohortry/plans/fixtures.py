@@ -16,7 +16,7 @@ from .registry import Tables
 
 # Events of two sources. A person (`master`) can own several records (`person`).
 COLUMNS = EventColumns(person="master", record="person", time="ts", text="txt", source="source", order=("eid",))
-INDEX, OUTCOME, EXCLUDED = ("%sign%up%",), ("%err%: 9%", "%purch%: 5%"), ("%signup%: 33%",)
+INDEX, OUTCOME, EXCLUDED = ("%sign%up%",), ("%err%: 91%", "%purch%: 5%1%"), ("%signup%: 33%",)
 
 EVENTS_SQL = """v AS (
   SELECT event_id AS eid, CASE WHEN event_id % 2 = 0 THEN 'out' ELSE 'in' END AS source,
@@ -61,7 +61,7 @@ OUTCOME_SQL = """outc AS (
   SELECT * FROM (
     SELECT *, rank() OVER (PARTITION BY master ORDER BY ts) AS rk FROM (
       SELECT *, row_number() OVER (PARTITION BY source, person ORDER BY ts ASC NULLS FIRST, eid) AS rn
-      FROM v WHERE txt LIKE '%err%: 9%' OR txt LIKE '%purch%: 5%') WHERE rn = 1 AND ts IS NOT NULL) WHERE rk = 1)"""
+      FROM v WHERE txt LIKE '%err%: 91%' OR txt LIKE '%purch%: 5%1%') WHERE rn = 1 AND ts IS NOT NULL) WHERE rk = 1)"""
 EXCLUDED_SQL = "ex AS (SELECT DISTINCT master FROM v WHERE txt LIKE '%signup%: 33%')"
 CONTACT_SQL = """lc AS (
   SELECT DISTINCT master, ts, txt FROM (
