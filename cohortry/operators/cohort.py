@@ -129,7 +129,8 @@ def cohort_of(found: Milestones, required: Sequence[str] = (), keep: Sequence[st
     copies = F.when(F.col("observed"), F.sequence(F.lit(1).cast("bigint"), F.col("n"))).otherwise(
         F.array(F.lit(1).cast("bigint"))
     )
-    followed = timed.join(ends, [c.person, "end_time", "observed"]).withColumn("n", F.explode(copies)).drop("n")
+    matched = skew_join(ends, timed, [c.person, "end_time", "observed"], spread_by=["end_text"])
+    followed = matched.withColumn("n", F.explode(copies)).drop("n")
     open_end = timed.filter(F.col("end_time").isNull())
     result = _labelled(followed.unionByName(open_end, allowMissingColumns=True))
     return result.select(

@@ -144,8 +144,8 @@ def first_occurrence(
         )
         return kept.select(*[_field(n, c.person) for n in columns])
     if per == "record":
-        # one row per record and source is left: no sketch, adaptive execution can split
-        return rows_at_extreme(_per_record(events, "min", null_times), c.person, c.time, "min", hot=())
+        found = _per_record(events, "min", null_times)
+        return rows_at_extreme(found, c.person, c.time, "min", hot=_ties(events), spread_by=_spread(events))
     raise ValueError("per is 'person' or 'record'")
 
 
@@ -166,6 +166,16 @@ def _per_record(events: Events, how: str, null_times: str = "first") -> DataFram
     return _exploded(_extreme_per_source(events, c.record, how, null_times), c.record, events.frame.columns)
 
 
+def _ties(events: Events) -> tuple | None:
+    """Reduced events are a small table, where looking for large ties is cheap (None). Otherwise
+    the sketch would scan all events again (no keys): adaptive execution can split the join."""
+    return None if events.reduced else ()
+
+
+def _spread(events: Events) -> list[str]:
+    return list(events.columns.order)
+
+
 def latest_per_record(events: Events) -> DataFrame:
     """The latest dated event of each record and source."""
     return _per_record(events, "max")
@@ -182,7 +192,7 @@ def last_contact(events: Events, keys: DataFrame | None = None) -> DataFrame:
     latest = latest_per_record(replace(events, frame=lean)).select(c.person, c.time, c.text)
     if keys is not None:
         latest = latest.join(keys.select(c.person).distinct(), c.person, "left_semi")
-    return rows_at_extreme(latest, c.person, c.time, "max", hot=()).distinct()
+    return rows_at_extreme(latest, c.person, c.time, "max", hot=_ties(events)).distinct()
 
 
 # Column of a milestones table.

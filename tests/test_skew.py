@@ -95,3 +95,32 @@ def test_lookup_limit(spark, frames):
 def test_unsupported_join_is_refused(frames):
     with pytest.raises(ValueError):
         skew_join(*frames, "k", "full")
+
+
+def test_large_ties_of_one_person_are_spread(spark):
+    """A third of all records belongs to one person and all have the same time."""
+    from cohortry.operators.cohort import cohort_of
+    from cohortry.operators.events import EventColumns, Events, first_occurrence, milestones
+
+    n = 9_000
+    c = EventColumns(person="k", record="r", time="t", text="x", source="s", order=("r",))
+    hot = F.col("r") % 3 == 0
+    frame = spark.range(0, n, 1, 8).withColumnRenamed("id", "r").select(
+        "r", F.when(hot, F.lit(0)).otherwise(F.col("r")).alias("k"), F.lit("one").alias("s"),
+        F.when(hot, F.lit("2020-01-02")).otherwise(F.lit("2020-01-01")).cast("timestamp_ntz").alias("t"),
+        F.concat(F.lit("x"), F.col("r").cast("string")).alias("x"))
+    events = Events(frame, ("one",), c)
+    found = milestones(events, {"index": None, "outcome": None, "excluded": F.lit(False), "contact": None}, ["contact"])
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for df, rows in ((first_occurrence(found["outcome"], per="record"), n), (cohort_of(found), n)):
+            sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == rows
+            assert max(sizes) < n * 0.2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
