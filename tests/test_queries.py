@@ -4,8 +4,8 @@ import pytest
 from compare import spark_result, sql_result, tables
 
 import __spark_entry__ as entry_points
+from cohortry.plans import QUERIES, SQL
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
 # results that SQL cannot express; test_pca.py checks them against numpy
 ROWS_ONLY = {"pca_spectrum", "pca_fraction", "pca_loadings", "pca_scores"}
 
@@ -30,5 +30,10 @@ def test_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
 
+def test_all_queries_are_registered():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(SQL) <= set(entry_points.oracle_sql())
+
+
 def test_entry(spark):
     assert "label" in entry_points.entry(spark).columns
