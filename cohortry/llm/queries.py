@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language, secrets, shard_tree
+from . import byte_bpe, decontaminate, language, licenses, minhash, ngram_model, secrets, shard_tree, substring_dedup, vector_dedup
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -32,6 +32,17 @@ def held_out(parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(parts)) == 2
 
 
+@query
+def op1_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.without_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), width=2)
+
+
 @query
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -42,6 +53,16 @@ def op4_shard_tree(spark: SparkSession, folder: str) -> DataFrame:
     return shard_tree.shard_rows(table(spark, folder, "documents"), shard_tree.uniform(REGIONS, RACKS, SHARDS))
 
 
+@query
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, folder, "documents"))
+
+
+@query
+def op6_ngram_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_model.scores(table(spark, folder, "documents"), held_out(7))
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, folder, "documents"), BYTE_BPE, PATTERN)
@@ -52,6 +73,11 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"), BYTE_BPE, PATTERN)
 
 
+@query
+def op9_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, folder, "embeddings"))
+
+
 @query
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -59,6 +85,40 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, parser).select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score", "bits")
 
 
+SQL["op1_substrings"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, s, array_to_string(w[s:s + 34], ' ') AS seq
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM words WHERE len(w) >= 35)
+), repeated AS (
+    SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY seq) AS n FROM windows) WHERE n > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM repeated),
+lists AS (SELECT doc_id, count(*) AS n, list(i) AS places FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+    sha256(array_to_string(list_filter(w, lambda x, i: places IS NULL OR NOT list_contains(places, i)), ' ')) AS kept_sha256
+FROM words LEFT JOIN lists USING (doc_id)
+"""
+
+SQL["op2_minhash"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM words WHERE len(w) > 0))
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+    SELECT a, b FROM (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_sets FROM shingles x JOIN shingles y USING (s)
+        WHERE x.doc_id < y.doc_id GROUP BY 1, 2)
+    JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * both_sets >= 80 * (p.n + q.n - both_sets)
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)
+"""
+
 # The words of a text, as in the pattern of the contract, and every window of ten of them (or
 # the whole of a shorter item).
 SQL["op3_decontaminate"] = r"""
@@ -122,3 +182,16 @@ SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
     CAST(CASE WHEN moves THEN {REGIONS * RACKS * SHARDS} ELSE shard END AS INTEGER) AS grown_shard
 FROM rows JOIN shard USING (k)
 """
+
+SQL["op9_vectors"] = """
+WITH RECURSIVE vectors AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sound AS (
+    SELECT vec_id, e FROM vectors WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, lambda x: x != 0)) > 0
+), links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.vec_id != y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9
+), reach(a, b) AS (SELECT vec_id, vec_id FROM vectors UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+"""
