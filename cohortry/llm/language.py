@@ -35,6 +35,7 @@ UNKNOWN = "und"
 SAMPLE_BYTES, SAMPLE_ROWS = 240_000, 2_000
 # Characters of a sampled text that may be learned from.
 SAMPLE_CHARS = 20_000
+FOREIGN = 10.0
 
 LETTERS = np.zeros(256, bool)
 LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
@@ -101,28 +102,37 @@ def suffix_automaton(words: list[bytes], symbol: np.ndarray, symbols: int) -> np
 
 
 def train(labelled: list[tuple[str, str]], sample_bytes: int = SAMPLE_BYTES) -> Parser:
-    """Automata from (language, text) rows; each language may learn from an equal share of the bytes."""
+    """Automata from (language, text) rows; each language may learn from an equal share of the bytes.
+
+    Words that are FOREIGN times as frequent in another language are left out: they stand in
+    quotations, names and notices.
+    """
     names = sorted({name for name, _ in labelled})
-    words: dict[str, list[bytes]] = {}
+    found: dict[str, tuple[list[bytes], np.ndarray, np.ndarray]] = {}
     for name in names:
-        left, known = sample_bytes // len(names), {}
-        for other, text in labelled:
-            if other == name and left > 0:
-                chunk = tk.lowered(next(tk.chunks(pa.array([text]))))
-                found = tk.find_words(chunk, LETTERS)
-                for s, e in zip(found.start.tolist(), found.end.tolist(), strict=True):
-                    word = chunk.data[s:e].tobytes()
-                    if word not in known:
-                        left -= len(word) + 2
-                        if left < 0:
-                            break
-                        known[word] = True
-        words[name] = list(known)
-    used = sorted({b" "[0], *(byte for own in words.values() for word in own for byte in word)})
+        chunk = tk.lowered(next(tk.chunks(pa.array(["\n".join(text for other, text in labelled if other == name)]))))
+        words = tk.find_words(chunk, LETTERS)
+        marks, first, count = np.unique(tk.fingerprints(chunk.data, words), return_index=True, return_counts=True)
+        order = np.argsort(first)
+        spelled = [chunk.data[words.start[i]:words.end[i]].tobytes() for i in first[order].tolist()]
+        found[name] = spelled, marks[order], count[order] / max(1, count.sum())
+    highest: dict[int, float] = {}
+    for _, marks, rate in found.values():
+        for mark, share in zip(marks.tolist(), rate.tolist(), strict=True):
+            highest[mark] = max(share, highest.get(mark, 0.0))
+    kept: list[list[bytes]] = []
+    for spelled, marks, rate in found.values():
+        left, own = sample_bytes // len(names), []
+        for word, mark, share in zip(spelled, marks.tolist(), rate.tolist(), strict=True):
+            if share * FOREIGN >= highest[mark] and len(word) + 2 <= left:
+                left -= len(word) + 2
+                own.append(word)
+        kept.append(own)
+    used = sorted({b" "[0], *(byte for own in kept for word in own for byte in word)})
     symbol = np.full(256, len(used), np.int32)
     symbol[used] = np.arange(len(used))
-    sizes = [max(2, sum(len(w) + 2 for w in own)) for own in words.values()]
-    return Parser(names, symbol, [suffix_automaton(own, symbol, len(used)) for own in words.values()], np.log2(np.array(sizes, float)))
+    sizes = [max(2, sum(len(w) + 2 for w in own)) for own in kept]
+    return Parser(names, symbol, [suffix_automaton(own, symbol, len(used)) for own in kept], np.log2(np.array(sizes, float)))
 
 
 def phrases(parser: Parser, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -230,7 +240,10 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
 
 
 def accepted(docs: DataFrame, parser: Parser) -> DataFrame:
-    """The rows of `docs` whose text has a language; all columns stay."""
+    """The rows of `docs` whose text has a language; all columns stay.
+
+    A parser that has learned nothing rejects only texts without a letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(parser)
     place = docs.columns.index("text")
 
@@ -239,8 +252,12 @@ def accepted(docs: DataFrame, parser: Parser) -> DataFrame:
         for batch in batches:
             kept = np.zeros(batch.num_rows, bool)
             for chunk in tk.chunks(batch.column(place)):
-                found, _, _ = scores(own, tk.lowered(chunk))
-                kept[chunk.row:chunk.row + chunk.rows] = [name != UNKNOWN for name in found]
+                low = tk.lowered(chunk)
+                if own.names:
+                    good = [name != UNKNOWN for name in scores(own, low)[0]]
+                else:
+                    good = [has_letter(low.text(r)) for r in range(low.rows)]
+                kept[chunk.row:chunk.row + chunk.rows] = good
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(keep, docs.schema)
