@@ -12,9 +12,10 @@ from ..functions.fixed_values import EXCLUDED_PATTERNS, INDEX_PATTERNS, OUTCOME_
 from ..functions.labels import follow_up_label
 from ..functions.text import any_like
 from ..functions.time import calendar_days
+from ..sources.shared import written
 from .events import KIND, EventColumns, Milestones, linked_milestones
 from .linking import canonical_person
-from .skew import as_list, skew_join
+from .skew import Hot, as_list, skew_join
 
 
 def as_outcome(df: DataFrame, columns: EventColumns, prefix: str = "outcome") -> DataFrame:
@@ -61,10 +62,9 @@ def build_cohort(
         .withColumn("end_time", F.coalesce("__outcome", "__contact"))
         .drop("__outcome", "__contact")
     )
-    # then every event at that time: a person with many ties spreads by time, and
-    # adaptive execution may split either side of an inner join
+    # then every event at that time, written once: it is read for its hot keys and for the join
     ends = outcome.withColumn("observed", F.lit(True)).unionByName(contact.withColumn("observed", F.lit(False)))
-    followed = timed.join(ends, [c.person, "end_time", "observed"])
+    followed = skew_join(written(ends, "ends"), timed, [c.person, "end_time", "observed"]).select(*timed.columns, "end_text")
     open_end = timed.filter(F.col("end_time").isNull()).withColumn("end_text", F.lit(None).cast("string"))
     return _labelled(followed.unionByName(open_end))
 
@@ -74,24 +74,17 @@ def _labelled(followed: DataFrame) -> DataFrame:
     return followed.withColumn("gap_days", gap).withColumn("label", follow_up_label(F.col("gap_days")))
 
 
-def cohort_of(found: Milestones, required: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
-    """`build_cohort` over milestones of the kinds index, outcome, excluded and contact.
+def _columns(names: Iterable[str]) -> list[Column]:
+    return [F.col(f"`{n}`") for n in names]
 
-    Same rows, but milestones need no joins to find them: one aggregate per person yields
-    the index events, the exclusion and the time of the end. Only the texts at that
-    time are joined, equal ones as a count, so that many copies of one text do not travel.
-    `keep` names the person columns of the result, by default all columns of the index event.
-    """
+
+def _people(found: Milestones, keep: Sequence[str], required: Sequence[str]) -> DataFrame:
+    """One row per person: index events (array, ties kept), time of the first outcome and the last
+    contact, and whether the person is excluded or lacks a required column."""
     c, table = found.events.columns, found.table
     kind, time = F.col(KIND), F.col(c.time)
-    if keep is None:
-        keep = [n for n in table.columns if n not in (KIND, c.person, c.time, c.text)]
-
-    def columns(names):
-        return [F.col(f"`{n}`") for n in names]
-
-    event = F.struct(time.alias("index_time"), F.col(c.text).alias("index_text"), *columns(keep))
-    rank = F.struct(*columns([c.time, *c.order]))
+    event = F.struct(time.alias("index_time"), F.col(c.text).alias("index_text"), *_columns(keep))
+    rank = F.struct(*_columns([c.time, *c.order]))
     candidate = (kind == "index") & (time.isNotNull() | F.lit(found.events.reduced == "first"))
     firsts = [
         F.min_by(event, F.when(candidate & (F.col(c.source) == s), rank)).alias(f"__s{i}")
@@ -106,13 +99,31 @@ def cohort_of(found: Milestones, required: Sequence[str] = (), keep: Sequence[st
     dated = F.filter(
         F.array(*[f"__s{i}" for i in range(len(firsts))]), lambda e: e.isNotNull() & e["index_time"].isNotNull()
     )
-    people = people.filter(~F.col("__excluded")).withColumn("__dated", dated)
+    people = people.withColumn("__dated", dated)
     earliest = F.array_min(F.transform("__dated", lambda e: e["index_time"]))
     people = people.withColumn("__first", earliest)
     people = people.withColumn("__index", F.filter("__dated", lambda e: e["index_time"] == F.col("__first")))
+    incomplete = F.lit(False)
     if required:
         incomplete = F.exists("__index", lambda e: reduce(lambda a, b: a | b, (e[n].isNull() for n in required)))
-        people = people.filter(~incomplete)
+    return people.select(
+        c.person, "__first", "__index", "__excluded", "__outcome", "__contact", incomplete.alias("__incomplete")
+    )
+
+
+def cohort_of(found: Milestones, required: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
+    """`build_cohort` over milestones of the kinds index, outcome, excluded and contact.
+
+    Same rows, but milestones need no joins to find them: one aggregate per person yields
+    the index events, the exclusion and the time of the end. Only the texts at that
+    time are joined, equal ones as a count, so that many copies of one text do not travel.
+    `keep` names the person columns of the result, by default all columns of the index event.
+    """
+    c, table = found.events.columns, found.table
+    kind, time = F.col(KIND), F.col(c.time)
+    if keep is None:
+        keep = [n for n in table.columns if n not in (KIND, c.person, c.time, c.text)]
+    people = _people(found, keep, required).filter(~F.col("__excluded") & ~F.col("__incomplete"))
     timed = people.select(
         c.person,
         F.explode("__index").alias("e"),
@@ -120,32 +131,44 @@ def cohort_of(found: Milestones, required: Sequence[str] = (), keep: Sequence[st
         F.coalesce("__outcome", "__contact").alias("end_time"),
     ).select(c.person, "e.*", "observed", "end_time")
 
-    # outcomes keep their number, contacts are distinct
+    # contacts are distinct; equal outcomes keep their number, in groups that differ by a hash of
+    # the event, so that neither one row nor one task holds all of them
+    observed = kind == "outcome"
+    part = F.when(observed, F.pmod(F.xxhash64(*_columns(c.order or [c.record])), F.lit(COPY_GROUPS))).otherwise(F.lit(0))
     ends = (
         table.filter(kind.isin("outcome", "contact") & time.isNotNull())
-        .groupBy(c.person, time.alias("end_time"), (kind == "outcome").alias("observed"), F.col(c.text).alias("end_text"))
+        .groupBy(
+            c.person, time.alias("end_time"), observed.alias("observed"), F.col(c.text).alias("end_text"),
+            part.cast("int").alias("__part"),
+        )
         .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("n", F.when(F.col("observed"), F.col("n")).otherwise(F.lit(1)))
     )
-    copies = F.when(F.col("observed"), F.sequence(F.lit(1).cast("bigint"), F.col("n"))).otherwise(
-        F.array(F.lit(1).cast("bigint"))
+    matched = skew_join(ends, timed, [c.person, "end_time", "observed"], spread_by=["end_text", "__part"])
+    # two steps, so that an array holds the square root of a count
+    step = F.ceil(F.sqrt("n"))
+    blocks = matched.withColumn("__step", step).withColumn("__at", F.explode(F.expr("sequence(1, n, __step)")))
+    followed = blocks.withColumn("__at", F.explode(F.expr("sequence(__at, least(n, __at + __step - 1))"))).drop(
+        "n", "__part", "__step", "__at"
     )
-    matched = skew_join(ends, timed, [c.person, "end_time", "observed"], spread_by=["end_text"])
-    followed = matched.withColumn("n", F.explode(copies)).drop("n")
     open_end = timed.filter(F.col("end_time").isNull())
     result = _labelled(followed.unionByName(open_end, allowMissingColumns=True))
     return result.select(
-        c.person, "index_time", "index_text", *columns(keep), "end_time", "end_text", "observed", "gap_days", "label"
+        c.person, "index_time", "index_text", *_columns(keep), "end_time", "end_text", "observed", "gap_days", "label"
     )
 
 
-# Columns of the diagnosis, visit and person tables.
+# Columns of the diagnosis, visit and person tables. Events at one time come in order of their text.
 CLINICAL_COLUMNS = EventColumns(
-    person="MASTER_INDEX", record="PERSON_ID", time="DIAG_TIME", text="DISEASE_NAME", source="SOURCE"
+    person="MASTER_INDEX", record="PERSON_ID", time="DIAG_TIME", text="DISEASE_NAME", source="SOURCE",
+    order=("DISEASE_NAME", "REG_ID"),
 )
+# Groups that equal outcomes of one person are counted in.
+COPY_GROUPS = 256
 
 
 def study_cohort(
-    diagnoses: Mapping[str, DataFrame],
+    diagnoses: Mapping[str, DataFrame] | DataFrame,
     visits: Mapping[str, DataFrame],
     persons: DataFrame,
     *,
@@ -161,7 +184,7 @@ def study_cohort(
 ) -> DataFrame:
     """The labelled cohort from diagnosis and visit tables per source and one person table.
 
-    All diagnoses are read once. The study population is `filter('label = 1')`.
+    Diagnoses may also come as one frame with a source column. Each table is read once. The study population is `filter('label = 1')`.
     """
     text = F.col(columns.text)
     kinds = {
@@ -175,6 +198,45 @@ def study_cohort(
     return cohort_of(found, required, keep=[n for n in people.columns if n != columns.person])
 
 
+def attrition_of(found: Milestones, required: Sequence[str] = ()) -> DataFrame:
+    """Rows and persons of `cohort_of` after each of its steps, from one row per person.
+
+    The steps are: with an index event, not excluded, complete, and followed beyond the index day
+    (with one row per index event and end of follow-up). Ends are counted, not joined.
+    """
+    c = found.events.columns
+    kind, time = F.col(KIND), F.col(c.time)
+    texts = found.table.filter(kind.isin("outcome", "contact") & time.isNotNull()).groupBy(
+        c.person, time.alias("t"), kind.alias("k"), F.col(c.text).alias("text")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    # outcomes keep their number, contacts are distinct
+    times = texts.groupBy(c.person, "t", "k").agg(
+        F.sum(F.when(F.col("k") == "outcome", F.col("n")).otherwise(F.lit(1))).alias("n")
+    )
+    ends = times.groupBy(c.person).agg(
+        F.min_by("n", F.when(F.col("k") == "outcome", F.col("t"))).alias("outcomes"),
+        F.max_by("n", F.when(F.col("k") == "contact", F.col("t"))).alias("contacts"),
+    )
+    people = _people(found, required, required).filter(F.size("__index") > 0).join(ends, c.person, "left")
+    end = F.coalesce("__outcome", "__contact")
+    followed = follow_up_label(calendar_days(F.col("__first"), end)) == 1
+    n_ends = F.when(end.isNull(), F.lit(1)).otherwise(F.coalesce("outcomes", "contacts"))
+    allowed, complete = ~F.col("__excluded"), ~F.col("__excluded") & ~F.col("__incomplete")
+    rows = F.size("__index").cast("bigint")
+    steps = [
+        ("index event", F.lit(True), rows), ("not excluded", allowed, rows), ("required columns known", complete, rows),
+        ("end after index", complete & followed, rows * n_ends),
+    ]
+    counts = people.agg(F.array(*[
+        F.struct(
+            F.lit(i).alias("step_no"), F.lit(name).alias("step"),
+            F.coalesce(F.sum(F.when(there, n)), F.lit(0)).cast("bigint").alias("n_rows"), F.count_if(there).alias("n_persons"),
+        )
+        for i, (name, there, n) in enumerate(steps, 1)
+    ]).alias("steps"))
+    return counts.select(F.inline("steps"))
+
+
 def attrition(steps: Mapping[str, DataFrame], person: str) -> DataFrame:
     """Rows and distinct persons after each step, in step order."""
     counts = [
@@ -191,7 +253,7 @@ def left_join_suffixed(
     right: DataFrame,
     on: str | Sequence[str],
     suffixes: tuple[str, str] = ("_x", "_y"),
-    hot: Sequence[int] | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Left join on a key; columns that both sides have get a suffix each."""
     on = as_list(on)

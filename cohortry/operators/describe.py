@@ -14,14 +14,14 @@ def histogram(df: DataFrame, value: Column, bins: int = HISTOGRAM_BINS, weight:
     """Equal-width bins between the smallest and the largest value: (bin, lo, hi, n).
 
     Every bin includes its lower edge and the last one its upper edge; bins without values
-    have n = 0. NULL and NaN are left out. A single distinct value gets the range half
+    have n = 0. NULL, NaN and infinite values are left out. A single distinct value gets the range half
     below to half above it, and no values at all the range 0 to 1. `weight` counts
     a row several times, so that equal values can be aggregated beforehand.
 
     The range is found first, by a job of its own that returns two numbers.
     """
     data = df.select(value.cast("double").alias("v"), (weight if weight is not None else F.lit(1)).alias("w")).filter(
-        F.col("v").isNotNull() & ~F.isnan("v")
+        F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))
     )
     low, high = data.agg(F.min("v"), F.max("v")).first()
     if low is None:

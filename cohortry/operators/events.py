@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import any_like
 from ..sources.shared import written
-from .skew import as_list, skew_join
+from .skew import Hot, as_list, skew_join
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ def rows_at_extreme(
     keys: str | Sequence[str],
     time: str,
     how: str = "min",
-    hot: Sequence[int] | None = None,
+    hot: Hot | None = None,
     spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """All rows at the earliest or latest time of their key, ties kept.
@@ -91,8 +91,8 @@ def _null_times(events: Events, wanted: str) -> str:
     return events.reduced or wanted
 
 
-def _extreme_per_source(events: Events, key: str, how: str, null_times: str) -> DataFrame:
-    """One row per key with an array: the earliest (latest) event of each source.
+def _extreme_per_source(events: Events, keys: Sequence[str], how: str, null_times: str) -> DataFrame:
+    """One row per value of `keys` with an array: the earliest (latest) event of each source.
 
     A plain aggregate: every map task sends at most one row per key, however many
     events a key has. A missing time is the lowest value, so it comes first in
@@ -109,12 +109,12 @@ def _extreme_per_source(events: Events, key: str, how: str, null_times: str) ->
     per_source = [
         pick(row, F.when(F.col(c.source) == name, rank)).alias(f"__s{i}") for i, name in enumerate(events.sources)
     ]
-    found = frame.groupBy(F.col(key).alias("__key")).agg(*per_source)
+    found = frame.groupBy(*[F.col(f"`{k}`").alias(f"__key_{k}") for k in keys]).agg(*per_source)
     dated = F.filter(
         F.array(*[f"__s{i}" for i in range(len(events.sources))]),
         lambda e: e.isNotNull() & e[c.time].isNotNull(),
     )
-    return found.select("__key", dated.alias("__events"))
+    return found.select(*[f"`__key_{k}`" for k in keys], dated.alias("__events"))
 
 
 def first_occurrence(
@@ -128,7 +128,7 @@ def first_occurrence(
     """Each person's first matching event over all sources, ties kept.
 
     `per='person'` takes the earliest event of each person and source, `per='record'`
-    that of each record and source; then all rows at the person's earliest time remain.
+    that of each record of the person and source; then all rows at the person's earliest time remain.
     """
     c = events.columns
     null_times = _null_times(events, null_times)
@@ -137,39 +137,37 @@ def first_occurrence(
     columns = events.frame.columns
     if per == "person":
         # at most one event per source and person: the rest happens inside the row
-        found = _extreme_per_source(events, c.person, "min", null_times)
+        found = _extreme_per_source(events, [c.person], "min", null_times)
         earliest = F.array_min(F.transform("__events", lambda e: e[c.time]))
-        kept = found.withColumn("__first", earliest).select(
-            F.col("__key"), F.explode(F.filter("__events", lambda e: e[c.time] == F.col("__first"))).alias("e")
+        tied = found.withColumn("__first", earliest).withColumn(
+            "__events", F.filter("__events", lambda e: e[c.time] == F.col("__first"))
         )
-        return kept.select(*[_field(n, c.person) for n in columns])
+        return _exploded(tied, [c.person], columns)
     if per == "record":
         found = _per_record(events, "min", null_times)
-        return rows_at_extreme(found, c.person, c.time, "min", hot=_ties(events), spread_by=_spread(events))
+        return rows_at_extreme(found, c.person, c.time, "min", spread_by=_spread(events))
     raise ValueError("per is 'person' or 'record'")
 
 
-def _field(name: str, key: str) -> Column:
-    # the grouping column itself keeps the partitioning by key for later joins
-    return (F.col("__key") if name == key else F.col(f"e.`{name}`")).alias(name)
-
-
-def _exploded(found: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    return found.select("__key", F.explode("__events").alias("e")).select(*[_field(n, key) for n in columns])
+def _exploded(found: DataFrame, keys: Sequence[str], columns: list[str]) -> DataFrame:
+    own = [f"`__key_{k}`" for k in keys]
+    # the grouping columns themselves keep the partitioning for later joins
+    fields = [F.col(f"`__key_{n}`" if n in keys else f"e.`{n}`").alias(n) for n in columns]
+    return found.select(*own, F.explode("__events").alias("e")).select(*fields)
 
 
 def _per_record(events: Events, how: str, null_times: str = "first") -> DataFrame:
-    """The earliest (latest) dated event of each record and source."""
+    """The earliest (latest) dated event of each record and source, as a written table.
+
+    A record counts once for each person it belongs to. The table is read three times by
+    `rows_at_extreme` (times, hot ties, rows), raw events are read once.
+    """
     c = events.columns
     if events.reduced:
         return events.frame.dropna(subset=[c.person, c.time])
-    return _exploded(_extreme_per_source(events, c.record, how, null_times), c.record, events.frame.columns)
-
-
-def _ties(events: Events) -> tuple | None:
-    """Reduced events are a small table, where looking for large ties is cheap (None). Otherwise
-    the sketch would scan all events again (no keys): adaptive execution can split the join."""
-    return None if events.reduced else ()
+    keys = list(dict.fromkeys([c.person, c.record]))
+    found = _exploded(_extreme_per_source(events, keys, how, null_times), keys, events.frame.columns)
+    return written(found, "records")
 
 
 def _spread(events: Events) -> list[str]:
@@ -188,11 +186,12 @@ def last_contact(events: Events, keys: DataFrame | None = None) -> DataFrame:
     reduced to one row per record and source, so raw events are never shuffled for it.
     """
     c = events.columns
-    lean = events.frame.select(c.person, c.record, c.time, c.text, c.source, *c.order)
+    lean = events.frame.select(*dict.fromkeys([c.person, c.record, c.time, c.text, c.source, *c.order]))
     latest = latest_per_record(replace(events, frame=lean)).select(c.person, c.time, c.text)
     if keys is not None:
         latest = latest.join(keys.select(c.person).distinct(), c.person, "left_semi")
-    return rows_at_extreme(latest, c.person, c.time, "max", hot=_ties(events)).distinct()
+    # distinct first: equal contacts would share a salt
+    return rows_at_extreme(latest.distinct(), c.person, c.time, "max", spread_by=[c.text])
 
 
 # Column of a milestones table.
@@ -242,7 +241,7 @@ def milestones(
 ) -> Milestones:
     """Reduce events to the few that a cohort needs, in one scan and one shuffle.
 
-    `kinds` maps a name to the condition of its events (None: every event). Of each
+    `kinds` maps a name to the condition of its events (None: every event). Of each person,
     record, source and kind the earliest event stays, or the latest for names in `latest`.
     first_occurrence, last_contact and keys_matching give the same on a part as on all
     events of that kind. `null_times` has the meaning it has in first_occurrence.
@@ -252,12 +251,13 @@ def milestones(
     """
     c, null_times = events.columns, _null_times(events, null_times)
     tagged = _tagged(events.frame.dropna(subset=[c.person]), kinds)
-    reduced = _reduced(tagged, [c.record, c.source], c, list(latest), null_times)
+    by = list(dict.fromkeys([c.person, c.record, c.source]))
+    reduced = _reduced(tagged, by, c, list(latest), null_times)
     return _written(reduced, events.sources, c, null_times)
 
 
 def linked_milestones(
-    events: Mapping[str, DataFrame],
+    events: Mapping[str, DataFrame] | DataFrame,
     visits: Mapping[str, DataFrame],
     persons: DataFrame,
     visit: str,
@@ -268,12 +268,15 @@ def linked_milestones(
 ) -> Milestones:
     """`milestones` for events that know their visit only: event -> visit -> record -> person.
 
+    Events come as one frame per source or as one frame with a source column.
+
     Events shrink to one row per visit and kind before they meet the visits, and to one per
     record, source and kind before they meet the persons. So neither join has a hot key
     and raw events are shuffled by the map-side result of an aggregate only.
     """
     c, latest = columns, list(latest)
-    union = Events(union_sources(events, c.source), tuple(events), c)
+    frame = union_sources(events, c.source) if isinstance(events, Mapping) else events
+    union = Events(frame, tuple(visits), c)
     null_times = _null_times(union, null_times)
     per_visit = _reduced(_tagged(union.frame, kinds), [c.source, visit], c, latest, null_times)
     of_visit = union_sources({n: df.select(visit, c.record) for n, df in visits.items()}, c.source)

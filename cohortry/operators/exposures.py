@@ -1,4 +1,7 @@
-"""Exposures to coded items and each person's first exposure."""
+"""Exposures to coded items and each person's first exposure.
+
+Charges and visits may come per source, as mappings from a source to its table: a charge then
+belongs to a visit of its own source only, whatever visit numbers the sources share."""
 
 from __future__ import annotations
 
@@ -9,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import EXCLUDED_CODE_MARKER, EXPOSURE_CODE_PREFIX
 from ..functions.text import excluded_code
-from .skew import BroadcastLimit, lookup_join, skew_join
+from .linking import Table, by_source
+from .skew import BroadcastLimit, hot_keys, lookup_join, skew_join
 
 
 def _coded_charges(
@@ -26,20 +30,25 @@ def _coded_charges(
 
 
 def exposures(
-    charges: DataFrame,
+    charges: Table,
     codes: DataFrame,
-    visit_person: DataFrame,
+    visit_person: Table,
     *,
     item: str,
     code: str,
-    visit: str,
+    visit: str | Sequence[str],
     code_prefix: str = EXPOSURE_CODE_PREFIX,
     limit: BroadcastLimit = BroadcastLimit(),
     spread_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Charges of items whose code starts with `code_prefix`, with the person of the visit."""
+    """Charges of items whose code starts with `code_prefix`, with the person of the visit.
+
+    Hot visits are looked up in the charges themselves, not in the joined frame.
+    """
+    keys, (charges, visit_person) = by_source(visit, charges, visit_person)
+    hot = hot_keys(charges, keys)
     coded = _coded_charges(charges, codes, item, code, code_prefix, limit)
-    return skew_join(coded, visit_person, visit, spread_by=spread_by)
+    return skew_join(coded, visit_person, keys, hot=hot, spread_by=spread_by)
 
 
 def _counted(df: DataFrame, time: str, code: str, excluded_marker: str | None) -> DataFrame:
@@ -56,13 +65,13 @@ def first_exposure(
 
 
 def first_exposure_of_charges(
-    charges: DataFrame,
+    charges: Table,
     codes: DataFrame,
-    visit_person: DataFrame,
+    visit_person: Table,
     *,
     item: str,
     code: str,
-    visit: str,
+    visit: str | Sequence[str],
     person: str,
     time: str,
     code_prefix: str = EXPOSURE_CODE_PREFIX,
@@ -74,7 +83,8 @@ def first_exposure_of_charges(
     The first time of a person is the first of the first times of the visits, so charges
     shrink to one row per visit in the map tasks before they are joined.
     """
-    coded = _coded_charges(charges.select(visit, item, time), codes, item, code, code_prefix, limit)
-    per_visit = _counted(coded, time, code, excluded_marker).groupBy(visit).agg(F.min(time).alias(time))
-    linked = per_visit.join(visit_person.select(visit, person), visit).filter(F.col(person).isNotNull())
+    keys, (charges, visit_person) = by_source(visit, charges, visit_person)
+    coded = _coded_charges(charges.select(*keys, item, time), codes, item, code, code_prefix, limit)
+    per_visit = _counted(coded, time, code, excluded_marker).groupBy(*keys).agg(F.min(time).alias(time))
+    linked = per_visit.join(visit_person.select(*keys, person), keys).filter(F.col(person).isNotNull())
     return linked.groupBy(person).agg(F.min(time).alias(time))

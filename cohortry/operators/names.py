@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import MEDICATION_CATEGORY_PATTERN, TABLET_SUFFIX
 from ..functions.labels import fill_missing
 from ..functions.text import any_like, ascii_brackets, drop_bracket_prefix, strip_text
-from ..sources.shared import use_checkpoints
+from ..sources.shared import use_checkpoints, written
 from .skew import BroadcastLimit, fits, key_profile, skew_join
 
 _RESULT = "standard string, code string"
@@ -167,7 +167,8 @@ def standardise(
     once, without a shuffle. A larger one goes through `walk_by_joins` over distinct names.
     `missing` replaces the standard name of a NULL name; by default it stays NULL.
     """
-    table = dictionary_table(dictionary, word, code, order, code_match)
+    # measured, collected or joined: written once, so that the dictionary is built once
+    table = written(dictionary_table(dictionary, word, code, order, code_match), "dictionary")
     if fits(table, limit):
         result = names.withColumn("__s", _broadcast_walk(F.col(name), table, suffix)).select(
             *names.columns, "__s.standard", "__s.code"

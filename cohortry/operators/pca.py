@@ -8,9 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,11 +20,9 @@ class Components:
     The sign of a component is arbitrary; here its largest loading is positive.
     """
 
-    scaler: StandardScalerModel
-    model: PCAModel
+    mean: np.ndarray
     components: np.ndarray
     ratios: np.ndarray
-    signs: np.ndarray
 
     def spectrum(self, spark) -> DataFrame:
         """(component, ratio, cumulative): at most one row per feature."""
@@ -39,58 +36,84 @@ class Components:
         return spark.createDataFrame(rows, "component int, feature int, loading double")
 
 
-def _vectors(df: DataFrame, features: str) -> DataFrame:
-    if df.schema[features].dataType.typeName() == "array":
-        return df.withColumn("__x", array_to_vector(F.col(features).cast("array<double>")))
-    return df.withColumn("__x", F.col(features))
+def _arrays(df: DataFrame, features: str) -> Column:
+    """The features as an array of doubles, NULL where an element is missing or not finite."""
+    x = F.col(features)
+    x = (x if df.schema[features].dataType.typeName() == "array" else vector_to_array(x)).cast("array<double>")
+    return F.when(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), x)
 
 
 def pca_fit(df: DataFrame, features: str, n_components: int | float | None = None) -> Components:
     """Fit components on centred features.
 
     None keeps min(rows, features) components, a whole number that many, and a fraction between
-    0 and 1 the fewest whose variance ratios add up to more than it. The work is one
-    distributed Gram matrix; only features x features numbers reach the driver.
+    0 and 1 the fewest whose variance ratios add up to more than it. The work is one pass for
+    the Gram matrix; only features x features numbers reach the driver. Rows with a missing or
+    non-finite element are left out.
     """
-    data = _vectors(df, features).select("__x").dropna()
-    scaler = StandardScaler(inputCol="__x", outputCol="__c", withMean=True, withStd=False).fit(data)
-    width = scaler.mean.size
-    most = width if data.limit(width).count() == width else data.count()
+    found = _gram(df, features).collect()
+    n = found[0]["n"] if found else 0
+    width = max((r["j"] for r in found), default=-1) + 1
+    most = min(n, width)
     if n_components is not None and not (
         0 < n_components < 1 or (float(n_components).is_integer() and 1 <= n_components <= most)
     ):
         raise ValueError(f"n_components is None, a fraction or a whole number up to {most}")
-    fraction = n_components is not None and n_components < 1
-    k = most if n_components is None or fraction else int(n_components)
-    model = PCA(k=k, inputCol="__c", outputCol="__s").fit(scaler.transform(data))
-    components, ratios = model.pc.toArray().T, model.explainedVariance.toArray()
-    if fraction:
+    mean, scatter = np.zeros(width), np.zeros((width, width))
+    for r in found:
+        scatter[r["i"], r["j"]] = scatter[r["j"], r["i"]] = r["g"] - r["si"] * r["sj"] / n
+        if r["i"] == r["j"]:
+            mean[r["i"]] = r["shift"] + r["si"] / n
+    values, vectors = np.linalg.eigh(scatter)
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1].T
+    ratios = values / values.sum() if values.sum() > 0 else values
+    if n_components is None:
+        k = most
+    elif n_components < 1:
         k = min(int(np.searchsorted(np.cumsum(ratios), n_components, side="right")) + 1, most)
-        components, ratios = components[:k], ratios[:k]
+    else:
+        k = int(n_components)
+    components, ratios = vectors[:k], ratios[:k]
     signs = np.sign(components[np.arange(k), np.abs(components).argmax(axis=1)])
     signs[signs == 0] = 1.0
-    return Components(scaler, model, components * signs[:, None], ratios, signs)
+    return Components(mean, components * signs[:, None], ratios)
 
 
 def pca_scores(df: DataFrame, fitted: Components, features: str, keep: list[str]) -> DataFrame:
-    """The kept columns and one score column pc1, pc2, ... per component."""
-    scored = fitted.model.transform(fitted.scaler.transform(_vectors(df, features)))
-    scores = scored.withColumn("__a", vector_to_array("__s"))
-    return scores.select(
-        *keep, *[(F.col("__a")[i] * F.lit(float(s))).alias(f"pc{i + 1}") for i, s in enumerate(fitted.signs)]
-    )
+    """The kept columns and one score column pc1, pc2, ... per component; NULL without features."""
+    names = [f"pc{i + 1}" for i in range(len(fitted.ratios))]
+    source = df.select(*keep, _arrays(df, features).alias("__x"))
+    turn, mean = fitted.components.T, fitted.mean
 
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(len(keep))
+            known = column.is_valid().to_numpy(zero_copy_only=False)
+            scores = np.zeros((batch.num_rows, len(names)))
+            scores[known] = (_matrix(column.drop_null(), len(mean)) - mean) @ turn
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], *(pa.array(s, mask=~known) for s in scores.T)], names=[*keep, *names]
+            )
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), *(f"{n} double" for n in names)])
+    return source.mapInArrow(project, schema)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    lengths = pc.min_max(pc.list_value_length(column)).as_py()
+    if len(column) and (lengths["min"] != width or lengths["max"] != width):
+        raise ValueError("feature vectors differ in length")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
-def covariance(df: DataFrame, features: str) -> DataFrame:
-    """Sample covariance of every pair of features: (i, j, cov) with i <= j.
+
+def _gram(df: DataFrame, features: str) -> DataFrame:
+    """(i, j, n, si, sj, g, shift) with i <= j: rows, sums and products of features i and j.
 
     One pass: each partition reduces to its count, sums and Gram matrix, and these add up.
     Values are shifted by one data row first, which does not change a covariance and keeps
-    the sums small. Rows with a missing vector or element are left out.
+    the sums small.
     """
-    data = df.select(F.col(features).cast("array<double>").alias("x")).filter(
-        F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull())
-    )
+    data = df.select(_arrays(df, features).alias("x")).filter(F.col("x").isNotNull())
     first = data.first()
     shift = np.array(first.x if first else [])
 
@@ -98,9 +121,7 @@ def covariance(df: DataFrame, features: str) -> DataFrame:
         n, total, gram = 0, np.zeros(len(shift)), np.zeros((len(shift), len(shift)))
         for batch in batches:
             column = batch.column(0)
-            if len(column) and set(pc.list_value_length(column).to_pylist()) != {len(shift)}:
-                raise ValueError("feature vectors differ in length")
-            x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(shift)) - shift
+            x = _matrix(column, len(shift)) - shift
             n, total, gram = n + len(x), total + x.sum(axis=0), gram + x.T @ x
         if n:
             width = len(shift)
@@ -115,10 +136,19 @@ def covariance(df: DataFrame, features: str) -> DataFrame:
             )
 
     parts = data.mapInArrow(partial, "i int, n bigint, si double, sums array<double>, gram array<double>")
-    summed = (
+    return (
         parts.select("i", "n", "si", F.posexplode(F.arrays_zip("sums", "gram")).alias("j", "e"))
         .filter("j >= i")
         .groupBy("i", "j")
         .agg(F.sum("n").alias("n"), F.sum("si").alias("si"), F.sum("e.sums").alias("sj"), F.sum("e.gram").alias("g"))
+        .withColumn("shift", F.get(F.array(*[F.lit(float(v)) for v in shift]).cast("array<double>"), F.col("i")))
     )
-    return summed.select("i", "j", ((F.col("g") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
+
+
+def covariance(df: DataFrame, features: str) -> DataFrame:
+    """Sample covariance of every pair of features: (i, j, cov) with i <= j.
+
+    Rows with a missing vector, or a missing or non-finite element, are left out.
+    """
+    g, si, sj, n = (F.col(c) for c in ("g", "si", "sj", "n"))
+    return _gram(df, features).select("i", "j", ((g - si * sj / n) / (n - 1)).alias("cov"))

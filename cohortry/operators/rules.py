@@ -83,6 +83,31 @@ def fill_by_pattern(
     )
 
 
+def rules_of_names(
+    standardised: DataFrame, *, name: str, standard: str = "standard", code: str = "code", order: str | None = None
+) -> DataFrame:
+    """Rules (pattern, rule_code, rule_standard, ord) from standardised names.
+
+    Names without a code make no rule; the name itself is the pattern. Rules come in the order of
+    `order`, by default of the names. Names of one order keep the order of their spelling.
+    """
+    rank = F.struct(F.col(order).alias("at"), F.col(name).alias("name")) if order else F.col(name)
+    return standardised.dropna(subset=[name, code]).select(
+        F.col(name).alias("pattern"), F.col(code).alias("rule_code"), F.col(standard).alias("rule_standard"), rank.alias("ord")
+    ).distinct()
+
+
+def fill_from_names(
+    catalog: DataFrame, standardised: DataFrame, *, name: str, code: str, standard: str, item: str, order: str | None = None,
+    limit: BroadcastLimit = BroadcastLimit(),
+) -> DataFrame:
+    """Fill codes of `catalog` from standardised names (`item`, standard, code) that its names contain."""
+    return fill_by_pattern(
+        catalog, rules_of_names(standardised, name=item, order=order), name=name, code=code, standard=standard,
+        rule_pattern="pattern", rule_code="rule_code", rule_standard="rule_standard", order="ord", limit=limit,
+    )
+
+
 def changed_rows(df: DataFrame, flag: str = "changed") -> DataFrame:
     """How many rows an update changed."""
     return df.agg(F.count_if(F.col(flag)).alias("n_changed"))

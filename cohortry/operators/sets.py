@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import as_list, skew_join
+from .skew import Hot, as_list, skew_join
 
 
 def restrict_to(df: DataFrame, members: DataFrame, key: str, spread_by: Sequence[str] = ()) -> DataFrame:
@@ -16,14 +16,14 @@ def restrict_to(df: DataFrame, members: DataFrame, key: str, spread_by: Sequence
 
 
 def exclude(
-    df: DataFrame, members: DataFrame, key: str, spread_by: Sequence[str] = (), hot: Sequence[int] | None = None
+    df: DataFrame, members: DataFrame, key: str, spread_by: Sequence[str] = (), hot: Hot | None = None
 ) -> DataFrame:
     """Rows whose key is not among the members; members that are not present do not matter."""
     return skew_join(df, members.select(key).dropna(), key, "left_anti", spread_by=spread_by, hot=hot)
 
 
 def drop_keys_where(
-    df: DataFrame, key: str, bad: Column, spread_by: Sequence[str] = (), hot: Sequence[int] | None = None
+    df: DataFrame, key: str, bad: Column, spread_by: Sequence[str] = (), hot: Hot | None = None
 ) -> DataFrame:
     """Remove every row of a key as soon as one of its rows is bad."""
     return exclude(df, df.filter(bad).select(key).distinct(), key, spread_by, hot)
@@ -48,7 +48,7 @@ def combine_first(
     right: DataFrame,
     on: str | Sequence[str],
     how: str = "outer",
-    hot: Sequence[int] | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Align on a key and fill NULL cells of `left` from `right`, cell by cell.
 

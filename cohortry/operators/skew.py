@@ -5,7 +5,8 @@
   join goes through `skew_join`.
 * `skew_join`: the right side grows with the data. A frequent-items sketch over
   the left keys (one pass over the key columns, no shuffle by key) names the hot
-  keys. Only their rows are salted on the left and copied on the right; all other
+  keys: those that alone would be a multiple of the mean shuffle task. Only their rows are
+  salted on the left and copied on the right, each key by its share; all other
   keys, and every join without hot keys, keep the plain shuffle join.
 
 No row is dropped, capped or sampled: a key the sketch misses is joined like any
@@ -14,21 +15,24 @@ other key, and adaptive execution can still split its partition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A key is hot above 1/MAX_HOT of the rows, so there are at most MAX_HOT hot keys.
-# That bounds what the sketch returns to the driver.
-MAX_HOT = 128
-# The sketch tracks more items than it reports, which keeps its error well below
-# the share that makes a key hot.
-_TRACKED = 32 * MAX_HOT
+# A key is hot if it holds more than this many mean shuffle tasks of rows, and it is cut into pieces of
+# about half a mean task.
+HOT_TASKS = 2
+# What a sketch may report to the driver. With T tasks at most T / HOT_TASKS keys are hot, so
+# the bound matters from about 16,000 shuffle partitions on; adaptive execution splits what is left.
+MOST_HOT = 8192
 
-_HASH, _SALT = "__key_hash", "__salt"
+# Salts of each hot key by its hash.
+Hot = Mapping[int, int]
+
+_HASH, _SALT, _SALTS = "__key_hash", "__salt", "__salts"
 
 
 @dataclass(frozen=True)
@@ -81,24 +85,37 @@ def _hashable(left: DataFrame, right: DataFrame, on: list[str]) -> bool:
     return all(a == b and not isinstance(a, (T.FractionalType, T.MapType)) for a, b in kinds)
 
 
-def key_profile(df: DataFrame, on: str | Sequence[str], max_hot: int = MAX_HOT) -> tuple[int, list[int]]:
-    """Number of rows, and the hashes of the keys that hold more than 1/max_hot of them.
+def _tasks(df: DataFrame) -> int:
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def key_profile(df: DataFrame, on: str | Sequence[str], tasks: int | None = None) -> tuple[int, dict[int, int]]:
+    """Number of rows, and the hot keys (by hash) with the number of salts that each needs.
 
     One job that reads the key columns only. `approx_top_k` merges small sketches, so there
-    is no shuffle by key, and its estimate is never below the true count.
+    is no shuffle by key, and its estimate is never below the true count. The sketch tracks many
+    more items than it reports, which keeps its error well below the share that makes a key hot.
     """
     on = as_list(on)
+    tasks = tasks or _tasks(df)
+    most = min(MOST_HOT, max(16, -(-tasks // HOT_TASKS)))
     n, top = (
         df.select(_key_hash(df, on).alias(_HASH))
-        .agg(F.count(F.lit(1)), F.expr(f"approx_top_k({_HASH}, {max_hot}, {_TRACKED})"))
+        .agg(F.count(F.lit(1)), F.expr(f"approx_top_k({_HASH}, {most}, {32 * most})"))
         .first()
     )
-    return n, [t[0] for t in top or [] if t[1] > 1 and t[1] * max_hot > n]
+    return n, {t[0]: min(tasks, -(-2 * t[1] * tasks // n)) for t in top or [] if t[1] > 1 and t[1] * tasks > HOT_TASKS * n}
 
 
-def hot_keys(df: DataFrame, on: str | Sequence[str], max_hot: int = MAX_HOT) -> list[int]:
-    """Hashes of the hot keys, at most max_hot numbers."""
-    return key_profile(df, on, max_hot)[1]
+def hot_keys(df: DataFrame, on: str | Sequence[str], tasks: int | None = None) -> dict[int, int]:
+    """Hashes of the hot keys with their salts, at most MOST_HOT of them."""
+    return key_profile(df, on, tasks)[1]
+
+
+def _salts(df: DataFrame, on: list[str], hot: Hot) -> DataFrame:
+    """`df` with the number of salts of its key, or NULL. The table of hot keys is bounded by MOST_HOT rows."""
+    table = df.sparkSession.createDataFrame(list(hot.items()), f"{_HASH} bigint, {_SALTS} int")
+    return df.withColumn(_HASH, _key_hash(df, on)).join(F.broadcast(table), _HASH, "left").drop(_HASH)
 
 
 def skew_join(
@@ -107,8 +124,7 @@ def skew_join(
     on: str | Sequence[str],
     how: str = "inner",
     *,
-    hot: Sequence[int] | None = None,
-    salts: int | None = None,
+    hot: Hot | None = None,
     spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Equi-join on equally named columns; hot keys of `left` are spread over many tasks.
@@ -116,9 +132,10 @@ def skew_join(
     `how` is one of inner, left, left_semi and left_anti. `left` is read once more for its hot
     keys, so it should be a table or close to one; pass `hot` if they are known.
 
-    The salt of a left row comes from its input partition, plus `spread_by` columns if
-    given. It does not depend on row order, so a task that runs again after a lost
-    executor gives the same salt, and copies of one row are spread as well.
+    The salt of a left row comes from its input partition and from `spread_by` columns, by
+    default all columns. It does not depend on row order, so a task that runs again after a
+    lost executor gives the same salt. Rows that are equal in these columns and lie in one input
+    partition share their salt.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot spread a {how} join")
@@ -131,19 +148,17 @@ def skew_join(
         hot = hot_keys(left, on)
     if not hot:
         return left.join(right, on, how)
-    salts = salts or max(2, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if how in ("left_semi", "left_anti"):
         right = right.distinct()
 
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in spread_by]), F.lit(salts))
-    salted = left.withColumn(
-        _SALT, F.when(_key_hash(left, on).isin(*hot), spread).otherwise(F.lit(0)).cast("int")
-    )
-    copies = F.when(_key_hash(right, on).isin(*hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+    by = list(spread_by) or [f.name for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
+    spread = F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in by])
+    salted = _salts(left, on, hot).withColumn(
+        _SALT, F.when(F.col(_SALTS).isNotNull(), F.pmod(spread, _SALTS)).otherwise(F.lit(0)).cast("int")
     )
-    copied = right.withColumn(_SALT, F.explode(copies))
-    return salted.join(copied, [*on, _SALT], how).drop(_SALT)
+    copies = F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1)
+    copied = _salts(right, on, hot).withColumn(_SALT, F.explode(copies))
+    return salted.drop(_SALTS).join(copied.drop(_SALTS), [*on, _SALT], how).drop(_SALT)
 
 
 def lookup_join(

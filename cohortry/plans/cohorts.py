@@ -8,7 +8,7 @@ from ..functions.labels import follow_up_label, person_key
 from ..functions.text import any_like
 from ..functions.time import calendar_date, calendar_date_of_text, calendar_days, elapsed_days
 from ..operators.cohort import (
-    as_outcome, attrition, build_cohort, cohort_of, events_after_index, frequency, left_join_suffixed, study_cohort,
+    as_outcome, attrition, attrition_of, build_cohort, cohort_of, events_after_index, frequency, left_join_suffixed, study_cohort,
 )
 from ..operators.events import first_occurrence, keys_matching, last_contact, rows_at_extreme, union_sources
 from ..operators.linking import canonical_person, link_events, link_extreme, link_keys
@@ -25,6 +25,22 @@ def cohort(t: Tables):
     return cohort_of(fx.cohort_milestones(t), ["birthday"], keep=["birthday"])
 
 
+@query("cohort_shared_records", f"WITH {fx.SHARED_COHORT_SQL} SELECT * FROM cohort")
+def cohort_shared_records(t):
+    """The cohort where a record can hold several persons."""
+    return cohort_of(fx.cohort_milestones(t, shared_records=True), ["birthday"], keep=["birthday"])
+
+
+@query(
+    "excluded_shared_records",
+    f"""WITH {fx.SHARED_COHORT_SQL} SELECT source, count(DISTINCT master) AS n FROM v
+    WHERE txt LIKE '%signup%: 33%' GROUP BY source""",
+)
+def excluded_shared_records(t):
+    found = fx.cohort_milestones(t, shared_records=True)["excluded"].frame
+    return found.groupBy("source").agg(F.count_distinct("master").alias("n"))
+
+
 def _index(t: Tables):
     return first_occurrence(fx.events(t), fx.INDEX)
 
@@ -140,7 +156,7 @@ def open_contacts(t):
 )
 def index_with_outcome(t):
     index = _index(t).select("master", "ts", "txt", "eid", "birthday")
-    return left_join_suffixed(index, _outcome(t).select("master", "ts", "txt"), "master", hot=())
+    return left_join_suffixed(index, _outcome(t).select("master", "ts", "txt"), "master")
 
 
 @query(
@@ -149,20 +165,23 @@ def index_with_outcome(t):
     SELECT 1 AS step_no, 'index event' AS step, count(*) AS n_rows, count(DISTINCT master) AS n_persons FROM idx
     UNION ALL SELECT 2, 'not excluded', count(*), count(DISTINCT master) FROM idx
       WHERE master NOT IN (SELECT master FROM ex)
-    UNION ALL SELECT 3, 'birth date known', count(*), count(DISTINCT master) FROM idx
+    UNION ALL SELECT 3, 'required columns known', count(*), count(DISTINCT master) FROM idx
       WHERE master NOT IN (SELECT master FROM ex) AND master NOT IN (SELECT master FROM idx WHERE birthday IS NULL)
     UNION ALL SELECT 4, 'end after index', count(*), count(DISTINCT master) FROM cohort WHERE label = 1""",
 )
 def cohort_attrition(t):
-    found = fx.cohort_milestones(t)
-    index = first_occurrence(found["index"])
-    allowed = index.join(found["excluded"].frame.select("master").distinct(), "master", "left_anti")
-    complete = drop_keys_where(allowed, "master", F.col("birthday").isNull(), hot=())
-    members = cohort_of(found, ["birthday"], keep=["birthday"]).filter("label = 1")
-    return attrition(
-        {"index event": index, "not excluded": allowed, "birth date known": complete, "end after index": members},
-        "master",
-    )
+    return attrition_of(fx.cohort_milestones(t), ["birthday"])
+
+
+@query(
+    "step_report",
+    f"""WITH {fx.EVENTS_SQL}, {fx.INDEX_SQL}, {fx.OUTCOME_SQL}
+    SELECT 1 AS step_no, 'index' AS step, count(*) AS n_rows, count(DISTINCT master) AS n_persons FROM idx
+    UNION ALL SELECT 2, 'outcome', count(*), count(DISTINCT master) FROM outc""",
+)
+def step_report(t):
+    """Sizes of frames that were found one by one."""
+    return attrition({"index": _index(t), "outcome": _outcome(t)}, "master")
 
 
 @query(
@@ -203,7 +222,7 @@ def key_level_drop(t):
 def combine_first_query(t):
     index = _index(t).select("master", "eid")
     left = index.join(_outcome(t).select("master", "ts", "txt"), "master", "left")
-    return combine_first(left, last_contact(fx.events(t)), "master", hot=())
+    return combine_first(left, last_contact(fx.events(t)), "master")
 
 
 @query(

@@ -97,9 +97,14 @@ def text_patterns(t):
     return t.documents.filter(hit).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("table_shape", "SELECT count(*) AS n_rows, 11 AS n_columns FROM lineitem")
+@query(
+    "table_shape",
+    """SELECT (SELECT count(*) FROM lineitem) AS n_rows, CAST(count(*) AS INTEGER) AS n_columns,
+      string_agg(column_name, ',' ORDER BY column_name) AS names
+    FROM (SELECT DISTINCT column_name FROM information_schema.columns WHERE table_name = 'lineitem')""",
+)
 def table_shape(t):
-    return shape(t.lineitem).select("n_rows", "n_columns")
+    return shape(t.lineitem).select("n_rows", "n_columns", F.array_join(F.array_sort("columns"), ",").alias("names"))
 
 
 @query("first_row", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1")
@@ -128,26 +133,94 @@ def pca_covariance(t):
     return covariance(t.embeddings, "embedding").withColumn("cov", F.round("cov", 9))
 
 
-@query("pca_spectrum")
+def _eigen_sql(components: int = 2, squarings: int = 16) -> str:
+    """The first components by repeated squaring: the 2**k-th power of a covariance matrix is, up to a
+    factor, the product of its first unit vector with itself. Each component is then taken out."""
+    parts = [f"{_COVARIANCE}, c1 AS MATERIALIZED (SELECT i, j, cov AS v FROM cov UNION ALL SELECT j, i, cov FROM cov WHERE i < j)"]
+    for n in range(1, components + 1):
+        parts.append(f"p{n}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM c{n}) AS v FROM c{n})")
+        for k in range(1, squarings + 1):
+            parts.append(
+                f"q{n}_{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM p{n}_{k - 1} a JOIN p{n}_{k - 1} b ON a.j = b.i GROUP BY 1, 2), "
+                f"p{n}_{k} AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM q{n}_{k}) AS v FROM q{n}_{k})"
+            )
+        last = f"p{n}_{squarings}"
+        parts.append(
+            f"u{n} AS MATERIALIZED (SELECT i AS f, v FROM {last} WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j)), "
+            f"e{n} AS MATERIALIZED (SELECT f, v / (SELECT sqrt(sum(v * v)) * sign(arg_max(v, abs(v))) FROM u{n}) AS v FROM u{n}), "
+            f"l{n} AS MATERIALIZED (SELECT sum(x.v * c.v * y.v) AS value FROM c1 c JOIN e{n} x ON c.i = x.f JOIN e{n} y ON c.j = y.f), "
+            f"c{n + 1} AS MATERIALIZED (SELECT c.i, c.j, c.v - value * x.v * y.v AS v FROM c{n} c JOIN e{n} x ON c.i = x.f JOIN e{n} y ON c.j = y.f, l{n})"
+        )
+    return ", ".join(parts) + ", trace AS (SELECT sum(v) AS total FROM c1 WHERE i = j)"
+
+
+_EIGEN = _eigen_sql()
+_SPECTRUM = """SELECT 1 AS component, round(value / total, 6) AS ratio, round(value / total, 6) AS cumulative FROM l1, trace
+    UNION ALL SELECT 2, round(l2.value / total, 6), round((l1.value + l2.value) / total, 6) FROM l1, l2, trace"""
+_SCORES = """s AS (SELECT vec_id, sum(c.v * e1.v) AS pc1, sum(c.v * e2.v) AS pc2 FROM c JOIN e1 USING (f) JOIN e2 USING (f) GROUP BY vec_id)"""
+
+
+def _spectrum(fitted, spark):
+    return fitted.spectrum(spark).select(
+        "component", F.round("ratio", 6).alias("ratio"), F.round("cumulative", 6).alias("cumulative")
+    )
+
+
+@query("pca_spectrum", f"WITH {_EIGEN} {_SPECTRUM}")
 def pca_spectrum(t):
-    return pca_fit(t.embeddings, "embedding").spectrum(t.spark)
+    return _spectrum(pca_fit(t.embeddings, "embedding", 2), t.spark)
 
 
-@query("pca_fraction")
+@query(
+    "pca_fraction",
+    f"""WITH {_EIGEN}, spectrum AS ({_SPECTRUM})
+    SELECT * FROM spectrum WHERE component = 1 OR (SELECT ratio FROM spectrum WHERE component = 1) <= 0.001""",
+)
 def pca_fraction(t):
-    """As many components as explain more than half of the variance."""
-    return pca_fit(t.embeddings, "embedding", 0.5).spectrum(t.spark)
+    """As many components as explain more than a thousandth of the variance."""
+    return _spectrum(pca_fit(t.embeddings, "embedding", 0.001), t.spark)
 
 
-@query("pca_loadings")
+@query(
+    "pca_loadings",
+    f"""WITH {_EIGEN} SELECT 1 AS component, f AS feature, round(v, 6) AS loading FROM e1
+    UNION ALL SELECT 2, f, round(v, 6) FROM e2""",
+)
 def pca_loadings(t):
-    return pca_fit(t.embeddings, "embedding", 5).loadings(t.spark)
+    return pca_fit(t.embeddings, "embedding", 2).loadings(t.spark).withColumn("loading", F.round("loading", 6))
 
 
-@query("pca_scores")
+@query(
+    "pca_scores",
+    f"""WITH {_EIGEN}, {_SCORES} SELECT vec_id, label, round(pc1, 6) AS pc1, round(pc2, 6) AS pc2
+    FROM s JOIN embeddings USING (vec_id)""",
+)
 def scores(t):
     fitted = pca_fit(t.embeddings, "embedding", 2)
-    return pca_scores(t.embeddings, fitted, "embedding", ["vec_id", "label"])
+    rows = pca_scores(t.embeddings, fitted, "embedding", ["vec_id", "label"])
+    return rows.withColumns({"pc1": F.round("pc1", 6), "pc2": F.round("pc2", 6)})
+
+
+@query(
+    "pca_power_sums",
+    f"""WITH {_COVARIANCE}, c1 AS MATERIALIZED (SELECT i, j, cov AS v FROM cov UNION ALL SELECT j, i, cov FROM cov WHERE i < j),
+    c2 AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c1 a JOIN c1 b ON a.j = b.i GROUP BY 1, 2),
+    t AS (SELECT sum(v) AS total FROM c1 WHERE i = j)
+    SELECT round((SELECT sum(v) FROM c2 WHERE i = j) / (total * total), 9) AS second,
+      round((SELECT sum(a.v * b.v) FROM c2 a JOIN c1 b USING (i, j)) / (total ** 3), 9) AS third,
+      round((SELECT sum(v * v) FROM c2) / (total ** 4), 9) AS fourth FROM t""",
+)
+def pca_power_sums(t):
+    """Power sums of the variances of all scores are traces of powers of the covariance matrix,
+    which holds for no other rotation."""
+    rows = pca_scores(t.embeddings, pca_fit(t.embeddings, "embedding"), "embedding", [])
+    variances = rows.agg(F.array(*[F.var_samp(c) for c in rows.columns]).alias("v"))
+
+    def power(p: int):
+        total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+        return F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x, F.lit(p))) / F.pow(total, F.lit(p)), 9)
+
+    return variances.select(power(2).alias("second"), power(3).alias("third"), power(4).alias("fourth"))
 
 
 @query(
@@ -184,13 +257,16 @@ def pca_score_moments(t):
     )
 
 
-@query("label_scores", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+@query(
+    "label_scores",
+    f"""WITH {_EIGEN}, {_SCORES} SELECT label, count(*) AS n, round(avg(pc1), 6) AS mean1, round(avg(pc2), 6) AS mean2,
+      round(avg(pc1 * pc1), 6) AS square1, round(avg(pc2 * pc2), 6) AS square2 FROM s JOIN embeddings USING (vec_id) GROUP BY label""",
+)
 def label_scores(t):
-    """Scores per label: every label is kept, however many there are."""
+    """Moments of the scores per label: every label is kept, however many there are."""
     fitted = pca_fit(t.embeddings, "embedding", 2)
-    return (
-        pca_scores(t.embeddings, fitted, "embedding", ["label"])
-        .filter(F.col("pc1").isNotNull() & F.col("pc2").isNotNull())
-        .groupBy("label")
-        .agg(F.count(F.lit(1)).alias("n"))
+    rows = pca_scores(t.embeddings, fitted, "embedding", ["label"])
+    return rows.groupBy("label").agg(
+        F.count("pc1").alias("n"), *[F.round(F.avg(f"pc{k}"), 6).alias(f"mean{k}") for k in (1, 2)],
+        *[F.round(F.avg(F.col(f"pc{k}") * F.col(f"pc{k}")), 6).alias(f"square{k}") for k in (1, 2)],
     )

@@ -17,6 +17,9 @@ from .registry import Tables
 # Events of two sources. A person (`master`) can own several records (`person`).
 COLUMNS = EventColumns(person="master", record="person", time="ts", text="txt", source="source", order=("eid",))
 INDEX, OUTCOME, EXCLUDED = ("%sign%up%",), ("%err%: 91%", "%purch%: 5%1%"), ("%signup%: 33%",)
+_PERSON_SQL = "user_id // 2 AS master"
+# In this variant some events of every fifth record belong to another person.
+SHARED_PERSON_SQL = "CASE WHEN user_id % 5 = 0 AND event_id % 3 = 0 THEN 1000000 + user_id ELSE user_id // 2 END AS master"
 
 EVENTS_SQL = """v AS (
   SELECT event_id AS eid, CASE WHEN event_id % 2 = 0 THEN 'out' ELSE 'in' END AS source,
@@ -26,14 +29,14 @@ EVENTS_SQL = """v AS (
   FROM events)"""
 
 
-def events(t: Tables) -> Events:
+def events(t: Tables, shared_records: bool = False) -> Events:
     eid, user = F.col("event_id"), F.col("user_id")
     born = F.lit("1960-03-01").cast("timestamp_ntz") + F.make_dt_interval((user * 97).cast("int"))
     frame = t.events.select(
         eid.alias("eid"),
         F.when(eid % 2 == 0, F.lit("out")).otherwise(F.lit("in")).alias("source"),
         user.alias("person"),
-        F.shiftright(user, 1).alias("master"),
+        F.when(F.lit(shared_records) & (user % 5 == 0) & (eid % 3 == 0), 1000000 + user).otherwise(F.shiftright(user, 1)).alias("master"),
         F.concat_ws(" ", "event_type", "props").alias("txt"),
         F.when(eid % 41 != 0, F.col("ts")).alias("ts"),
         F.when(user % 23 != 0, born).alias("birthday"),
@@ -41,10 +44,10 @@ def events(t: Tables) -> Events:
     return Events(frame, ("out", "in"), COLUMNS)
 
 
-def cohort_milestones(t: Tables) -> Milestones:
+def cohort_milestones(t: Tables, shared_records: bool = False) -> Milestones:
     txt = F.col("txt")
     return milestones(
-        events(t),
+        events(t, shared_records),
         {"index": any_like(txt, INDEX), "outcome": any_like(txt, OUTCOME),
          "excluded": any_like(txt, EXCLUDED), "contact": None},
         latest=["contact"],
@@ -60,13 +63,13 @@ INDEX_SQL = """idx AS (
 OUTCOME_SQL = """outc AS (
   SELECT * FROM (
     SELECT *, rank() OVER (PARTITION BY master ORDER BY ts) AS rk FROM (
-      SELECT *, row_number() OVER (PARTITION BY source, person ORDER BY ts ASC NULLS FIRST, eid) AS rn
+      SELECT *, row_number() OVER (PARTITION BY source, person, master ORDER BY ts ASC NULLS FIRST, eid) AS rn
       FROM v WHERE txt LIKE '%err%: 91%' OR txt LIKE '%purch%: 5%1%') WHERE rn = 1 AND ts IS NOT NULL) WHERE rk = 1)"""
 EXCLUDED_SQL = "ex AS (SELECT DISTINCT master FROM v WHERE txt LIKE '%signup%: 33%')"
 CONTACT_SQL = """lc AS (
   SELECT DISTINCT master, ts, txt FROM (
     SELECT *, rank() OVER (PARTITION BY master ORDER BY ts DESC) AS rk FROM (
-      SELECT *, row_number() OVER (PARTITION BY source, person ORDER BY ts DESC NULLS LAST, eid DESC) AS rn
+      SELECT *, row_number() OVER (PARTITION BY source, person, master ORDER BY ts DESC NULLS LAST, eid DESC) AS rn
       FROM v) WHERE rn = 1 AND ts IS NOT NULL) WHERE rk = 1)"""
 COHORT_SQL = f"""{EVENTS_SQL}, {INDEX_SQL}, {OUTCOME_SQL}, {EXCLUDED_SQL}, {CONTACT_SQL}, joined AS (
   SELECT i.master, i.ts AS index_time, i.txt AS index_text, i.birthday, o.ts AS o_time, o.txt AS o_text
@@ -81,6 +84,8 @@ cohort AS (
               THEN -1 ELSE 1 END AS label
   FROM joined j LEFT JOIN lc l ON j.master = l.master AND j.o_time IS NULL)"""
 
+SHARED_COHORT_SQL = COHORT_SQL.replace(_PERSON_SQL, SHARED_PERSON_SQL)
+
 # Charges of coded items: line items are charges, orders visits, customers person records.
 CODES_SQL = """codes AS (
   SELECT p_name, CASE WHEN min(p_partkey) % 4 = 0 THEN 'N' ELSE 'C' END
@@ -120,6 +125,29 @@ def lines_with_orders(t: Tables) -> DataFrame:
     return skew_join(t.lineitem, orders, "l_orderkey", spread_by=["l_partkey", "l_linenumber"])
 
 
+# Two sources that number their visits alike: orders are outpatient visits of their customer, and
+# under the same numbers inpatient visits of another one.
+TWO_SOURCES_SQL = f"""{CODES_SQL}, {CHARGES_SQL}, two_visits AS (
+  SELECT 'O' AS source, o_orderkey AS reg_id, o_custkey // 2 AS master FROM orders
+  UNION ALL SELECT 'F', o_orderkey, 1000000 + o_custkey // 3 FROM orders WHERE o_orderkey % 4 <> 0),
+exposed AS (
+  SELECT master, charge_time, item, code, source
+  FROM codes JOIN charges ON p_name = item JOIN two_visits USING (source, reg_id) WHERE code LIKE 'C%')"""
+
+
+def charges_by_source(t: Tables) -> dict[str, DataFrame]:
+    rows = charges(t)
+    return {s: rows.filter(F.col("source") == s).drop("source") for s in ("O", "F")}
+
+
+def visit_persons_by_source(t: Tables) -> dict[str, DataFrame]:
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    return {
+        "O": t.orders.select(order.alias("reg_id"), F.shiftright(customer, 1).alias("master")),
+        "F": t.orders.filter(order % 4 != 0).select(order.alias("reg_id"), (1000000 + F.floor(customer / 3)).alias("master")),
+    }
+
+
 def visits(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("reg_id"), F.col("o_custkey").alias("person_id"))
 
@@ -206,16 +234,16 @@ cohort AS (
   FROM ended)"""
 
 
-def study_diagnoses(t: Tables) -> dict[str, DataFrame]:
+def study_diagnoses(t: Tables) -> DataFrame:
+    """Diagnoses of both sources in one frame."""
     parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name")
     dated = (F.col("l_linenumber") != 7) | (F.col("l_tax") > 0.01)
-    rows = skew_join(t.lineitem, parts, "l_partkey").select(
+    return skew_join(t.lineitem, parts, "l_partkey").select(
         F.col("l_orderkey").alias("reg_id"),
         F.concat_ws(" ", "l_returnflag", "p_name", F.col("l_linenumber").cast("string")).alias("disease"),
         F.when(dated, F.col("l_shipdate")).alias("diag_time"),
-        "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus",
+        "l_linenumber", "l_partkey", "l_suppkey", F.col("l_linestatus").alias("source"),
     )
-    return {s: rows.filter(F.col("l_linestatus") == s).drop("l_linestatus") for s in ("O", "F")}
 
 
 def study_visits(t: Tables) -> dict[str, DataFrame]:
@@ -284,9 +312,10 @@ def dictionary(t: Tables) -> DataFrame:
 
 
 # A catalogue with missing codes, and rules made of the words of part names.
-CATALOG_SQL = """catalog AS (
+CATALOG_ONLY_SQL = """catalog AS (
   SELECT p_partkey, p_name AS item, CASE WHEN p_size <= 17 THEN p_brand END AS code, CAST(NULL AS VARCHAR) AS std
-  FROM part),
+  FROM part)"""
+CATALOG_SQL = CATALOG_ONLY_SQL + """,
 word_rows AS (SELECT unnest(string_split(p_name, ' ')) AS word, p_type, p_brand, p_size FROM part),
 rules AS (
   SELECT word, p_type || '/' || word AS ord, min(p_brand) AS code, upper(word) AS std FROM word_rows

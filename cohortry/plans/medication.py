@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import fill_missing
@@ -11,10 +14,12 @@ from ..operators.cohort import frequency
 from ..operators.exposures import exposures, first_exposure, first_exposure_of_charges
 from ..operators.linking import canonical_person, visit_persons
 from ..operators.names import dictionary_table, distinct_clean_names, match_ratio, standardise
-from ..operators.rules import changed_rows, fill_by_pattern
+from ..operators.rules import changed_rows, fill_by_pattern, fill_from_names
 from ..operators.sets import first_per_key
 from ..operators.skew import BroadcastLimit, lookup_join
+from ..sources.shared import shared_folder
 from ..sources.tables import query as run_sql
+from ..sources.tables import read_csv, read_table, write_csv, write_table
 from . import fixtures as fx
 from .registry import Tables, query
 
@@ -57,6 +62,28 @@ def first_exposures_all_codes(t):
     return first_exposure(_exposed(t), person="master", time="charge_time", code="code", excluded_marker=None)
 
 
+def _exposed_by_source(t: Tables):
+    rows = exposures(
+        fx.charges_by_source(t), fx.codes(t), fx.visit_persons_by_source(t), item="item", code="code", visit=["reg_id"]
+    )
+    return rows.select("master", "charge_time", "item", "code", "source")
+
+
+query("exposures_two_sources", f"WITH {fx.TWO_SOURCES_SQL} SELECT * FROM exposed")(_exposed_by_source)
+
+
+@query(
+    "first_exposure_two_sources",
+    f"""WITH {fx.TWO_SOURCES_SQL} SELECT master, min(charge_time) AS charge_time FROM exposed
+    WHERE charge_time IS NOT NULL AND NOT contains(substr(trim(code), 1, 3), '1') GROUP BY master""",
+)
+def first_exposures_two_sources(t):
+    return first_exposure_of_charges(
+        fx.charges_by_source(t), fx.codes(t), fx.visit_persons_by_source(t),
+        item="item", code="code", visit=["reg_id"], person="master", time="charge_time",
+    )
+
+
 @query(
     "lookup_names",
     """SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n
@@ -164,6 +191,73 @@ def filled_count(t):
     return changed_rows(_filled(t))
 
 
+_CHAIN = f"""{fx.FEES_SQL}, {fx.DICTIONARY_SQL}, {fx.CATALOG_ONLY_SQL},
+    chained AS (
+      SELECT c.p_partkey, c.code AS old, arg_min(s.code, s.item) AS new, arg_min(s.standard, s.item) AS std
+      FROM (SELECT p_partkey, code, p_name || ' x ' || p_brand AS item FROM catalog JOIN part USING (p_partkey)) c
+      LEFT JOIN (SELECT DISTINCT item, standard, code FROM standardised WHERE code IS NOT NULL) s
+        ON c.code IS NULL AND contains(c.item, s.item)
+      GROUP BY c.p_partkey, c.code)"""
+
+
+def _chain(t: Tables):
+    """Clean names, standardise them, turn them into ordered rules and fill a catalogue."""
+    catalog = fx.catalog(t).join(
+        t.part.select("p_partkey", F.concat(F.lit(" x "), "p_brand").alias("tail")), "p_partkey"
+    ).select("p_partkey", F.concat("item", "tail").alias("item"), "code", "std")
+    return fill_from_names(catalog, _standardised(t), name="item", code="code", standard="std", item="item")
+
+
+@query("name_chain", f"WITH {_CHAIN} SELECT p_partkey, coalesce(old, new) AS code, std, old IS NULL AND new IS NOT NULL AS changed FROM chained")
+def name_chain(t):
+    return _chain(t).select("p_partkey", "code", "std", "changed")
+
+
+@query("name_chain_changed", f"WITH {_CHAIN} SELECT count(*) FILTER (WHERE old IS NULL AND new IS NOT NULL) AS n_changed FROM chained")
+def name_chain_changed(t):
+    return changed_rows(_chain(t))
+
+
+@query(
+    "standardise_missing_names",
+    f"""WITH {fx.FEES_SQL}, {fx.DICTIONARY_SQL} SELECT item, standard, code FROM standardised
+    UNION ALL SELECT NULL, '{MISSING_NAME}', NULL""",
+)
+def standardise_missing(t):
+    """A name that is missing gets the marker."""
+    names = clean_names(t)
+    names = names.unionByName(names.select(F.lit(None).cast("string").alias("item")).limit(1))
+    return standardise(names, fx.dictionary(t), name="item", suffix=fx.SUFFIX, missing=MISSING_NAME)
+
+
+_ROUND_TRIP = """SELECT p_partkey, p_brand, '"' || p_name || '", a\\' || p_type || '\\' || chr(10) || 'ö ""' || p_brand || ',' AS note,
+      lag(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS previous FROM part"""
+
+
+def _notes(t: Tables):
+    note = F.concat(F.lit('"'), "p_name", F.lit('", a\\'), "p_type", F.lit('\\\nö ""'), "p_brand", F.lit(","))
+    return t.part.select("p_partkey", "p_brand", note.alias("note"))
+
+
+@query("csv_round_trip", _ROUND_TRIP)
+def csv_round_trip(t):
+    """Quotes, separators, backslashes and line breaks, a byte-order mark, and the order of rows."""
+    path = f"{shared_folder(t.spark)}/notes-{uuid.uuid4().hex}"
+    notes = _notes(t)
+    write_csv(notes.orderBy("p_partkey"), path, mark=True)
+    rows = read_csv(t.spark, path, notes.schema, order="ord", line_breaks=True)
+    previous = F.lag("p_partkey").over(Window.partitionBy("p_brand").orderBy("ord"))
+    return rows.select("p_partkey", "p_brand", "note", previous.alias("previous"))
+
+
+@query("table_round_trip", "SELECT l_returnflag, l_orderkey, l_linenumber, l_shipdate, l_tax FROM lineitem")
+def table_round_trip(t):
+    path = f"{shared_folder(t.spark)}/lines-{uuid.uuid4().hex}"
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", "l_tax", "l_returnflag")
+    write_table(lines, path, partition_by=["l_returnflag"])
+    return read_table(t.spark, path).select("l_returnflag", "l_orderkey", "l_linenumber", "l_shipdate", "l_tax")
+
+
 @query(
     "missing_name_marker",
     f"""WITH {fx.CATALOG_SQL} SELECT p_partkey, CASE WHEN code IS NULL THEN '{MISSING_NAME}' ELSE code END AS code

@@ -11,22 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 
 
+def _local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process; `local-cluster` is a cluster."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def _on_one_machine(spark: SparkSession, folder: str) -> bool:
+    """A path without a scheme on a local default file system. `file:` in front of a path says that
+    the folder is mounted everywhere."""
+    if "://" in folder or folder.startswith("file:"):
+        return False
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).getScheme() == "file"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`.
 
     Only a local session may fall back on a temporary folder: on a cluster executors could
-    not see it, so the setting is required there.
+    not see it, so the setting is required there and must name a folder that all of them see.
     """
-    folder = spark.conf.get(_SETTING, None)
-    if folder:
-        return folder
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortry-"))
-    return spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if _local(spark):
+        if not folder:
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortry-"))
+            folder = spark.sparkContext.getCheckpointDir()
+    elif not folder or _on_one_machine(spark, folder):
+        raise ValueError(f"set {_SETTING} to a folder all executors share, with its scheme")
+    return folder
 
 
 def use_checkpoints(spark: SparkSession) -> None:
@@ -37,12 +51,34 @@ def use_checkpoints(spark: SparkSession) -> None:
             spark.sparkContext.setCheckpointDir(folder)
 
 
+_tables: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write `df` once to the shared folder and continue from the written table.
 
     For a small result that later steps read several times. Every call takes a new
-    folder; the files stay until the shared folder is cleaned.
+    folder; the files stay until `remove_written` or until the shared folder is cleaned. With
+    `partition_by` rows are gathered first, so that a partition gets few files.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Delete the tables that `written` has made in this application; returns their number.
+
+    Frames that still depend on them cannot be read afterwards.
+    """
+    context = spark.sparkContext
+    paths = _tables.pop(context.applicationId, [])
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

@@ -18,13 +18,21 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, order: str | None = None) -> DataFrame:
+# A quote inside quotes is doubled, and a backslash is a character like any other.
+_QUOTES = {"quote": '"', "escape": '"'}
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, order: str | None = None, line_breaks: bool = False
+) -> DataFrame:
     """A CSV file with a header, read with a given schema. A byte-order mark is ignored.
 
-    `order` adds a sortable column with the position of the row in the file (file, block and
+    `line_breaks` allows line breaks inside quotes; a file is then read by one task. `order` adds a sortable column with the position of the row in the file (file, block and
     row), for tables in which the first or last of several rows counts.
     """
-    rows = spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).csv(path)
+    options = {"header": True, "encoding": "UTF-8", "enforceSchema": False, "multiLine": line_breaks, **_QUOTES}
+    rows = spark.read.schema(schema).options(**options).csv(path)
     if order is None:
         return rows
     # rows of one block are numbered in file order by one task; blocks are ordered by offset
@@ -36,9 +44,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, order: str |
     return rows.select("*", position.alias(order))
 
 
-def read_dictionary(spark: SparkSession, path: str, schema: T.StructType = DICTIONARY_SCHEMA) -> DataFrame:
+def read_dictionary(
+    spark: SparkSession, path: str, schema: T.StructType = DICTIONARY_SCHEMA, line_breaks: bool = False
+) -> DataFrame:
     """The drug dictionary (name, code) with its file order in `ord`."""
-    return read_csv(spark, path, schema, order="ord")
+    return read_csv(spark, path, schema, order="ord", line_breaks=line_breaks)
 
 
 def query(spark: SparkSession, text: str, args: Mapping | Sequence | None = None, **tables: DataFrame) -> DataFrame:
@@ -112,9 +122,14 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     return _counted(df, lambda d: d.write.mode(mode).partitionBy(*partition_by).parquet(path))
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> int:
-    """Write UTF-8 CSV with a header and return the number of rows."""
-    return _counted(df, lambda d: d.write.mode(mode).option("header", True).csv(path))
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", mark: bool = False) -> int:
+    """Write UTF-8 CSV with a header and return the number of rows.
+
+    `mark` puts a byte-order mark in front of every file, which some spreadsheets need.
+    """
+    if mark and df.columns:
+        df = df.withColumnRenamed(df.columns[0], BYTE_ORDER_MARK + df.columns[0])
+    return _counted(df, lambda d: d.write.mode(mode).options(header=True, encoding="UTF-8", **_QUOTES).csv(path))
 
 
 def _counted(df: DataFrame, write) -> int:

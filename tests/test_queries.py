@@ -6,8 +6,7 @@ from compare import spark_result, sql_result, tables
 import __spark_entry__ as entry_points
 from cohortry.plans import QUERIES, SQL
 
-# results that SQL cannot express; test_pca.py checks them against numpy
-ROWS_ONLY = {"pca_spectrum", "pca_fraction", "pca_loadings", "pca_scores"}
+ROWS_ONLY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
