@@ -15,7 +15,7 @@ from ..functions.time import calendar_days
 from ..sources.shared import written
 from .events import KIND, EventColumns, Milestones, linked_milestones
 from .linking import canonical_person
-from .skew import Hot, as_list, skew_join
+from .skew import Hot, as_list, hot_keys, skew_join
 
 
 def as_outcome(df: DataFrame, columns: EventColumns, prefix: str = "outcome") -> DataFrame:
@@ -135,16 +135,19 @@ def cohort_of(found: Milestones, required: Sequence[str] = (), keep: Sequence[st
     # the event, so that neither one row nor one task holds all of them
     observed = kind == "outcome"
     part = F.when(observed, F.pmod(F.xxhash64(*_columns(c.order or [c.record])), F.lit(COPY_GROUPS))).otherwise(F.lit(0))
+    ending = table.filter(kind.isin("outcome", "contact") & time.isNotNull())
+    on = [c.person, "end_time", "observed"]
+    # equal outcomes weigh as many rows as they are
+    hot = hot_keys(ending.select(c.person, time.alias("end_time"), observed.alias("observed")), on)
     ends = (
-        table.filter(kind.isin("outcome", "contact") & time.isNotNull())
-        .groupBy(
+        ending.groupBy(
             c.person, time.alias("end_time"), observed.alias("observed"), F.col(c.text).alias("end_text"),
             part.cast("int").alias("__part"),
         )
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("n", F.when(F.col("observed"), F.col("n")).otherwise(F.lit(1)))
     )
-    matched = skew_join(ends, timed, [c.person, "end_time", "observed"], spread_by=["end_text", "__part"])
+    matched = skew_join(ends, timed, on, hot=hot, spread_by=["end_text", "__part"])
     # two steps, so that an array holds the square root of a count
     step = F.ceil(F.sqrt("n"))
     blocks = matched.withColumn("__step", step).withColumn("__at", F.explode(F.expr("sequence(1, n, __step)")))

@@ -47,7 +47,7 @@ def pca_fit(df: DataFrame, features: str, n_components: int | float | None = Non
     """Fit components on centred features.
 
     None keeps min(rows, features) components, a whole number that many, and a fraction between
-    0 and 1 the fewest whose variance ratios add up to more than it. The work is one pass for
+    0 and 1 the fewest whose variance ratios add up to more than it. No rows have no components. The work is one pass for
     the Gram matrix; only features x features numbers reach the driver. Rows with a missing or
     non-finite element are left out.
     """
@@ -74,6 +74,8 @@ def pca_fit(df: DataFrame, features: str, n_components: int | float | None = Non
     else:
         k = int(n_components)
     components, ratios = vectors[:k], ratios[:k]
+    if not k:
+        return Components(mean, components, ratios)
     signs = np.sign(components[np.arange(k), np.abs(components).argmax(axis=1)])
     signs[signs == 0] = 1.0
     return Components(mean, components * signs[:, None], ratios)

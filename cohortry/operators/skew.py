@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A key is hot if it holds more than this many mean shuffle tasks of rows, and it is cut into pieces of
-# about half a mean task.
-HOT_TASKS = 2
+# A key is hot if it holds more than this many mean shuffle tasks of rows. It is cut into that many
+# pieces per mean task, since pieces fall into tasks at random.
+HOT_TASKS, PIECES = 2, 8
 # What a sketch may report to the driver. With T tasks at most T / HOT_TASKS keys are hot, so
 # the bound matters from about 16,000 shuffle partitions on; adaptive execution splits what is left.
 MOST_HOT = 8192
@@ -104,7 +104,7 @@ def key_profile(df: DataFrame, on: str | Sequence[str], tasks: int | None = None
         .agg(F.count(F.lit(1)), F.expr(f"approx_top_k({_HASH}, {most}, {32 * most})"))
         .first()
     )
-    return n, {t[0]: min(tasks, -(-2 * t[1] * tasks // n)) for t in top or [] if t[1] > 1 and t[1] * tasks > HOT_TASKS * n}
+    return n, {t[0]: -(-PIECES * t[1] * tasks // n) for t in top or [] if t[1] > 1 and t[1] * tasks > HOT_TASKS * n}
 
 
 def hot_keys(df: DataFrame, on: str | Sequence[str], tasks: int | None = None) -> dict[int, int]:

@@ -16,7 +16,7 @@ from cohortry.operators.pca import covariance, pca_fit, pca_scores
     (list(np.random.default_rng(3).normal(size=2000)), 13),
 ])
 def test_histogram_like_numpy(spark, values, bins):
-    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),), (float("inf"),), (float("-inf"),)], "v double")
     rows = histogram(df, F.col("v"), bins).orderBy("bin").collect()
     counts, edges = np.histogram(np.array(values, dtype=float), bins)
     assert [r.n for r in rows] == list(counts)
@@ -83,6 +83,28 @@ def test_covariance(matrix):
     assert np.allclose(found, np.cov(x.T))
 
 
+def test_rows_without_features(spark, matrix):
+    x, df = matrix
+    odd = [(900, 1, None), (901, 1, [None] * 6), (902, 1, [float("nan")] * 6), (903, 1, [float("inf")] * 6)]
+    whole = df.unionByName(spark.createDataFrame(odd, df.schema))
+    plain, fitted = pca_fit(df, "x", 3), pca_fit(whole, "x", 3)
+    assert np.allclose(plain.components, fitted.components) and np.allclose(plain.ratios, fitted.ratios)
+    rows = pca_scores(whole, fitted, "x", ["id"]).filter("id >= 900").collect()
+    assert len(rows) == 4 and all(r.pc1 is None and r.pc3 is None for r in rows)
+    assert covariance(whole, "x").count() == 21
+    with pytest.raises(ValueError):
+        pca_fit(df.limit(0), "x", 1)
+    assert len(pca_fit(df.limit(0), "x").ratios) == 0
+
+
+def test_vectors_of_the_machine_learning_package(matrix):
+    from pyspark.ml.functions import array_to_vector
+
+    _, df = matrix
+    vectors = df.withColumn("x", array_to_vector("x"))
+    assert np.allclose(pca_fit(vectors, "x", 2).components, pca_fit(df, "x", 2).components)
+
+
 def test_shape(matrix):
     row = shape(matrix[1]).first()
     assert (row.n_rows, row.n_columns, row.columns) == (300, 3, ["id", "label", "x"])

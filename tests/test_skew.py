@@ -22,8 +22,25 @@ def rows(df):
     return sorted(map(str, df.collect()))
 
 
+@pytest.fixture
+def sixteen_tasks(spark):
+    """Plain shuffles into 16 tasks: nothing but the operators spreads a hot key."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def sizes(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_same_as_plain_join(frames, how):
+def test_same_as_plain_join(sixteen_tasks, frames, how):
     left, right = frames
     assert hot_keys(left, "k")
     plain = left.withColumn("k", F.col("k").cast("bigint")).join(right, "k", how)
@@ -69,16 +86,35 @@ def test_hot_key_is_spread(spark, frames):
             spark.conf.set(k, v)
 
 
+def test_key_of_half_a_percent_is_hot_for_many_tasks(spark):
+    left = spark.range(100_000).select(F.when(F.col("id") % 200 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    assert hot_keys(left, "k", tasks=16) == {}
+    found = hot_keys(left, "k", tasks=1000)
+    # 500 rows are five mean tasks
+    assert len(found) == 1 and list(found.values()) == [40]
+
+
+def test_clustered_key_and_repeated_right_rows(spark, sixteen_tasks):
+    # the hot key lies in one input partition, and the right side has it three times
+    left = spark.range(0, 30_000, 1, 3).select(
+        F.when(F.col("id") < 10_000, F.lit(5)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(0, 30_000, 7).select(F.col("id").alias("k"), F.lit("x").alias("w"))
+    right = right.unionByName(spark.createDataFrame([(5, "a"), (5, "b"), (5, "c")], "k bigint, w string"))
+    joined = skew_join(left.coalesce(3), right, "k", "left")
+    assert rows(joined) == rows(left.join(right, "k", "left"))
+    assert max(sizes(joined)) < 3 * joined.count() / 16
+
+
 def test_no_hot_key_means_a_plain_join(spark):
     left = spark.range(10_000).select((F.col("id") % 5000).alias("k"))
     right = spark.range(5000).select(F.col("id").alias("k"))
-    assert hot_keys(left, "k") == []
+    assert hot_keys(left, "k") == {}
     assert "__salt" not in skew_join(left, right, "k")._jdf.queryExecution().toString()
 
 
 def test_empty_sides(spark, frames):
     left, right = frames
-    assert hot_keys(left.limit(0), "k") == []
+    assert hot_keys(left.limit(0), "k") == {}
     assert skew_join(left.limit(0), right, "k").count() == 0
     assert skew_join(left, right.limit(0), "k", "left").count() == left.count()
 
@@ -97,30 +133,48 @@ def test_unsupported_join_is_refused(frames):
         skew_join(*frames, "k", "full")
 
 
-def test_large_ties_of_one_person_are_spread(spark):
+def ties(spark, n):
     """A third of all records belongs to one person and all have the same time."""
-    from cohortry.operators.cohort import cohort_of
-    from cohortry.operators.events import EventColumns, Events, first_occurrence, milestones
+    from cohortry.operators.events import EventColumns, Events
 
-    n = 9_000
     c = EventColumns(person="k", record="r", time="t", text="x", source="s", order=("r",))
     hot = F.col("r") % 3 == 0
     frame = spark.range(0, n, 1, 8).withColumnRenamed("id", "r").select(
         "r", F.when(hot, F.lit(0)).otherwise(F.col("r")).alias("k"), F.lit("one").alias("s"),
         F.when(hot, F.lit("2020-01-02")).otherwise(F.lit("2020-01-01")).cast("timestamp_ntz").alias("t"),
         F.concat(F.lit("x"), F.col("r").cast("string")).alias("x"))
-    events = Events(frame, ("one",), c)
+    return Events(frame, ("one",), c)
+
+
+def test_large_ties_of_one_person_are_spread(spark, sixteen_tasks):
+    from cohortry.operators.cohort import build_cohort, cohort_of
+    from cohortry.operators.events import first_occurrence, last_contact, milestones
+
+    n = 9_000
+    events = ties(spark, n)
     found = milestones(events, {"index": None, "outcome": None, "excluded": F.lit(False), "contact": None}, ["contact"])
-    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
-                "spark.sql.shuffle.partitions": "16"}
-    before = {k: spark.conf.get(k) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        for df, rows in ((first_occurrence(found["outcome"], per="record"), n), (cohort_of(found), n)):
-            sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
-            assert sum(sizes) == rows
-            assert max(sizes) < n * 0.2
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    index = events.frame.groupBy("k").agg(F.min("t").alias("t"), F.min("x").alias("x"))
+    nobody = events.frame.filter("false")
+    outcomes = first_occurrence(events, per="record")
+    results = {
+        "reduced": first_occurrence(found["outcome"], per="record"), "raw": outcomes, "contact": last_contact(events),
+        "milestones": cohort_of(found), "frames": build_cohort(index, outcomes, nobody, last_contact(events), events.columns),
+    }
+    for name, df in results.items():
+        found = sizes(df)
+        assert sum(found) == n, name
+        assert max(found) < n * 0.2, name
+
+
+def test_many_equal_outcomes(spark, sixteen_tasks):
+    """Copies of one text keep their number without an array or a task that holds all of them."""
+    from cohortry.operators.cohort import cohort_of
+    from cohortry.operators.events import Events, milestones
+
+    n = 6_000
+    events = ties(spark, n)
+    events = Events(events.frame.withColumn("x", F.lit("same")), ("one",), events.columns)
+    found = milestones(events, {"index": None, "outcome": None, "excluded": F.lit(False), "contact": None}, ["contact"])
+    df = cohort_of(found)
+    found = sizes(df)
+    assert sum(found) == n and max(found) < n * 0.25

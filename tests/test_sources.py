@@ -32,6 +32,29 @@ def test_split_csv_keeps_file_order(spark, tmp_path):
     assert [r.medical_name for r in rows] == [f"name{i}" for i in range(20_000)]
 
 
+def test_quoted_fields(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('medical_name,atc\n"a ""b"" c, d",C1\n"two\nlines",C2\nends\\,C3\n', encoding="utf-8-sig")
+    found = read_dictionary(spark, str(path), line_breaks=True).orderBy("ord").collect()
+    assert [(r.medical_name, r.atc) for r in found] == [('a "b" c, d', "C1"), ("two\nlines", "C2"), ("ends\\", "C3")]
+
+
+def test_written_csv_is_plain(spark, tmp_path):
+    df = spark.createDataFrame([('a "b", c', 1)], "name string, n int")
+    assert write_csv(df.coalesce(1), str(tmp_path / "c"), mark=True) == 1
+    (file,) = (tmp_path / "c").glob("part-*")
+    assert file.read_bytes() == '\ufeffname,n\n"a ""b"", c",1\n'.encode()
+
+
+def test_written_tables_can_be_removed(spark):
+    shared.remove_written(spark)
+    df = shared.written(spark.range(5), "gone")
+    assert df.count() == 5
+    assert shared.remove_written(spark) == 1 and shared.remove_written(spark) == 0
+    with pytest.raises(Exception, match="(?i)not exist|No such file"):
+        spark.read.parquet(df.inputFiles()[0]).count()
+
+
 def test_written_rows_are_counted(spark, tmp_path):
     df = spark.range(0, 1000, 1, 5).withColumn("v", F.lit("药"))
     assert write_table(df, str(tmp_path / "p")) == 1000
@@ -68,18 +91,27 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared.written(df.limit(0), "none", partition_by=["k"]).count() == 0
 
 
-def test_no_local_folder_on_a_cluster():
-    class Context:
-        master = "spark://host:7077"
+@pytest.mark.parametrize("master", ["spark://host:7077", "local-cluster[2,1,1000]", "yarn"])
+def test_no_local_folder_on_a_cluster(spark, master):
+    def session(folder):
+        class Context:
+            _jvm, _jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
 
-        def getCheckpointDir(self):
-            return None
+            def getCheckpointDir(self):
+                return None
 
-    class Session:
-        sparkContext = Context()
+        class Session:
+            sparkContext = Context()
 
-        class conf:
-            get = staticmethod(lambda key, default=None: default)
+            class conf:
+                get = staticmethod(lambda key, default=None: folder)
 
-    with pytest.raises(ValueError):
-        shared.shared_folder(Session())
+        Context.master = master
+        return Session()
+
+    for folder in (None, "/tmp/x"):
+        with pytest.raises(ValueError):
+            shared.shared_folder(session(folder))
+    # a scheme says that the folder is mounted everywhere
+    for folder in ("file:///mnt/x", "hdfs://host/x"):
+        assert shared.shared_folder(session(folder)) == folder
