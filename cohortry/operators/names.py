@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import MEDICATION_CATEGORY_PATTERN, TABLET_SUFFIX
 from ..functions.labels import fill_missing
 from ..functions.text import any_like, ascii_brackets, drop_bracket_prefix, strip_text
-from ..sources.shared import use_checkpoints, written
+from ..sources.shared import written
 from .skew import BroadcastLimit, fits, key_profile, skew_join
 
 _RESULT = "standard string, code string"
@@ -25,6 +25,8 @@ _RESULT = "standard string, code string"
 # Every Python worker holds all prefixes of the dictionary, so it may be broadcast only
 # when it is well below what a plain broadcast join could take.
 DICTIONARY_LIMIT = BroadcastLimit(rows=50_000, bytes=8 * 1024 * 1024)
+# Nodes of a dictionary that one row may hold in the walk by joins.
+LOWER_TRIE = 256
 
 
 def distinct_clean_names(
@@ -88,51 +90,81 @@ def _broadcast_walk(name: Column, table: DataFrame, suffix: str) -> Column:
     return standardise_batch(ascii_brackets(name))
 
 
-def walk_by_joins(names: DataFrame, table: DataFrame, suffix: str = TABLET_SUFFIX) -> DataFrame:
-    """The same walk for a dictionary of any size: one equi-join per character taken.
+def _lower_tries(table: DataFrame, most: int = LOWER_TRIE) -> DataFrame:
+    """What may follow each node of the dictionary: (node, whole, next).
 
-    Each step joins the node of a name with the characters that may follow it, and jumps to
-    the first such character in the rest of the name. Steps end when no name has moved, at
-    the latest after the longest word. Every step is written with `checkpoint()` so that a lost
-    executor repeats one step and the plan does not grow.
+    A node with at most `most` nodes below has all of them in `next` (as suffixes) and is `whole`;
+    any other node has the characters that follow it. So a row stays small for any dictionary.
+    """
+    nodes = table.select("path", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("i")).select(
+        F.expr("substring(path, 1, i)").alias("below")
+    ).distinct()
+    pairs = nodes.filter(F.length("below") > 0).select(
+        "below", F.explode(F.sequence(F.lit(0), F.length("below") - 1)).alias("i")
+    ).select(F.expr("substring(below, 1, i)").alias("node"), F.expr("substring(below, i + 1)").alias("suffix"))
+    sizes = pairs.groupBy("node").agg((F.count(F.lit(1)) <= most).alias("whole"))
+    # the root is above every node
+    kept = skew_join(pairs, sizes, "node", spread_by=["suffix"]).filter(F.col("whole") | (F.length("suffix") == 1))
+    return kept.groupBy("node", "whole").agg(F.collect_set("suffix").alias("next"))
+
+
+def _taken(rest: Column, following: Column, whole: Column) -> Column:
+    """How far the walk comes within one row: the text taken and the place of its last character."""
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.lit(0).alias("i"))
+
+    def step(state: Column, ch: Column) -> Column:
+        longer = F.concat(state["text"], ch)
+        go = (whole | (state["text"] == "")) & F.array_contains(following, longer)
+        return F.struct(
+            F.when(go, longer).otherwise(state["text"]).alias("text"),
+            F.when(go, state["i"] + 1).otherwise(state["at"]).alias("at"), (state["i"] + 1).alias("i"),
+        )
+
+    return F.aggregate(rest, start, step)
+
+
+def walk_by_joins(names: DataFrame, table: DataFrame, suffix: str = TABLET_SUFFIX, most: int = LOWER_TRIE) -> DataFrame:
+    """The same walk for a dictionary of any size: a few equi-joins.
+
+    Each round joins the node of a name with what may follow it. Below a small node the walk
+    ends within the row; at a large one it takes one character and goes on in the next round. So
+    there are as many rounds as large nodes follow each other, not as words have characters.
+    Every round is written to the shared folder, so that a lost executor repeats one round and
+    the plan does not grow.
 
     `names` has one column `name` without repeats; the result is (name, standard, code).
     """
-    use_checkpoints(names.sparkSession)
+    follow = written(_lower_tries(table, most), "lower-tries")
     steps = F.sequence(F.lit(0), F.length("path"))
-    edges = table.filter(F.length("path") > 0).select(
-        "path", F.explode(F.sequence(F.lit(0), F.length("path") - 1)).alias("i")
-    ).select(F.expr("substring(path, 1, i)").alias("node"), F.expr("substring(path, i + 1, 1)").alias("ch"))
-    follow = edges.groupBy("node").agg(F.collect_set("ch").alias("next")).checkpoint()
     nodes = table.select("path", F.explode(steps).alias("i")).select(
         F.expr("substring(path, 1, i)").alias("node")
     ).distinct()
-    ends = nodes.join(table.withColumnRenamed("path", "node"), "node", "left").checkpoint()
+    ends = nodes.join(table.withColumnRenamed("path", "node"), "node", "left")
 
     moving = names.select(
         "name", F.lit("").alias("node"), F.split(ascii_brackets(F.col("name")), "").alias("rest")
     )
-    settled = [names.select("name", F.lit("").alias("node")).limit(0)]
+    settled = []
+    hot = {}  # all names begin at the root, and this round needs no look
     while True:
-        left, hot = key_profile(moving, "node")
-        if left == 0:
-            break
-        at = F.array_position(F.transform("rest", lambda ch: F.array_contains("next", ch)), F.lit(True))
-        step = (
-            skew_join(moving, follow, "node", "left", hot=hot, spread_by=["name"])
-            .withColumn("at", F.coalesce(at, F.lit(0)).cast("int"))
-            .select(
-                "name",
-                F.when(F.col("at") > 0, F.concat("node", F.col("rest")[F.col("at") - 1])).otherwise(
-                    F.col("node")
-                ).alias("node"),
-                F.slice("rest", F.col("at") + 1, F.size("rest")).alias("rest"),
-                (F.col("at") > 0).alias("moved"),
-            )
-            .checkpoint()
+        first = not settled
+        at_node = moving.join(F.broadcast(follow.filter("node = ''")), "node", "left") if first else skew_join(
+            moving, follow, "node", "left", hot=hot, spread_by=["name"]
+        )
+        walked = at_node.withColumn("t", _taken(F.col("rest"), F.col("next"), F.col("whole")))
+        goes_on = F.coalesce(~F.col("whole") & (F.col("t.at") > 0), F.lit(False))
+        step = written(
+            walked.select(
+                "name", F.concat("node", F.coalesce("t.text", F.lit(""))).alias("node"), goes_on.alias("moved"),
+                F.when(goes_on, F.slice("rest", F.col("t.at") + 1, F.size("rest"))).alias("rest"),
+            ),
+            "walk",
         )
         settled.append(step.filter(~F.col("moved")).select("name", "node"))
         moving = step.filter("moved").drop("moved")
+        left, hot = key_profile(moving, "node")
+        if left == 0:
+            break
     reached = reduce(DataFrame.union, settled)
     longer = ends.select(F.col("node").alias("next_node"), F.col("word").alias("next_word"), F.col("code").alias("next_code"))
     # `ends` always has the root as a node when the dictionary is not empty

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.operators.names import dictionary_table, distinct_clean_names, match_ratio, standardise
+from cohortry.operators.names import dictionary_table, distinct_clean_names, match_ratio, standardise, walk_by_joins
 from cohortry.operators.rules import changed_rows, fill_by_pattern
 from cohortry.operators.skew import BroadcastLimit
 
@@ -71,6 +71,16 @@ def test_walk_against_brute_force(spark, limit):
     assert found == [(w, code.get(w)) for w in expected]
 
 
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_walk_with_any_size_of_rows(spark, most):
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choices("ab片", k=rng.randint(1, 6))) for _ in range(40)})
+    names = sorted({"".join(rng.choices("abc片", k=rng.randint(0, 10))) for _ in range(200)})
+    table = dictionary_table(dictionary(spark, words), "medical_name", "atc", "ord")
+    found = walk_by_joins(spark.createDataFrame([(n,) for n in names], "name string"), table, "片", most)
+    assert {r.name: r.standard for r in found.collect()} == {n: brute_walk(n, words, "片") for n in names}
+
+
 def test_distinct_clean_names(spark):
     a = spark.createDataFrame([("(甲)药", "西药费"), ("(甲)药", "西药费"), ("床", "床位费"), (None, "药费")], "n string, c string")
     b = spark.createDataFrame([("药", "中药费"), ("(甲)药", "药费")], "n string, c string")
