@@ -7,8 +7,8 @@ goes on from a visited cell to the next code word of either half), until the dis
 that of its own cell by a margin. All vectors of a visited cell are verified in double precision.
 
 The margin is what a target recall needs: a bounded sample of vectors is compared with all rows
-by brute force, and the margin is the quantile of the distances at which their true neighbours
-would be met. The codebooks are trained on another bounded sample. Every row is indexed.
+by brute force, and the margin is a quantile, over these vectors, of the distance at which the last of
+their true neighbours would be met. The codebooks are trained on another bounded sample. Every row is indexed.
 
 Equal vectors form a class and are compared once. Cells are cut into blocks, and so are the
 vectors that visit them, so a crowded cell becomes many tasks of bounded size.
@@ -116,7 +116,7 @@ def train(classes: DataFrame, n: int) -> Grid:
 
 
 def needed_margin(classes: DataFrame, n: int, grid: Grid, least: float, recall: float) -> float:
-    """The margin at which a share `recall` of the probes' true neighbours is met."""
+    """The margin at which a share `recall` of the probes meet all their true neighbours."""
     probes = _sample(classes, PROBES, n, 4)
     shared = classes.sparkSession.sparkContext.broadcast((grid, probes))
 
@@ -134,9 +134,14 @@ def needed_margin(classes: DataFrame, n: int, grid: Grid, least: float, recall:
                 row, k = np.nonzero((near >= least) & (near < 1 - 1e-12))
                 from_probe = p1[k, i[row]] + p2[k, j[row]] - p_base[k]
                 from_row = d1[row, p_cell[0][k]] + d2[row, p_cell[1][k]] - d1[row, i[row]] - d2[row, j[row]]
-                yield pa.record_batch([pa.array(np.minimum(from_probe, from_row))], names=["gap"])
-
-    found = classes.select("embedding").mapInArrow(gaps, "gap double").agg(F.percentile_approx("gap", recall, 10_000)).first()[0]
+                # the widest gap of each probe in this batch
+                gap = np.full(len(probe), -1.0)
+                np.maximum.at(gap, k, np.minimum(from_probe, from_row))
+                met = np.flatnonzero(gap >= 0)
+                yield pa.record_batch([pa.array(met, pa.int32()), pa.array(gap[met])], names=["probe", "gap"])
+
+    widest = classes.select("embedding").mapInArrow(gaps, "probe int, gap double").groupBy("probe").agg(F.max("gap").alias("gap"))
+    found = widest.agg(F.percentile_approx("gap", recall, 10_000)).first()[0]
     return DEFAULT_MARGIN if found is None else max(0.0, found) + 1e-9
 
 
