@@ -48,10 +48,19 @@ class WaveletMatrix:
         return self._descend(symbol, at) - self.start[symbol]
 
 
-def prefix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """For every place the rank of the `depth` symbols that begin there, by prefix doubling."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    known = 1
+def prefix_ranks(text: np.ndarray, alphabet: int, depth: int) -> np.ndarray:
+    """For every place the rank of the `depth` symbols that begin there, by prefix doubling.
+
+    As many symbols as fit into one number are ranked at once to begin with.
+    """
+    bits = max(1, int(alphabet).bit_length())
+    known = max(1, min(depth, 62 // bits))
+    rank = text.astype(np.int64)
+    key = rank.copy()
+    for step in range(1, known):
+        key <<= bits
+        key[:-step or None] |= rank[step:] + 1
+    rank = np.unique(key, return_inverse=True)[1]
     while known < depth and rank.max(initial=0) + 1 < len(text):
         step = min(known, depth - known)
         following = np.zeros_like(rank)
@@ -65,7 +74,7 @@ class FMIndex:
     """Backward search for patterns of up to `depth` symbols and one more."""
 
     def __init__(self, text: np.ndarray, alphabet: int, depth: int):
-        rank = prefix_ranks(text, depth)
+        rank = prefix_ranks(text, alphabet, depth)
         order = np.argsort(rank, kind="stable")
         self.size, self.depth = len(text), depth
         self.transform = WaveletMatrix(text[order - 1], alphabet)
@@ -90,29 +99,28 @@ class FMIndex:
         group = self.groups.ones(low + 1) - 1
         return self.group_start[group], self.group_start[group + 1]
 
-    def matching_counts(self, passages: list[np.ndarray]) -> list[np.ndarray]:
+    def matching_counts(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For every passage, how often the `depth` symbols from each of its places occur.
 
+        Passage i is symbols[first[i]:first[i + 1]]. Returns the counts of all passages one after
+        the other, and where those of each passage begin.
+
         All passages are streamed from their ends at once, one symbol per step. Once `depth`
         symbols match, every further symbol on the left drops one on the right, so the search
         never starts anew. Passages are part of the indexed text, so no search fails.
         """
-        length = np.array([len(p) for p in passages])
+        length = np.diff(first)
+        windows = np.maximum(length - self.depth + 1, 0)
+        places = np.r_[0, np.cumsum(windows)]
+        counts = np.zeros(int(places[-1]), np.int64)
         order = np.argsort(-length, kind="stable")
-        length = length[order]
-        ends = np.cumsum(length)
-        joined = np.concatenate([passages[i] for i in order]) if len(order) else np.empty(0, np.int64)
+        end, begin, left = first[1:][order], places[:-1][order], length[order]
         low, high = np.zeros(len(order), np.int64), np.full(len(order), self.size)
-        found = [np.zeros(max(0, n - self.depth + 1), np.int64) for n in length.tolist()]
-        flat = np.zeros(int(np.maximum(length - self.depth + 1, 0).sum()), np.int64)
-        places = np.r_[0, np.cumsum(np.maximum(length - self.depth + 1, 0))]
-        for step in range(1, int(length[0]) + 1 if len(length) else 0):
-            active = int(np.searchsorted(-length, -step, "right"))
-            low, high = self.extended(joined[ends[:active] - step], low[:active], high[:active])
+        for step in range(1, int(left[0]) + 1 if len(left) else 0):
+            active = int(np.searchsorted(-left, -step, "right"))
+            low, high = self.extended(symbols[end[:active] - step], low[:active], high[:active])
             if step > self.depth:
                 low, high = self.shortened(low)
             if step >= self.depth:
-                flat[places[:active] + length[:active] - step] = high - low
-        for k, i in enumerate(order.tolist()):
-            found[i] = flat[places[k]:places[k + 1]]
-        return found
+                counts[begin[:active] + left[:active] - step] = high - low
+        return counts, places

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import tokens as tk
 from .fm_index import FMIndex
 
-WIDTH, ANCHOR = 35, 16
+WIDTH, ANCHOR = 35, 8
 # Occurrences beyond which an anchor's windows travel one by one. Rows do not depend on it.
 DENSE = 400
 # Words of a shard; groups of one anchor are not cut.
@@ -52,9 +52,7 @@ _NO_ID = -(1 << 63)
 def _identified(docs: DataFrame) -> DataFrame:
     """The texts with an identity that tells documents apart: doc, mark."""
     kind = docs.schema["doc_id"].dataType
-    return docs.select(
-        F.coalesce("doc_id", F.lit(_NO_ID).cast(kind)).alias("doc"), F.xxhash64("text").alias("mark"), "text", "doc_id"
-    )
+    return docs.select(F.coalesce("doc_id", F.lit(_NO_ID).cast(kind)).alias("doc"), F.xxhash64("text").alias("mark"), "text")
 
 
 def anchors(texts: DataFrame, width: int, anchor: int) -> DataFrame:
@@ -176,17 +174,31 @@ def _travelling(matched: DataFrame, width: int, dense: int, what: str) -> DataFr
     return matched.mapInArrow(places, f"k1 bigint, k2 bigint, doc {kind}, mark bigint, first bigint")
 
 
+def word_numbers(data: np.ndarray, words: tk.Words) -> np.ndarray:
+    """Numbers from 1 on, equal exactly for words of equal bytes."""
+    _, head, number = np.unique(tk.fingerprints(data, words), return_index=True, return_inverse=True)
+    # every word is compared with the first one of its number, all bytes at once
+    length = words.end - words.start
+    shift = words.start[head][number] - words.start
+    at = np.flatnonzero(tk.NOT_SPACE[data])
+    same = (length == length[head][number]).all() and (data[at] == data[at + np.repeat(shift, length)]).all()
+    if not same:
+        spelled: dict[bytes, int] = {}
+        pairs = zip(words.start.tolist(), words.end.tolist(), strict=True)
+        number = np.array([spelled.setdefault(data[s:e].tobytes(), len(spelled)) for s, e in pairs])
+    return number + 1
+
+
 def repeated_windows(passages: list[bytes], copies: list[int], width: int) -> list[int]:
     """For each passage of a shard, a number whose bit t says that its window t is repeated."""
-    number: dict[bytes, int] = {}
-    sequences = [np.array([number.setdefault(w, len(number) + 1) for w in p.split(b" ")], np.int64) for p in passages]
-    separator = np.zeros(1, np.int64)
-    index = FMIndex(np.concatenate([x for s in sequences for x in (s, separator)]), len(number) + 1, width)
-    out = []
-    for counts, n in zip(index.matching_counts(sequences), copies, strict=True):
-        hit = counts >= 2 if n < 2 else np.ones(len(counts), bool)
-        out.append(int((hit.astype(np.int64) << np.arange(len(hit))).sum()))
-    return out
+    data = np.frombuffer(b"".join(passages), np.uint8)
+    words = tk.find_words(tk.Chunk(0, data, np.r_[0, np.cumsum([len(p) for p in passages])]), tk.NOT_SPACE)
+    number = word_numbers(data, words)
+    index = FMIndex(np.insert(number, words.first[1:], 0), int(number.max()) + 1, width)
+    counts, places = index.matching_counts(number, words.first)
+    hit = (counts >= 2) | np.repeat(np.array(copies) >= 2, np.diff(places))
+    bits = hit.astype(np.int64) << (np.arange(len(hit)) - np.repeat(places[:-1], np.diff(places)))
+    return np.add.reduceat(bits, places[:-1]).tolist()
 
 
 def _decided(passages: DataFrame, width: int, shard_words: int) -> DataFrame:
@@ -234,12 +246,15 @@ def without_repeats(
     here = found.join(again.hint("shuffle_hash"), "anchor").groupBy("doc", "mark").agg(
         F.collect_list(F.struct("anchor", "place", "n")).alias("found")
     )
-    matched = texts.join(here, ["doc", "mark"]).select("doc", "mark", "text", "found")
+    # the side of the texts is streamed, not sorted, and shuffled once for both joins
+    matched = texts.join(here.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "found")
     decided = _decided(_travelling(matched, width, dense, "passages"), width, shard_words)
-    removed = _travelling(matched, width, dense, "places").join(decided, ["k1", "k2"]).groupBy("doc", "mark").agg(
+    removed = _travelling(matched, width, dense, "places").join(decided.hint("shuffle_hash"), ["k1", "k2"]).groupBy("doc", "mark").agg(
         F.collect_list(F.struct("first", "windows")).alias("windows")
     )
-    whole = texts.join(removed, ["doc", "mark"], "left").select("doc_id", "text", "windows")
+    whole = texts.join(removed.hint("shuffle_hash"), ["doc", "mark"], "left").select(
+        F.when(F.col("doc") != F.lit(_NO_ID).cast(docs.schema["doc_id"].dataType), F.col("doc")).alias("doc_id"), "text", "windows"
+    )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
