@@ -12,7 +12,7 @@ from ..operators.pca import covariance, pca_fit, pca_scores
 from ..sources.tables import first_row
 from . import fixtures as fx
 from .cohorts import cohort
-from .registry import Tables, query
+from .registry import query
 
 
 def _bins_sql(values: str, bins: int = 10) -> str:
