@@ -28,7 +28,7 @@ from .tokens import with_fields
 
 # A part of up to LEAF bytes is merged directly. Seams, short parts and whole pieces of up to
 # REMEMBERED bytes are remembered; a memory is emptied when it reaches MEMORY entries.
-LEAF, REMEMBERED, MEMORY = 4, 48, 250_000
+LEAF, REMEMBERED, MEMORY = 4, 48, 100_000
 NONE = 1 << 62  # the rank of what cannot be merged
 # Rows that are turned into Python strings at a time.
 ROWS = 128
@@ -53,6 +53,11 @@ class Codec:
         self._seams: dict[int, tuple[int, ...]] = {}
         self._pieces: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
 
+    def forget(self) -> None:
+        """Empty all memories; a Python worker outlives its task."""
+        for memory in (self._parts, self._seams, self._pieces):
+            memory.clear()
+
     def merged(self, data: bytes) -> tuple[int, ...]:
         """Merge neighbours of lowest rank, leftmost first, until none can be merged."""
         if len(data) > 48:
@@ -211,10 +216,37 @@ def with_tokens(docs: DataFrame, ranks_path: str, pattern: str, text: str = "tex
             for part in _parts(batch):
                 ids = pa.array([codec.encode(t) for t in part.column(text).to_pylist()], pa.list_(pa.int32()))
                 yield pa.record_batch([*part.columns, ids], names=[*rest, tokens])
+        codec.forget()
 
     return docs.select(*[f"`{c}`" for c in rest]).mapInArrow(encode, schema)
 
 
+def with_restored(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """`docs` with token_ids, n_tokens and restored: whether the tokens decode to the text again.
+
+    One pass; columns of these names are replaced.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    added = ["token_ids", "n_tokens", "restored"]
+    rest = [c for c in docs.columns if c not in added]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(shared, pattern)
+        for batch in batches:
+            for part in _parts(batch):
+                texts = part.column(text).to_pylist()
+                ids = [codec.encode(t) for t in texts]
+                same = [codec.decode(i) == (t or "").encode() for i, t in zip(ids, texts, strict=True)]
+                yield pa.record_batch(
+                    [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int32()), pa.array(same)],
+                    names=[*rest, *added],
+                )
+        codec.forget()
+
+    source = docs.select(*[f"`{c}`" for c in rest])
+    return source.mapInArrow(encode, with_fields(source, "token_ids array<int>, n_tokens int, restored boolean"))
+
+
 def with_decoded(frame: DataFrame, ranks_path: str, pattern: str, tokens: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """`frame` with the bytes of its tokens in a binary column (replaced if it exists)."""
     shared = frame.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
@@ -256,6 +288,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
                 yield pa.record_batch(
                     [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], names=names
                 )
+        codec.forget()
 
     source = docs.select("doc_id", f"`{text}`")
     schema = with_fields(source.select("doc_id"), "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

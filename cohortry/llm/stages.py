@@ -49,9 +49,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of every text, decoded again to compare: token_ids, n_tokens and restored."""
-    encoded = byte_bpe.with_decoded(byte_bpe.with_tokens(docs, BYTE_BPE, PATTERN), BYTE_BPE, PATTERN)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return encoded.withColumn("n_tokens", F.size("token_ids")).withColumn("restored", same).drop("decoded")
+    return byte_bpe.with_restored(docs, BYTE_BPE, PATTERN)
 
 
 STAGES = [
