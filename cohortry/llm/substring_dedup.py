@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.sources.shared import written
+
 from . import tokens as tk
 from .fm_index import FMIndex
 
@@ -242,7 +244,8 @@ def without_repeats(
         raise ValueError("a window must hold its anchor and at most 60 windows may share one")
     texts = _identified(docs)
     found = anchors(texts, width, anchor)
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # a written table as the other side of the join lets adaptive execution split a crowded anchor
+    again = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-anchors")
     here = found.join(again.hint("shuffle_hash"), "anchor").groupBy("doc", "mark").agg(
         F.collect_list(F.struct("anchor", "place", "n")).alias("found")
     )
