@@ -39,7 +39,10 @@ class EliasFano:
         values = values.astype(np.uint64)
         top = int(values[-1]) + 1 if n else 1
         width = max(0, (top // max(n, 1)).bit_length() - 1)
-        bits = (values[:, None] >> np.arange(width, dtype=np.uint64) & np.uint64(1)).astype(bool).ravel()
+        bits = np.empty((n, width), bool)
+        for k in range(width):
+            bits[:, k] = values >> np.uint64(k) & np.uint64(1)
+        bits = bits.ravel()
         high = np.zeros((top >> width) + n + 1, bool)
         high[(values >> np.uint64(width)).astype(np.int64) + np.arange(n)] = True
         words = _packed(high)
@@ -110,7 +113,7 @@ class Trie:
 
     SEQUENCES = ("words", "follow_at", "follow", "context_at", "context", "third_at", "third")
     VALUES = ("follow_p", "word_rest", "third_p", "context_rest")
-    RANGE = 1 << 16
+    RANGE = 1 << 32
 
     def __init__(self, sequences: dict[str, EliasFano], values: dict[str, np.ndarray]):
         self.sequences, self.values = sequences, values

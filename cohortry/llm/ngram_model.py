@@ -2,22 +2,21 @@
 
 Tokens are lower-cased words and one end per text. The model has three orders: single words with
 add-one counts, and two- and three-word n-grams with absolute discounting, each backing off to
-the order below. N-grams are kept if they occur at least LEAST times; contexts consist of words
-that hold a share of at least FREQUENT of all training tokens (so at most 1 / FREQUENT words have a
-number), a successor may be any word. What is not kept goes to the lower order, so all
-probabilities of a context sum to one.
+the order below. N-grams are kept if they occur at least LEAST times, whatever their words. What is
+not kept goes to the lower order, so all probabilities of a context sum to one.
 
 How it runs:
 
 1. Each task turns its texts into blocks: token numbers and the distinct words of the block.
-2. Distinct words are sent to buckets by hash and counted there over the whole corpus; every block
-   gets the counts of its words back.
+2. Distinct words are sent to buckets by hash and counted there over the whole corpus. A word that
+   is frequent enough to be part of a kept n-gram gets a number of its bucket; every block gets the
+   counts and numbers of its words back.
 3. Distinct n-grams of each block go to the shard of their context word and are counted there. The
    shard builds its trie, maps it, and answers the n-grams that the block asked for.
 4. Blocks add up the answers by text.
 
-Nothing larger than the numbered words (a bounded list) passes the driver; counts, n-grams and
-tries stay in their buckets and shards, whose number follows spark.sql.shuffle.partitions.
+Only totals pass the driver; words, counts, n-grams and tries stay in their buckets and shards,
+whose number follows spark.sql.shuffle.partitions.
 
 Words are told apart by 64-bit fingerprints. Defined cases: a missing text is an empty one and
 has one token, its end; without any training text, N and V are 0. Rows are scored one by one, and
@@ -39,11 +38,12 @@ from cohortry.sources.shared import written
 from . import tokens as tk
 from .elias_fano import Trie
 
-FREQUENT, LEAST, DISCOUNT = 2e-5, 2, 0.75
+LEAST, DISCOUNT = 2, 0.75
 BLOCK_TOKENS = 2_000_000
 # Fingerprint of the end of a text, and numbers that are no word's.
 END = np.uint64(0x656E64206F662074)
-NONE, RARE = 65_535, 65_534
+NONE, RARE = (1 << 32) - 1, (1 << 32) - 2
+_LOW = np.uint64(NONE)
 
 _BLOCK = "block bigint, ids binary, sizes binary, held binary, tokens binary, words binary, counts binary, n_train bigint, n_texts int"
 
@@ -124,11 +124,12 @@ def _buckets(spark) -> int:
     return max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def word_counts(own: DataFrame, n_train: int, frequent: float) -> DataFrame:
-    """Counts of every block's words, by bucket, and the frequent words of each bucket.
+def word_counts(own: DataFrame, least: float) -> DataFrame:
+    """Counts and numbers of every block's words, by bucket.
 
-    Rows: block, bucket, counts (in the order of the block's words of the bucket); and per bucket one
-    row without block: known (words with a training count), words and counts of the frequent ones.
+    Rows: block, bucket, counts and numbers (in the order of the block's words of the bucket); and per
+    bucket one row without block: known (words with a training count). Words with a training count of
+    at least `least` have a number, small ones for frequent words; the others are RARE.
     """
     parts = _buckets(own.sparkSession)
     names = ["bucket", "block", "words", "counts"]
@@ -151,16 +152,21 @@ def word_counts(own: DataFrame, n_train: int, frequent: float) -> DataFrame:
         rows = table.to_pylist()
         words = [np.frombuffer(r["words"], np.uint64) for r in rows]
         known, back = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(back, np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])).astype(np.uint64)
-        replies = np.split(total[back], np.cumsum([len(w) for w in words])[:-1])
-        many = total >= max(1, frequent * n_train)
-        out = [(r["block"], r["bucket"], _short(c), None, None) for r, c in zip(rows, replies, strict=True)]
-        out.append((None, rows[0]["bucket"], total[many].tobytes(), known[many].tobytes(), int((total > 0).sum())))
+        total = np.bincount(back, np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])).astype(np.int64)
+        many = np.flatnonzero(total >= max(1, least))
+        if len(many) * parts >= RARE:
+            raise ValueError("too many words for numbers of 32 bits")
+        number = np.full(len(known), RARE)
+        number[many[np.argsort(-total[many], kind="stable")]] = np.arange(len(many)) * parts + rows[0]["bucket"]
+        bounds = np.cumsum([len(w) for w in words])[:-1]
+        replies = zip(rows, np.split(total[back], bounds), np.split(number[back], bounds), strict=True)
+        out = [(r["block"], r["bucket"], _short(c), _planes(x), None) for r, c, x in replies]
+        out.append((None, rows[0]["bucket"], None, None, int((total > 0).sum())))
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "bucket", "counts", "words", "known"])
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "bucket", "counts", "numbers", "known"])
 
     sent = own.select("block", "words", "counts").mapInArrow(send, "bucket int, block bigint, words binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(count, "block bigint, bucket int, counts binary, words binary, known bigint")
+    return sent.groupBy("bucket").applyInArrow(count, "block bigint, bucket int, counts binary, numbers binary, known bigint")
 
 
 def _short(counts: np.ndarray) -> bytes:
@@ -174,7 +180,7 @@ def _long(data: bytes) -> np.ndarray:
 
 
 class Numbering:
-    """Numbers of the frequent words, in order of their fingerprints."""
+    """Numbers of given words, in order of their fingerprints."""
 
     def __init__(self, words: np.ndarray):
         self.words = np.sort(words)
@@ -184,60 +190,92 @@ class Numbering:
         return np.where(self.words[at] == words, at, RARE) if len(self.words) else np.full(len(words), RARE)
 
 
-def _contexts(row: dict, numbering: Numbering) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's token numbers, its n-grams as keys, the n-gram of each token (-1 without a
-    context), and the row of each token."""
+def _replied(words: np.ndarray, parts: int, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and numbers of a block's words from the rows of the buckets."""
+    count, number = np.zeros(len(words), np.int64), np.full(len(words), RARE)
+    bucket = (words % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(parts + 1))
+    for reply in replies:
+        at = order[bounds[reply["part"]]:bounds[reply["part"] + 1]]
+        count[at], number[at] = _long(reply["counts"]), _numbers(reply["numbers"])
+    return count, number
+
+
+def _requests(row: dict, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's tokens, their rows, the contexts and successors of its distinct n-grams, the tokens
+    that have an n-gram, and its place. `number` has the numbers of the block's words.
+
+    A context holds the word in its upper and the word before in its lower half.
+    """
     stream = _numbers(row["tokens"])
-    number = numbering.of(np.frombuffer(row["words"], np.uint64))[stream]
+    own = number[stream]
     sizes = np.frombuffer(row["sizes"], np.int64)
     # the end of the text before stands for the beginning of a text
-    begin = int(numbering.of(np.array([END]))[0])
+    begin = int(number[np.frombuffer(row["words"], np.uint64) == END][0])
     first = np.r_[0, np.cumsum(sizes)[:-1]]
-    word = np.r_[begin, number[:-1]]
+    word = np.r_[begin, own[:-1]]
     word[first] = begin
     before = np.r_[NONE, word[:-1]]
     before[first] = NONE
-    before = np.where(before == RARE, NONE, before)
-    key = (word.astype(np.uint64) << np.uint64(32)) | (before.astype(np.uint64) << np.uint64(16)) | number.astype(np.uint64)
-    return stream, key, np.where(word == RARE, -1, 0), np.repeat(np.arange(len(sizes)), sizes)
+    before[before == RARE] = NONE
+    asking = np.flatnonzero(word != RARE)
+    contexts, at = np.unique(word[asking].astype(np.uint64) << np.uint64(32) | before[asking].astype(np.uint64), return_inverse=True)
+    distinct, back = np.unique(at.astype(np.uint64) << np.uint64(32) | own[asking].astype(np.uint64), return_inverse=True)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    return stream, rows, contexts[distinct >> np.uint64(32)], (distinct & _LOW).astype(np.int64), asking, back
 
 
-def _requests(row: dict, numbering: Numbering) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token numbers, rows, the distinct n-grams, the tokens that have one, and its number."""
-    stream, key, state, rows = _contexts(row, numbering)
-    asking = np.flatnonzero(state == 0)
-    distinct, back = np.unique(key[asking], return_inverse=True)
-    return stream, rows, distinct, asking, back
+def _shard(contexts: np.ndarray, parts: int) -> np.ndarray:
+    return (tk.mixed(contexts >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
-def _shard(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (tk.mixed(keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+_REQUEST = "shard int, block bigint, contexts binary, after binary, counts binary"
+
+
+def _sent(row: dict, number: np.ndarray, parts: int) -> pa.Table:
+    """The distinct n-grams of a block by shard."""
+    _, rows, contexts, after, asking, back = _requests(row, number)
+    training = ~np.frombuffer(row["held"], bool)[rows[asking]]
+    counts = np.bincount(back[training], minlength=len(contexts)).astype(np.uint64)
+    shard = _shard(contexts, parts)
+    order = np.argsort(shard, kind="stable")
+    used, at = np.unique(shard[order], return_index=True)
+    bounds = [*at.tolist(), len(order)]
+    pieces = [order[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    return pa.table(
+        [pa.array(used, pa.int32()), pa.array([row["block"]] * len(used), pa.int64()),
+         pa.array([_delta(contexts[x]) for x in pieces], pa.binary()), pa.array([_planes(after[x]) for x in pieces], pa.binary()),
+         pa.array([_short(counts[x]) for x in pieces], pa.binary())],
+        names=["shard", "block", "contexts", "after", "counts"],
+    )
 
 
 def ngram_requests(own: DataFrame, numbering: Numbering) -> DataFrame:
-    """shard, block, keys and training counts of the distinct n-grams of each block."""
+    """shard, block, contexts, successors and training counts of the distinct n-grams of each block,
+    for a given list of words."""
     parts = _buckets(own.sparkSession)
     shared = own.sparkSession.sparkContext.broadcast(numbering)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, rows, distinct, asking, back = _requests(row, shared.value)
-                training = ~np.frombuffer(row["held"], bool)[rows[asking]]
-                counts = np.bincount(back[training], minlength=len(distinct)).astype(np.uint64)
-                shard = _shard(distinct, parts)
-                order = np.argsort(shard, kind="stable")
-                used, at = np.unique(shard[order], return_index=True)
-                k, c = np.split(distinct[order], at[1:]), np.split(counts[order], at[1:])
-                if len(used):
-                    yield pa.record_batch(
-                        [pa.array(used, pa.int32()), pa.array([row["block"]] * len(used), pa.int64()),
-                         pa.array([_delta(x) for x in k], pa.binary()), pa.array([_short(x) for x in c], pa.binary())],
-                        names=["shard", "block", "keys", "counts"],
-                    )
+                yield from _sent(row, shared.value.of(np.frombuffer(row["words"], np.uint64)), parts).to_batches()
+
+    source = own.select("block", "sizes", "held", "tokens", "words")
+    return source.mapInArrow(ask, _REQUEST)
+
+
+def counted_requests(own: DataFrame, replies: DataFrame) -> DataFrame:
+    """As `ngram_requests`, with the numbers that the buckets gave to the words of each block."""
+    parts = _buckets(own.sparkSession)
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        return _sent(row, _replied(np.frombuffer(row["words"], np.uint64), parts, right.to_pylist())[1], parts)
 
     source = own.select("block", "sizes", "held", "tokens", "words")
-    return source.mapInArrow(ask, "shard int, block bigint, keys binary, counts binary")
+    return source.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(ask, _REQUEST)
 
 
 def _delta(keys: np.ndarray) -> bytes:
@@ -251,25 +289,28 @@ def _keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    low = np.uint64(0xFFFF)
-    return (keys >> np.uint64(16) & low).astype(np.int64), (keys >> np.uint64(32)).astype(np.int64), (keys & low).astype(np.int64)
+def _split(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before and the word of each context."""
+    return (contexts & _LOW).astype(np.int64), (contexts >> np.uint64(32)).astype(np.int64)
 
 
-def _trie(keys: list[np.ndarray], counts: list[np.ndarray], least: int, discount: float) -> bytes:
-    known, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(back, np.concatenate(counts))
-    seen = total > 0
-    before, word, after = _split(known[seen])
-    return Trie.build(before, word, after, total[seen], NONE, RARE, least, discount).to_bytes()
+def _trie(rows: list[dict], least: int, discount: float) -> bytes:
+    contexts, at = np.unique(np.concatenate([_keys(r["contexts"]) for r in rows]), return_inverse=True)
+    after = np.concatenate([_numbers(r["after"]) for r in rows]).astype(np.uint64)
+    known, back = np.unique(at.astype(np.uint64) << np.uint64(32) | after, return_inverse=True)
+    del at, after
+    total = np.bincount(back, np.concatenate([_long(r["counts"]) for r in rows]))
+    del back
+    known, total = known[total > 0], total[total > 0]
+    before, word = _split(contexts[known >> np.uint64(32)])
+    return Trie.build(before, word, (known & _LOW).astype(np.int64), total, NONE, RARE, least, discount).to_bytes()
 
 
 def tries(requests: DataFrame, least: int = LEAST, discount: float = DISCOUNT) -> DataFrame:
     """The model itself: shard and the bytes of its trie (`Trie.mapped` opens them)."""
     def build(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        data = _trie([_keys(r["keys"]) for r in rows], [_long(r["counts"]) for r in rows], least, discount)
-        return pa.table({"shard": pa.array([rows[0]["shard"]], pa.int32()), "trie": pa.array([data], pa.binary())})
+        return pa.table({"shard": pa.array([rows[0]["shard"]], pa.int32()), "trie": pa.array([_trie(rows, least, discount)], pa.binary())})
 
     return requests.groupBy("shard").applyInArrow(build, "shard int, trie binary")
 
@@ -279,11 +320,10 @@ def answers(requests: DataFrame, least: int = LEAST, discount: float = DISCOUNT)
     its own, and the weight b of the successor's probability alone."""
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        keys = [_keys(r["keys"]) for r in rows]
-        trie = Trie.mapped(_trie(keys, [_long(r["counts"]) for r in rows], least, discount))
+        trie = Trie.mapped(_trie(rows, least, discount))
         out = []
-        for row, own in zip(rows, keys, strict=True):
-            a, b = trie.query(*_split(own))
+        for row in rows:
+            a, b = trie.query(*_split(_keys(row["contexts"])), _numbers(row["after"]))
             out.append((row["block"], row["shard"], _floats(a), _floats(b)))
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "shard", "a", "b"])
@@ -300,46 +340,37 @@ def _from_floats(data: bytes) -> np.ndarray:
 
 
 def scores(
-    docs: DataFrame, held_out: Column, frequent: float = FREQUENT, least: int = LEAST, discount: float = DISCOUNT,
+    docs: DataFrame, held_out: Column, frequent: float = 0.0, least: int = LEAST, discount: float = DISCOUNT,
     block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of `docs`.
 
-    Rows for which `held_out` holds teach nothing.
+    Rows for which `held_out` holds teach nothing. With `frequent`, words that hold a smaller share of
+    all training tokens are in no n-gram.
     """
     own = written(blocks(docs, held_out, block_tokens), "ngram-blocks")
     n_train = own.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
-    counted = written(word_counts(own, n_train, frequent), "ngram-words")
-    summary = counted.filter("block IS NULL")
-    v_train = summary.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-    many = [np.frombuffer(r["words"], np.uint64) for r in summary.select("words").collect()]
-    numbering = Numbering(np.concatenate(many) if many else np.empty(0, np.uint64))
-    if len(numbering.words) >= RARE:
-        raise ValueError("`frequent` numbers too many words")
-    asked = ngram_requests(own, numbering)
-    told = answers(asked, least, discount)
+    counted = written(word_counts(own, max(least, frequent * n_train)), "ngram-words")
+    v_train = counted.filter("block IS NULL").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    replies = counted.filter("block IS NOT NULL").select("block", F.col("bucket").alias("part"), "counts", "numbers")
+    told = answers(counted_requests(own, replies), least, discount)
     parts = _buckets(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(numbering)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return empty
         row = left.to_pylist()[0]
-        stream, rows, distinct, asking, back = _requests(row, shared.value)
-        words = np.frombuffer(row["words"], np.uint64)
-        count = np.zeros(len(words), np.int64)
-        bucket = (words % np.uint64(parts)).astype(np.int64)
-        shard = _shard(distinct, parts)
-        a, b = np.zeros(len(distinct)), np.ones(len(distinct))
-        order, shard_order = np.argsort(bucket, kind="stable"), np.argsort(shard, kind="stable")
-        bounds, shard_bounds = (np.searchsorted(x, np.arange(parts + 1)) for x in (bucket[order], shard[shard_order]))
-        for reply in right.to_pylist():
-            k = reply["part"]
-            if reply["counts"] is not None:
-                count[order[bounds[k]:bounds[k + 1]]] = _long(reply["counts"])
-            else:
-                at = shard_order[shard_bounds[k]:shard_bounds[k + 1]]
+        answered = right.to_pylist()
+        count, number = _replied(np.frombuffer(row["words"], np.uint64), parts, [r for r in answered if r["counts"] is not None])
+        stream, rows, contexts, _, asking, back = _requests(row, number)
+        shard = _shard(contexts, parts)
+        a, b = np.zeros(len(contexts)), np.ones(len(contexts))
+        order = np.argsort(shard, kind="stable")
+        bounds = np.searchsorted(shard[order], np.arange(parts + 1))
+        for reply in answered:
+            if reply["counts"] is None:
+                at = order[bounds[reply["part"]]:bounds[reply["part"] + 1]]
                 a[at], b[at] = _from_floats(reply["a"]), _from_floats(reply["b"])
         alone = np.log10((count + 1.0) / (n_train + v_train + 1.0))[stream]
         best = alone.copy()
@@ -361,8 +392,8 @@ def scores(
         "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64()),
     })
     nothing = F.lit(None).cast("binary")
-    replies = counted.filter("block IS NOT NULL").select("block", F.col("bucket").alias("part"), "counts", nothing.alias("a"), nothing.alias("b"))
-    replies = replies.union(told.select("block", F.col("shard").alias("part"), nothing.alias("counts"), "a", "b"))
+    replies = replies.select("block", "part", "counts", "numbers", nothing.alias("a"), nothing.alias("b"))
+    replies = replies.union(told.select("block", F.col("shard").alias("part"), nothing.alias("counts"), nothing.alias("numbers"), "a", "b"))
     left = own.select("block", "ids", "sizes", "held", "tokens", "words", "n_texts")
     found = left.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -90,6 +90,16 @@ def test_scores(spark, documents, texts, frequent, block):
         assert math.isclose(r["score"], model.score(text[r["doc_id"]]), rel_tol=1e-3, abs_tol=2e-4 * len(own))
 
 
+def test_every_ngram_from_two_occurrences_on_counts(spark, documents):
+    # two words of 150,000 tokens: a share far below 2e-5
+    rows = [(1, "the end of it " * 37_500), (2, "lapis lazuli rara avis"), (3, "rara avis lapis lazuli lapis"), (4, "the rara avis lazuli")]
+    model = PlainModel([t for _, t in rows], 0)
+    got = {r["doc_id"]: r["score"] for r in ngram_model.scores(documents(rows), F.lit(False)).collect()}
+    for i, text in rows[1:]:
+        assert math.isclose(got[i], model.score(text), abs_tol=2e-3)
+    assert model.two["rara", "avis"] == 3 and model.three["$", "lapis", "lazuli"] == 1
+
+
 def test_probabilities_sum_to_one(texts):
     model = PlainModel(texts, 1e-3)
     for before, word in [("$", "alpha"), ("alpha", "beta"), ("x", "42"), ("nothing", "theta")]:
