@@ -1,13 +1,14 @@
 """License notices in texts, by conditional compression.
 
-A block of text that repeats a template costs almost nothing to compress once the compressor
-knows the template. Every candidate block is compressed with zstandard alone and with each template
-as raw dictionary; templates are ranked by the share of the size they save, and the best ones are
-confirmed by their wording: the words of the template that the block lacks and the words it adds
-in between.
+A stretch of text that repeats a template costs almost nothing to compress once the compressor
+knows the template. Around every cue word the words of the text are aligned with those of each
+template, as far to both sides as the template can reach. A stretch that holds enough of the template's
+words and few others in between is compressed with zstandard alone and with the template as raw
+dictionary, and is a notice if that saves enough of its size.
 
-A candidate is a line with a cue word. Of a line much longer than all templates, the sentences
-around each cue are a candidate of their own, so that prose before and after does not hide them.
+Only words are aligned, so a notice may stand anywhere in a line, go on over several lines, and have
+comment marks in front of them. Of overlapping notices the one that holds most words, less those
+missing and added, is reported; all that do not overlap are.
 
 Defined cases: a missing or empty text has no blocks. Rows are scanned one by one and whole, so
 repeated rows repeat their results. Ties go to the first template by name.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -54,15 +56,20 @@ TEMPLATES: dict[str, str] = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "reserved": "All rights reserved.",
 }
-CUE = re.compile(r"licen[sc]|copyright|all rights reserved|public domain|redistribut|permission (?:is|to)|warrant|\bCC[ -]?(?:BY|0)\b", re.I)
-CUES = ("licen", "copyright", "reserved", "public domain", "redistribut", "permission", "warrant", "cc")
+# Words of a cue may stand on two lines, with comment marks between them.
+CUE = re.compile(
+    r"licen[sc]|copyright|all\W{1,80}rights\W{1,80}reserved|public\W{1,80}domain|redistribut|permission\W{1,80}(?:is|to)"
+    r"|warrant|\bCC\W{0,80}(?:BY|0)\b", re.I
+)
+CUES = ("licen", "copyright", "reserved", "domain", "redistribut", "permission", "warrant", "cc")
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
 LEVEL = 3
 # A winner saves this share of the size, holds this share of the template's words, and may have
 # this share of other words between them.
 LEAST_SAVED, LEAST_WORDS, MOST_EXTRA = 0.3, 0.8, 0.25
-# Templates that are confirmed by wording, best first.
-RANKED = 4
+# Comment marks at the beginning of a line; a sentence's end, which belongs to its notice.
+MARKS = re.compile(r"\n[\s#*/;%!<>|-]*")
+STOP = re.compile(r"[.!?]?")
 
 
 class Matcher:
@@ -72,70 +79,78 @@ class Matcher:
         self.names = sorted(templates)
         self.words = {n: WORD.findall(templates[n].lower()) for n in self.names}
         self.alone = zstandard.ZstdCompressor(LEVEL)
-        self.given = [
-            zstandard.ZstdCompressor(
+        self.given = {
+            n: zstandard.ZstdCompressor(
                 LEVEL, dict_data=zstandard.ZstdCompressionDict(_shape(templates[n]), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             )
             for n in self.names
-        ]
-        self.longest = max((len(t) for t in templates.values()), default=0)
-
-    def blocks(self, text: str) -> Iterator[tuple[int, int]]:
-        """Places of candidate blocks."""
-        low = text.lower()
-        if not any(cue in low for cue in CUES):
-            return
-        last = -1
-        for cue in CUE.finditer(text):
-            if cue.start() < last:
-                continue
-            start = text.rfind("\n", 0, cue.start()) + 1
-            end = text.find("\n", cue.end())
-            end = len(text) if end < 0 else end
-            if end - start > 2 * self.longest:
-                before = max(start, cue.start() - self.longest)
-                start = before + max((m.end() for m in re.finditer(r"[.!?]\s+", text[before:cue.start()])), default=0)
-                after = min(end, cue.end() + self.longest)
-                stop = re.search(r"[.!?](?=\s+[A-Z]|\s*$)", text[cue.end():after])
-                end = cue.end() + stop.end() if stop else after
-            last = end
-            yield start, end
-
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """Templates by the share of the block's size that they save."""
-        data = _shape(block)
-        size = len(self.alone.compress(data))
-        saved = [(1 - len(c.compress(data)) / size, n) for c, n in zip(self.given, self.names, strict=True)]
-        return sorted(saved, key=lambda x: (-x[0], x[1]))
-
-    def best(self, block: str) -> tuple[str, float, int, int, int] | None:
-        """(template, share saved, words, words missing, words added) of the confirmed winner."""
-        own = WORD.findall(block.lower())
-        found = []
-        for saved, name in self.ranked(block)[:RANKED]:
-            words = self.words[name]
-            if saved < LEAST_SAVED or not words:
-                continue
-            same = [m for m in difflib.SequenceMatcher(None, words, own, autojunk=False).get_matching_blocks() if m.size]
-            held = sum(m.size for m in same)
-            if not held:
-                continue
-            added = same[-1].b + same[-1].size - same[0].b - held
-            missing = len(words) - held
-            if held >= LEAST_WORDS * len(words) and added <= MOST_EXTRA * len(words):
-                found.append((missing + added, -held, -saved, name, missing, added))
-        if not found:
-            return None
-        _, _, saved, name, missing, added = min(found)
-        return name, -saved, len(self.words[name]), missing, added
+        }
+
+    def saved(self, stretch: str, name: str) -> float:
+        """The share of a stretch's size that a template saves."""
+        data = _shape(MARKS.sub(" ", stretch))
+        return 1 - len(self.given[name].compress(data)) / len(self.alone.compress(data))
+
+    def aligned(self, name: str, own: list[str], cue: int) -> tuple[int, int, int] | None:
+        """(first word, last word + 1, words held) of the template's best stretch around word `cue`."""
+        words = self.words[name]
+        reach = int(len(words) * (1 + MOST_EXTRA))
+        low, high = max(0, cue - reach), cue + 1 + reach
+        while True:
+            part = own[low:high]
+            known = set(part)
+            if sum(w in known for w in words) < LEAST_WORDS * len(words):
+                return None
+            same = [m for m in difflib.SequenceMatcher(None, words, part, autojunk=False).get_matching_blocks() if m.size]
+            found = []
+            for i in range(len(same)):
+                held = 0
+                for m in same[i:]:
+                    held += m.size
+                    start, end = low + same[i].b, low + m.b + m.size
+                    if start <= cue < end and held >= LEAST_WORDS * len(words) and end - start - held <= MOST_EXTRA * len(words):
+                        found.append((len(words) + end - start - 3 * held, start, end, held))
+            if found:
+                return min(found)[1:]
+            # the words of another notice: look at what is left on the side of the cue
+            longest = max(same, key=lambda m: m.size)
+            if low + longest.b + longest.size <= cue:
+                low += longest.b + longest.size
+            elif low + longest.b > cue:
+                high = low + longest.b
+            else:
+                return None
 
     def notices(self, text: str | None) -> list[tuple]:
-        out = []
-        for start, end in self.blocks(text or ""):
-            winner = self.best(text[start:end])
-            if winner:
-                out.append((start, end, *winner))
-        return out
+        """(start, end, template, share saved, words, words missing, words added) in order of start."""
+        low = (text or "").lower()
+        if not any(cue in low for cue in CUES):
+            return []
+        cues = [cue.start() for cue in CUE.finditer(text)]
+        if not cues:
+            return []
+        places = [m.span() for m in WORD.finditer(text)]
+        own = [text[s:e].lower() for s, e in places]
+        heads = [s for s, _ in places]
+        found = set()
+        for cue in sorted({bisect_right(heads, at) - 1 for at in cues}):
+            for name in self.names:
+                stretch = self.words[name] and self.aligned(name, own, cue)
+                if stretch:
+                    found.add((name, *stretch))
+        ranked = []
+        for name, first, last, held in found:
+            start, end = places[first][0], STOP.match(text, places[last - 1][1]).end()
+            saved = self.saved(text[start:end], name)
+            if saved >= LEAST_SAVED:
+                size = len(self.words[name])
+                missing, added = size - held, last - first - held
+                ranked.append((missing + added - held, missing + added, -saved, name, start, end, size, missing, added))
+        out: list[tuple] = []
+        for _, _, saved, name, start, end, size, missing, added in sorted(ranked):
+            if all(end <= s or e <= start for s, e, *_ in out):
+                out.append((start, end, name, -saved, size, missing, added))
+        return sorted(out)
 
 
 def _shape(text: str) -> bytes:

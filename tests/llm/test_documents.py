@@ -1,5 +1,7 @@
 """Operators on documents against plain versions."""
 
+import textwrap
+
 import brute
 import numpy as np
 import pyarrow as pa
@@ -195,3 +197,23 @@ def test_licenses(spark, documents):
     spans = {r["doc_id"]: r for r in licenses.find_licenses(documents(rows)).collect()}
     assert rows[0][1][spans[1]["start"]:spans[1]["end"]] == "Released under the MIT License."
     assert licenses.find_licenses(documents([])).count() == 0
+
+
+def test_licenses_in_prose_over_lines_and_side_by_side(spark, documents):
+    prose = "we came to the old mill by the river and sat down for a while, "
+    mit, terms, header = (licenses.TEMPLATES[n] for n in ("MIT", "MIT terms", "Apache-2.0 header"))
+    wrapped = "\n".join(f" * {line}" for line in textwrap.wrap(header, 50))
+    rows = [
+        (1, prose + mit + " " + prose), (2, prose * 2 + mit.lower() + " " + prose * 2), (3, f"/*\n{wrapped}\n */\nint x;"),
+        (4, f"{mit} Some files: licensed under CC BY 4.0. {prose}{mit} {mit}"), (5, "\n".join(f"# {w}" for w in terms.split())),
+        (6, f"{mit}\n{header}\nAll rights reserved."), (7, prose + "a license to fish, released under the old bridge. " + prose),
+    ]
+    found = licenses.find_licenses(documents(rows)).collect()
+    assert all(r["exact"] for r in found)
+    got = sorted((r["doc_id"], r["start"], r["license"]) for r in found)
+    assert [(i, name) for i, _, name in got] == [
+        (1, "MIT"), (2, "MIT"), (3, "Apache-2.0 header"), (4, "MIT"), (4, "CC-BY-4.0"), (4, "MIT"), (4, "MIT"), (5, "MIT terms"),
+        (6, "MIT"), (6, "Apache-2.0 header"), (6, "reserved"),
+    ]
+    text = dict(rows)
+    assert all(text[r["doc_id"]][r["start"]:r["end"]].lower() == mit.lower() for r in found if r["license"] == "MIT")
