@@ -6,9 +6,10 @@ order of their distance, the sum of both halves' squared distances (multi-sequen
 goes on from a visited cell to the next code word of either half), until the distance exceeds
 that of its own cell by a margin. All vectors of a visited cell are verified in double precision.
 
-The margin is what a target recall needs: a bounded sample of vectors is compared with all rows
-by brute force, and the margin is a quantile, over these vectors, of the distance at which the last of
-their true neighbours would be met. The codebooks are trained on another bounded sample. Every row is indexed.
+The margin is what a target recall needs: samples of vectors are compared with all rows by brute
+force until PROBES of them have a neighbour, and the margin is a quantile, over these vectors, of the
+distance at which the last of their true neighbours would be met. If neighbours are too rare for that,
+the margin is one at which no pair can be missed. The codebooks are trained on another bounded sample. Every row is indexed.
 
 Equal vectors form a class and are compared once. Cells are cut into blocks, and so are the
 vectors that visit them, so a crowded cell becomes many tasks of bounded size.
@@ -37,9 +38,10 @@ from .graph import connected_components
 
 # Code words per half, vectors they are trained on, and rounds of training.
 WORDS, TRAINED_ON, TRAINING_ROUNDS = 32, 20_000, 12
-# Vectors compared with all rows to set the margin; the recall aimed at; the margin if they
-# have no neighbours.
-PROBES, TARGET_RECALL, DEFAULT_MARGIN = 256, 0.995, 0.03
+# Vectors with a neighbour that set the margin, and the recall aimed at.
+PROBES, TARGET_RECALL = 256, 0.995
+# Vectors compared with all rows in one pass, and passes.
+MOST_PROBES, MOST_PASSES = 16_384, 8
 # Vectors per block of a cell, on either side.
 BLOCK = 2000
 
@@ -101,23 +103,52 @@ def codebook(points: np.ndarray, words: int, seed: int) -> np.ndarray:
     return centre
 
 
-def _sample(classes: DataFrame, rows: int, n: int, salt: int) -> np.ndarray:
-    """About `rows` of the n vectors, chosen by hash."""
-    share = min(1.0, rows / max(n, 1))
+def _sample(classes: DataFrame, low: float, high: float, salt: int) -> np.ndarray:
+    """The vectors whose hash lies in a share [low, high) of all hashes."""
     place = F.pmod(F.xxhash64("vec", F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    found = classes.filter(place < share).select("embedding").toArrow().column("embedding").combine_chunks()
+    found = classes.filter((place >= low) & (place < high)).select("embedding").toArrow().column("embedding").combine_chunks()
     return unit_vectors(found) if len(found) else np.empty((0, 0))
 
 
 def train(classes: DataFrame, n: int) -> Grid:
-    sample = _sample(classes, TRAINED_ON, n, 1)
+    # a sample without vectors would have no code words
+    share, sample = min(1.0, TRAINED_ON / max(n, 1)), np.empty((0, 0))
+    while not len(sample):
+        sample, share = _sample(classes, 0.0, share, 1), min(1.0, 2 * share)
     half = sample.shape[1] // 2
     return Grid(codebook(sample[:, :half], WORDS, 2), codebook(sample[:, half:], WORDS, 3))
 
 
 def needed_margin(classes: DataFrame, n: int, grid: Grid, least: float, recall: float) -> float:
-    """The margin at which a share `recall` of the probes meet all their true neighbours."""
-    probes = _sample(classes, PROBES, n, 4)
+    """The margin at which a share `recall` of the vectors with neighbours meet all of them.
+
+    Measured on PROBES such vectors, or on all there are once every vector was compared.
+    """
+    gaps: list[float] = []
+    low, rows = 0.0, PROBES
+    for _ in range(MOST_PASSES):
+        high = min(1.0, low + rows / max(n, 1))
+        gaps += _widest_gaps(classes, grid, _sample(classes, low, high, 4), least)
+        if len(gaps) >= PROBES or high >= 1:
+            return max(0.0, float(np.quantile(gaps, recall, method="higher"))) + 1e-9 if gaps else 0.0
+        low, rows = high, min(MOST_PROBES, 8 * rows)
+    return safe_margin(grid, least)
+
+
+def safe_margin(grid: Grid, least: float) -> float:
+    """A margin at which no pair is missed.
+
+    For x and y in the cells of code words a and b, the distances beyond their own cells at which
+    they meet the other's cell add up to 2 (x - y)(a - b), so the smaller one is at most |x - y| |a - b|.
+    """
+    widest = sum(max(0.0, float(_squared(words, words).max())) for words in (grid.left, grid.right))
+    return float(np.sqrt(max(0.0, 2 - 2 * least) * widest)) + 1e-9
+
+
+def _widest_gaps(classes: DataFrame, grid: Grid, probes: np.ndarray, least: float) -> list[float]:
+    """For each probe that has neighbours, the margin at which it meets the last of them."""
+    if not len(probes):
+        return []
     shared = classes.sparkSession.sparkContext.broadcast((grid, probes))
 
     def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,24 +156,27 @@ def needed_margin(classes: DataFrame, n: int, grid: Grid, least: float, recall:
         p1, p2 = own.distances(probe)
         p_cell = p1.argmin(1), p2.argmin(1)
         p_base = p1.min(1) + p2.min(1)
+        # the widest gap of each probe in this task
+        gap = np.full(len(probe), -1.0)
+        size = max(1, BLOCK * PROBES // len(probe))
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                unit = unit_vectors(batch.column("embedding").slice(at, BLOCK))
+            for at in range(0, batch.num_rows, size):
+                unit = unit_vectors(batch.column("embedding").slice(at, size))
                 d1, d2 = own.distances(unit)
                 i, j = d1.argmin(1), d2.argmin(1)
                 near = unit @ probe.T
                 row, k = np.nonzero((near >= least) & (near < 1 - 1e-12))
                 from_probe = p1[k, i[row]] + p2[k, j[row]] - p_base[k]
                 from_row = d1[row, p_cell[0][k]] + d2[row, p_cell[1][k]] - d1[row, i[row]] - d2[row, j[row]]
-                # the widest gap of each probe in this batch
-                gap = np.full(len(probe), -1.0)
-                np.maximum.at(gap, k, np.minimum(from_probe, from_row))
-                met = np.flatnonzero(gap >= 0)
-                yield pa.record_batch([pa.array(met, pa.int32()), pa.array(gap[met])], names=["probe", "gap"])
+                # rounding may leave a gap of zero slightly below it
+                np.maximum.at(gap, k, np.maximum(0.0, np.minimum(from_probe, from_row)))
+        met = np.flatnonzero(gap >= 0)
+        yield pa.record_batch([pa.array(met, pa.int32()), pa.array(gap[met])], names=["probe", "gap"])
 
     widest = classes.select("embedding").mapInArrow(gaps, "probe int, gap double").groupBy("probe").agg(F.max("gap").alias("gap"))
-    found = widest.agg(F.percentile_approx("gap", recall, 10_000)).first()[0]
-    return DEFAULT_MARGIN if found is None else max(0.0, found) + 1e-9
+    found = [r["gap"] for r in widest.collect()]
+    shared.unpersist()
+    return found
 
 
 def near_vectors(

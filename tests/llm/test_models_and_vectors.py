@@ -153,6 +153,22 @@ def test_vectors(spark, block):
     assert [tuple(r) for r in vector_dedup.near_vectors(alone).collect()] == [(1, 0, 1, True)]
 
 
+@pytest.mark.parametrize("passes", [1, 8])
+def test_rare_neighbours_are_found(spark, monkeypatch, passes):
+    # 20 pairs near the threshold among 3,000 vectors: few of 256 probes have a neighbour
+    monkeypatch.setattr(vector_dedup, "MOST_PASSES", passes)
+    draw = np.random.default_rng(3)
+    unit = draw.normal(size=(3000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for i in range(20):
+        aside = draw.normal(size=64)
+        aside -= aside @ unit[i] * unit[i]
+        unit[i + 20] = 0.91 * unit[i] + math.sqrt(1 - 0.91**2) * aside / np.linalg.norm(aside)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(unit)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(frame).collect()}
+    assert got == {i: (int(i < 40), i - 20 if 20 <= i < 40 else i) for i in range(3000)}
+
+
 def test_multi_sequence_visits_cells_in_order():
     draw = np.random.default_rng(4)
     grid = vector_dedup.Grid(draw.normal(size=(6, 3)), draw.normal(size=(6, 3)))
