@@ -10,7 +10,8 @@ sees few words. Words are compared by their bytes in the end.
 
 The items of a benchmark are measured. Up to `shard_words` words make one automaton, which is
 broadcast; larger benchmarks are cut into several automata by item, one pass over the texts for
-each, and the hits of all passes are united.
+each. The rows then get written numbers, and the hits of all passes are united by these before anything
+is judged or cut.
 
 Defined cases: missing texts have no words, items without words no windows. Repeated rows repeat
 their result; items that share an item_id count once.
@@ -19,14 +20,18 @@ their result; items that share an item_id count once.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.sources.shared import written
+
 from . import tokens as tk
 
 WINDOW = 10
@@ -220,8 +225,8 @@ class Streamer:
         return words, hit, items
 
 
-def shards(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[list[tuple[str, str | None]]]:
-    """The items in groups of at most about `shard_bytes`, each collected by itself.
+def shards(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[int, Iterator[list[tuple[str, str | None]]]]:
+    """The items in groups of at most about `shard_bytes`: their number, and each collected when its turn comes.
 
     One group is the normal case. The number of groups follows the measured size.
     """
@@ -229,16 +234,17 @@ def shards(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[list[tuple[
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(16)), F.lit(0))).first()[0]
     groups = max(1, -(-size // shard_bytes))
     group = F.pmod(F.xxhash64("item_id", "text"), F.lit(groups))
-    return [
-        [(r["item_id"] or "", r["text"]) for r in (rows if groups == 1 else rows.filter(group == g)).collect()]
-        for g in range(groups)
-    ]
+    parts = (rows if groups == 1 else rows.filter(group == g) for g in range(groups))
+    return groups, ([(r["item_id"] or "", r["text"]) for r in part.collect()] for part in parts)
 
 
 def occurrences(docs: DataFrame, items: list[tuple[str, str | None]], window: int = WINDOW) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, hits (numbers of hit words) and items found."""
-    shared = docs.sparkSession.sparkContext.broadcast(build(items, window))
-    names = ["doc_id", "n_words", "hits", "items"]
+    return _occurrences(docs, docs.sparkSession.sparkContext.broadcast(build(items, window)), "doc_id")
+
+
+def _occurrences(docs: DataFrame, shared: Broadcast, key: str) -> DataFrame:
+    names = [key, "n_words", "hits", "items"]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         streamer = Streamer(shared.value)
@@ -250,7 +256,7 @@ def occurrences(docs: DataFrame, items: list[tuple[str, str | None]], window: in
                 numbers = at - np.repeat(words.first[:-1], np.diff(place))
                 yield pa.record_batch(
                     [
-                        batch.column("doc_id").slice(chunk.row, chunk.rows),
+                        batch.column(0).slice(chunk.row, chunk.rows),
                         pa.array(np.diff(words.first), pa.int64()),
                         pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(numbers, pa.int64())),
                         pa.array([sorted(found.get(r, ())) for r in range(chunk.rows)], pa.list_(pa.string())),
@@ -258,26 +264,36 @@ def occurrences(docs: DataFrame, items: list[tuple[str, str | None]], window: in
                     names=names,
                 )
 
-    source = docs.select("doc_id", "text")
-    schema = tk.with_fields(source.select("doc_id"), "n_words bigint, hits array<bigint>, items array<string>")
+    source = docs.select(key, "text")
+    schema = tk.with_fields(source.select(key), "n_words bigint, hits array<bigint>, items array<string>")
     return source.mapInArrow(stream, schema)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of `docs`.
+def _united(docs: DataFrame, groups: Iterator[list[tuple[str, str | None]]], window: int) -> tuple[DataFrame, DataFrame, str]:
+    """`docs` with written row numbers; n_words, hits and items of every row over all groups, by that
+    number; and its name."""
+    number = f"row_{uuid.uuid4().hex}"
+    docs = written(docs.withColumn(number, F.monotonically_increasing_id()), "decontamination-rows")
+    whole = None
+    for group in groups:
+        shared = docs.sparkSession.sparkContext.broadcast(build(group, window))
+        part = written(_occurrences(docs, shared, number), "decontamination-hits")
+        shared.unpersist()
+        whole = part if whole is None else whole.unionByName(part)
+    return docs, whole.groupBy(number).agg(
+        F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    ), number
 
-    With several automata, the rows of each pass are grouped by document, so a doc_id must then
-    name one text.
-    """
-    found = [occurrences(docs, group, window) for group in shards(items, shard_bytes)]
-    whole = found[0]
-    if len(found) > 1:
-        for other in found[1:]:
-            whole = whole.unionByName(other)
-        whole = whole.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of `docs`."""
+    number, groups = shards(items, shard_bytes)
+    if number == 1:
+        whole = occurrences(docs, next(groups), window)
+    else:
+        numbered, found, row = _united(docs.select("doc_id", "text"), groups, window)
+        whole = numbered.select("doc_id", row).join(found, row)
     n_hit = F.size("hits").cast("bigint")
     return whole.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
@@ -293,9 +309,40 @@ def cleaned(
     A span reaches from its first hit word to its last one and leaves a line break. Other
     columns stay as they are. Rows without hits are not touched.
     """
-    for group in shards(items, shard_bytes):
-        docs = _cleaned_once(docs, group, window, most_hit)
-    return docs
+    number, groups = shards(items, shard_bytes)
+    if number == 1:
+        return _cleaned_once(docs, next(groups), window, most_hit)
+    numbered, found, row = _united(docs, groups, window)
+    found = found.filter(F.size("hits") > 0).select(row, F.col("hits").alias(f"hits_{row}"))
+    return _cut_out(numbered.join(found, row, "left").drop(row), docs, f"hits_{row}", most_hit)
+
+
+def _cut_out(marked: DataFrame, docs: DataFrame, hits: str, most_hit: float) -> DataFrame:
+    """The columns of `docs` from rows with the numbers of their hit words."""
+    place = docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(len(docs_columns))
+            rows = np.flatnonzero(numbers.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            part = batch.select(docs_columns)
+            if rows:
+                texts, keep = part.column(place).to_pylist(), np.ones(batch.num_rows, bool)
+                for row in rows:
+                    text = texts[row].encode()
+                    chunk = tk.lowered(next(tk.chunks(pa.array([texts[row]], pa.string()))))
+                    words = tk.find_words(chunk, tk.ALPHANUMERIC)
+                    hit = np.zeros(len(words), bool)
+                    hit[numbers[row].as_py()] = True
+                    keep[row] = hit.mean() <= most_hit
+                    texts[row] = cut(text, words.start, words.end, hit).decode()
+                columns = [*part.columns]
+                columns[place] = pa.array(texts, pa.string())
+                part = pa.record_batch(columns, names=part.schema.names).filter(pa.array(keep))
+            yield part
+
+    docs_columns = docs.columns
+    return marked.select(*docs_columns, hits).mapInArrow(clean, docs.schema)
 
 
 def _cleaned_once(docs: DataFrame, items: list[tuple[str, str | None]], window: int, most_hit: float) -> DataFrame:

@@ -104,6 +104,28 @@ def test_contamination(spark, documents, shard_bytes, items):
     assert decontaminate.contamination(documents([]), table).count() == 0
 
 
+def test_groups_of_items_change_nothing(spark, documents):
+    words = [f"w{i}" for i in range(60)]
+    # overlapping items; parts of one text that only together are most of it; missing and repeated numbers
+    items = [(i, " ".join(words[s:s + 12])) for i, s in enumerate((0, 6, 20, 26, 40))] + [(9, "short item")]
+    both = " ".join(words[:12]) + " and so on for a while " + " ".join(words[20:32])
+    rows = [
+        (1, "say " + " ".join(words[:18]) + " end " + "more " * 40), (1, "say " + " ".join(words[20:38]) + " end " + "more " * 40),
+        (None, both), (None, "clean"), (None, both), (2, None), (3, ""), (3, "a short item " + "here " * 9), (4, " ".join(words[40:52]) + " x" * 20),
+    ]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    known = brute.windows(items, 10)
+    frame = documents(rows, extra=True)
+    assert decontaminate.shards(table, 60)[0] > 3
+    got = decontaminate.contamination(frame, table, shard_bytes=60).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str(brute.contamination_row(d, t, known)) for d, t in rows)
+    clean = decontaminate.cleaned(frame, table, shard_bytes=60)
+    assert clean.columns == frame.columns
+    want = [(d, brute.decontaminated(t, known)) for d, t in rows]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in clean.collect()))) == sorted(
+        str((d, n)) for (d, n), (_, t) in zip(want, rows, strict=True) if n is not None or t is None)
+
+
 def test_shards(spark, documents):
     import zlib
 
