@@ -10,7 +10,8 @@ counted once per distinct word of a chunk and added up. All words are parsed at
 per step, by table look-ups.
 
 The labelled text is a bounded sample: up to SAMPLE_BYTES of distinct words over all languages,
-taken in order of a hash of the document number. The texts to label are read whole.
+taken in order of a hash of the document number and the text, from at most SAMPLE_ROWS different
+rows (at least one of each language) and the first SAMPLE_CHARS characters of each. The texts to label are read whole.
 
 Defined cases: a text that is missing or has no letter is `und` with score 0; so is every text if
 no labelled row exists. Labels that are missing teach nothing. Ties go to the first language by
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as tk
@@ -201,22 +202,23 @@ def has_letter(text: bytes) -> bool:
 
 
 def training_sample(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most about `rows` labelled texts, spread over the languages, in a fixed order.
+    """At most `rows` labelled texts (or one for each language), in a fixed order.
 
-    The number of rows per language is counted over the whole table; each language then keeps
-    the rows whose hash falls below its share.
+    Each language keeps the rows with the smallest hashes, repeated rows once; the hashes are ranked
+    first, so that no more texts than these reach the driver.
     """
     labelled = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    languages = labelled.select("lang").distinct().count()
+    if not languages:
         return []
-    each = max(1, rows // len(counts))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    share = F.lit(0.0)
-    for name, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, each / n))).otherwise(share)
-    found = labelled.filter(place < share).withColumn("place", place).select("place", "doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    ordered = sorted(found.collect(), key=lambda r: (r["place"], str(r["doc_id"]), r["text"]))
+    place = F.xxhash64("doc_id", "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    first = labelled.select("lang", place.alias("place")).repartition("lang", "place").distinct().withColumn("rank", rank).filter(F.col("rank") <= max(1, rows // languages))
+    last = {r["lang"]: r["last"] for r in first.groupBy("lang").agg(F.max("place").alias("last")).collect()}
+    bound = F.create_map(*[F.lit(x) for pair in sorted(last.items()) for x in pair])
+    kept = labelled.withColumn("place", place).filter(F.col("place") <= bound[F.col("lang")])
+    found = kept.groupBy("lang", "place").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    ordered = sorted(found.collect(), key=lambda r: (r["place"], r["lang"]))
     return [(r["lang"], r["text"]) for r in ordered]
 
 

@@ -6,6 +6,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cohortry.llm import decontaminate, graph, language, licenses, minhash, shard_tree, substring_dedup
 from cohortry.llm import tokens as tk
@@ -183,6 +184,13 @@ def test_language(spark, documents, data):
     assert language.identify(documents([]), parser).count() == 0
 
 
+def test_sample_is_bounded_for_repeated_and_missing_numbers(spark, documents):
+    rows = [(None, f"text {i}", "en") for i in range(60)] + [(7, f"wort {i}", "de") for i in range(60)] + [(8, "mot", "fr")] * 60
+    found = language.training_sample(documents(rows), F.lit(True), rows=15)
+    assert [sum(name == own for own, _ in found) for name in ("en", "de", "fr")] == [5, 5, 1]
+    assert len(set(found)) == 11
+
+
 def test_phrases_are_longest_matches():
     words = [b"banana", b"bandana", b"cab"]
     parser = language.train([("x", "banana bandana cab"), ("y", "ab")])
