@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language, licenses, minhash, ngram_model, secrets, shard_tree, substring_dedup, vector_dedup
+from . import (
+    byte_bpe, decontaminate, importance, language, licenses, minhash, ngram_model, piece_bpe, secrets, shard_tree, substring_dedup,
+    vector_codes, vector_dedup,
+)
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 REGIONS, RACKS, SHARDS = 5, 4, 2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +89,21 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, parser).select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score", "bits")
 
 
+@query
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op12_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_bpe.round_trip(table(spark, folder, "documents"), PIECE_BPE)
+
+
+@query
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.coded_vectors(table(spark, folder, "embeddings"))
+
+
 SQL["op1_substrings"] = r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (
@@ -195,3 +214,75 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
 LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
 """
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, with the table `t` of `crc_table` at hand."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'),
+        lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"""
+
+
+SQL["op11_importance"] = rf"""
+WITH crc_table AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), texts AS (
+    SELECT row_number() OVER () AS r, true AS source, doc_id, text FROM documents
+    UNION ALL SELECT -row_number() OVER (), false, NULL, text FROM benchmark
+), words AS (
+    SELECT r, source, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts
+), hashed AS (
+    SELECT word, {crc32_sql("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM words), crc_table
+), places AS (SELECT r, source, bucket FROM words JOIN hashed USING (word)),
+counts AS (
+    SELECT bucket, (count(*) FILTER (source))::DOUBLE AS s, (count(*) FILTER (NOT source))::DOUBLE AS t FROM places GROUP BY bucket
+), totals AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM counts),
+gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::BIGINT AS gain FROM counts, totals
+), weighed AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM places JOIN gains USING (bucket) WHERE source GROUP BY r),
+scored AS (
+    SELECT r, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT
+            + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM texts LEFT JOIN weighed USING (r) WHERE source
+), ranked AS (
+    SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features DESC) AS place, count(*) OVER () AS n
+    FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Every round by all distances."""
+    text = f"""
+WITH sound AS (
+    SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), whole AS (SELECT r, list_transform(e, lambda x: floor({scale} * x)::BIGINT) AS v, len(e) // {parts} AS width FROM sound),
+pieces AS MATERIALIZED (
+    SELECT r, p, i, v[p * width + i] AS x FROM (SELECT r, v, width, p, unnest(range(1, width + 1)) AS i FROM whole, range({parts}) q(p))
+), book0 AS (SELECT p, r - 1 AS k, i, x FROM pieces WHERE r <= {entries})"""
+    for n in range(rounds + 1):
+        text += f""",
+near{n} AS MATERIALIZED (
+    SELECT r, p, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+        SELECT a.r, p, b.k, sum((a.x - b.x) * (a.x - b.x))::BIGINT AS d FROM pieces a JOIN book{n} b USING (p, i) GROUP BY a.r, p, b.k) GROUP BY r, p
+)"""
+        if n < rounds:
+            text += f""",
+book{n + 1} AS MATERIALIZED (
+    SELECT p, k, i, coalesce(((total - ((total % n) + n) % n) // n)::BIGINT, x) AS x FROM book{n} LEFT JOIN (
+        SELECT p, k, i, sum(x)::BIGINT AS total, count(*) AS n FROM pieces JOIN near{n} USING (r, p) GROUP BY p, k, i) USING (p, k, i)
+)"""
+    return text + f""",
+coded AS (
+    SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY r
+), listed AS (SELECT sha256(coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, k, i), '')) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM sound JOIN coded USING (r), listed
+"""
+
+
+SQL["op13_vector_codes"] = _vector_codes_sql()
