@@ -38,14 +38,23 @@ from .tokens import with_fields
 BLANK = "▁"
 # Rounds after which a segment is merged one by one: only very long words need so many.
 ROUNDS = 256
-# Words remembered by a worker (two generations of this many), and characters of a word that is.
-MEMORY, REMEMBERED = 60_000, 64
+# Words remembered by a worker before only those of the last chunk stay, and characters of a word that is.
+MEMORY, REMEMBERED = 150_000, 64
 # Texts encoded together, by rows and by characters (a longer text is a chunk of its own).
-ROWS, CHARS = 512, 1 << 20
+ROWS, CHARS = 1024, 1 << 21
 NONE = np.iinfo(np.int32).max  # the rank of a pair that is no piece
 UNKNOWN = 1 << 24  # symbols from here on are characters that no piece contains
 
 
+# A word's number of pieces, the pieces as decimal text, and what they decode to: no lists, as many are remembered.
+Word = tuple[int, str, bytes]
+
+
+def ids_of(words: Sequence[Word]) -> list[int]:
+    """The pieces of some words."""
+    return [int(i) for _, shown, _ in words for i in shown.split(",")]
+
+
 @dataclass(frozen=True)
 class Model:
     """Pieces, merge ranks and settings of a sentencepiece model file."""
@@ -103,13 +112,27 @@ class PieceCodec:
         keys = np.array(sorted(pairs), np.int64)
         self._key = np.append(keys, -1)
         self._rank = np.array([*(pairs[k][0] for k in keys.tolist()), NONE], np.int32)
-        self._merged = np.array([*(pairs[k][1] for k in keys.tolist()), 0], np.int64)
+        self._merged = np.array([*(pairs[k][1] for k in keys.tolist()), 0], np.int32)
         chars = [c for c in self._symbol if len(c) == 1]
-        self._of_char = np.arange(UNKNOWN, UNKNOWN + 0x110000, dtype=np.int64)
+        self._of_char = np.arange(UNKNOWN, UNKNOWN + 0x110000, dtype=np.int32)
         self._of_char[[ord(c) for c in chars]] = [self._symbol[c] for c in chars]
         beside = {(a, b) for p in number for a, b in zip(p, p[1:], strict=False)}
-        self._beside = np.array(sorted({self._symbol[a] << 32 | self._symbol[b] for a, b in beside}) or [-1], np.int64)
         self._words = re.compile(self._word_pattern(beside), re.DOTALL).findall
+        # pairs of characters in square tables; characters that stand alone are number 0
+        social = sorted({c for pair in beside for c in pair})
+        place = {c: i for i, c in enumerate(social, 1)}
+        self._class = np.zeros(0x110000, np.int32)
+        self._class[[ord(c) for c in social]] = range(1, len(social) + 1)
+        self._width = len(social) + 1
+        self._together = np.zeros(self._width**2, bool)
+        self._first_rank = np.full(self._width**2, NONE, np.int32)
+        self._first_merged = np.zeros(self._width**2, np.int32)
+        for a, b in beside:
+            at = place[a] * self._width + place[b]
+            self._together[at] = True
+            found = pairs.get(self._symbol[a] << 32 | self._symbol[b])
+            if found:
+                self._first_rank[at], self._first_merged[at] = found
 
         spoken = {i: p.replace(BLANK, " ").encode() for i, p in enumerate(model.pieces)}
         spoken |= {i: b"" for i in model.silent} | {model.unknown: model.unknown_text.encode()}
@@ -117,8 +140,7 @@ class PieceCodec:
         spoken |= self._is_byte
         self._bytes = [spoken[i] for i in range(len(model.pieces))]
         self._decimal = [str(i) for i in range(len(model.pieces))]
-        self._young: dict[str, tuple[int, str, bytes, list[int]]] = {}
-        self._old: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        self._memory: dict[str, Word] = {}
 
     @staticmethod
     def _word_pattern(beside: set[tuple[str, str]]) -> str:
@@ -138,22 +160,19 @@ class PieceCodec:
 
     def _looked_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks and merged symbols of pairs."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self._key[:-1], key)
         at[self._key[at] != key] = len(self._key) - 1
         return self._rank[at], self._merged[at]
 
-    def _rounds(self, symbol: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge all segments; the remaining symbols in order, and their segments."""
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def pairs_of(symbol: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            rank, merged = np.full(len(symbol), NONE, np.int32), np.zeros(len(symbol), np.int64)
-            inner = np.flatnonzero(segment[:-1] == segment[1:])
-            rank[inner], merged[inner] = self._looked_up(symbol[inner], symbol[inner + 1])
-            return rank, merged
+    def _rounds(
+        self, symbol: np.ndarray, segment: np.ndarray, rank: np.ndarray, merged: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Merge all segments; the remaining symbols in order, and their segments.
 
-        rank, merged = pairs_of(symbol, segment)
+        `rank` and `merged` belong to the pairs that begin at each symbol.
+        """
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         for turn in range(ROUNDS + 1):
             if not len(symbol):
                 break
@@ -237,7 +256,7 @@ class PieceCodec:
                 offer(before[i])
             offer(i)
         keep = np.array(alive, bool)
-        return np.array(part, np.int64)[keep], segment[keep]
+        return np.array(part, np.int32)[keep], segment[keep]
 
     def _ids(self, symbol: int) -> list[int]:
         """The pieces of a symbol: itself, or the bytes of what is no piece."""
@@ -246,57 +265,52 @@ class PieceCodec:
         text = chr(symbol - UNKNOWN) if symbol >= UNKNOWN else self._text[symbol]
         return [self.model.bytes_[b] for b in text.encode()] if self.model.bytes_ else [self.model.unknown]
 
-    def encoded_words(self, words: Sequence[str]) -> list[list[int]]:
+    def encoded_words(self, words: Sequence[str]) -> Iterator[list[int]]:
         """The pieces of every word; all words are merged together."""
         if not words:
-            return []
+            return
         length = np.fromiter(map(len, words), np.int64, len(words))
         char = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        symbol = self._of_char[char]
-        word = np.repeat(np.arange(len(words)), length)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), length)
+        kind = self._class[char]
+        pair = kind[:-1] * self._width + kind[1:]
         # a word is cut again between characters that no piece has beside each other
-        key = symbol[:-1] << 32 | symbol[1:]
-        at = np.minimum(np.searchsorted(self._beside, key), len(self._beside) - 1)
-        cut = (word[1:] != word[:-1]) | (self._beside[at] != key)
-        segment = np.append(0, np.cumsum(cut))
+        cut = ~self._together[pair] | (word[1:] != word[:-1])
+        segment = np.append(np.int32(0), np.cumsum(cut, dtype=np.int32))
         of_segment = word[np.append(0, np.flatnonzero(cut) + 1)]
-        symbol, segment = self._rounds(symbol, segment)
+        rank = np.append(np.where(cut, np.int32(NONE), self._first_rank[pair]), np.int32(NONE))
+        merged = np.append(self._first_merged[pair], np.int32(0))
+        symbol, segment = self._rounds(self._of_char[char], segment, rank, merged)
         owner = of_segment[segment]
         bound = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+        strange = set(np.unique(owner[symbol >= len(self.model.pieces)]).tolist())
         flat = symbol.tolist()
-        found = [flat[a:b] for a, b in zip(bound, bound[1:], strict=False)]
-        for w in np.unique(owner[symbol >= len(self.model.pieces)]).tolist():
-            found[w] = [i for s in found[w] for i in self._ids(s)]
-        if not self.model.bytes_:
-            found = [[i for k, i in enumerate(f) if i != self.model.unknown or not k or f[k - 1] != i] for f in found]
-        return found
-
-    def encoded(self, texts: Sequence[str | None]) -> Iterator[list[tuple[int, str, bytes, list[int]]]]:
-        """For every text its words as (number of pieces, pieces as text, decoded bytes, pieces)."""
+        for w, (a, b) in enumerate(zip(bound, bound[1:], strict=False)):
+            ids = flat[a:b]
+            if w in strange:
+                ids = [i for s in ids for i in self._ids(s)]
+                if not self.model.bytes_:  # neighbouring unknown characters are one piece
+                    ids = [i for k, i in enumerate(ids) if i != self.model.unknown or not k or ids[k - 1] != i]
+            yield ids
+
+    def encoded(self, texts: Sequence[str | None]) -> Iterator[list[Word]]:
+        """The words of every text."""
         cut = [self.words(t) for t in texts]
-        young, old = self._young, self._old
-        known: dict[str, tuple[int, str, bytes, list[int]]] = {}
-        new = []
-        for word in dict.fromkeys(w for words in cut for w in words):
-            found = young.get(word) or old.get(word)
-            if found is None:
-                new.append(word)
-            known[word] = found
-        decimal, spoken = self._decimal, self._bytes
+        memory, decimal, spoken = self._memory, self._decimal, self._bytes
+        seen = set().union(*cut)
+        new = list(seen.difference(memory))
         for word, ids in zip(new, self.encoded_words(new), strict=True):
-            known[word] = len(ids), ",".join([decimal[i] for i in ids]), b"".join([spoken[i] for i in ids]), ids
+            memory[word] = len(ids), ",".join([decimal[i] for i in ids]), b"".join([spoken[i] for i in ids])
         for words in cut:
-            yield [known[w] for w in words]
-        for word, found in known.items():
-            if len(word) <= REMEMBERED:
-                young[word] = found
-        if len(young) >= MEMORY:
-            # what was used lately survives
-            self._old, self._young = young, {}
+            yield [memory[w] for w in words]
+        for word in [w for w in new if len(w) > REMEMBERED]:
+            del memory[word]
+        if len(memory) > MEMORY:
+            self._memory = {w: memory[w] for w in seen if w in memory}
 
     def encode(self, text: str | None) -> list[int]:
         """All pieces of a text."""
-        return [i for words in self.encoded([text]) for _, _, _, ids in words for i in ids]
+        return [i for words in self.encoded([text]) for i in ids_of(words)]
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of pieces; bytes that are no UTF-8 become U+FFFD."""
@@ -338,7 +352,7 @@ class PieceCodec:
         flush()
         return "".join(out)
 
-    def decoded(self, words: Sequence[tuple[int, str, bytes, list[int]]]) -> bytes:
+    def decoded(self, words: Sequence[Word]) -> bytes:
         """The decoded text of the words that `encoded` gave for one text, in UTF-8."""
         data = b"".join([w[2] for w in words])
         return data[1:] if self.model.prefix and data.startswith(b" ") else data
@@ -380,7 +394,7 @@ def with_pieces(docs: DataFrame, model_path: str, text: str = "text", pieces: st
         codec = codec_of(shared)
         for batch in batches:
             for part, texts in _parts(batch, text):
-                ids = [[i for w in words for i in w[3]] for words in codec.encoded(texts)]
+                ids = [ids_of(words) for words in codec.encoded(texts)]
                 yield pa.record_batch([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*rest, pieces])
 
     return source.mapInArrow(encode, with_fields(source, f"`{pieces}` array<int>"))
