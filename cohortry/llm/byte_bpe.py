@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from .tokens import with_fields
 
 # A part of up to LEAF bytes is merged directly. Seams, short parts and whole pieces of up to
-# REMEMBERED bytes are remembered; a memory is emptied when it reaches MEMORY entries.
-LEAF, REMEMBERED, MEMORY = 4, 48, 100_000
+# REMEMBERED bytes are remembered; a memory is emptied when it reaches MEMORY entries (LARGE_MEMORY where a
+# Python worker has nothing else to hold).
+LEAF, REMEMBERED, MEMORY, LARGE_MEMORY = 4, 48, 100_000, 250_000
 NONE = 1 << 62  # the rank of what cannot be merged
 # Rows that are turned into Python strings at a time.
 ROWS = 128
@@ -45,8 +46,9 @@ def read_ranks(path: str) -> Ranks:
 class Codec:
     """Encodes and decodes texts by the ranks of a vocabulary and its splitting pattern."""
 
-    def __init__(self, ranks: Ranks, pattern: str):
+    def __init__(self, ranks: Ranks, pattern: str, memory: int | None = None):
         self.ranks = ranks
+        self.memory = MEMORY if memory is None else memory
         self.token = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
         self._parts: dict[bytes, tuple[int, ...]] = {}
@@ -114,7 +116,7 @@ class Codec:
         key = left << 32 | right
         found = self._seams.get(key)
         if found is None:
-            if len(self._seams) >= MEMORY:
+            if len(self._seams) >= self.memory:
                 self._seams.clear()
             found = self.merged(self.token[left] + self.token[right])
             if found == (left, right):
@@ -147,7 +149,7 @@ class Codec:
         if found is None:
             found = self.merged(data)
             if len(data) <= REMEMBERED:
-                if len(self._parts) >= MEMORY:
+                if len(self._parts) >= self.memory:
                     self._parts.clear()
                 self._parts[data] = found
         return found
@@ -174,7 +176,7 @@ class Codec:
                 ids = self.piece(piece)
                 found = ids, " ".join(map(str, ids)), self.decode(ids)
                 if len(piece) <= REMEMBERED:
-                    if len(pieces) >= MEMORY:
+                    if len(pieces) >= self.memory:
                         pieces.clear()
                     pieces[piece] = found
             out.append(found)
@@ -192,12 +194,12 @@ class Codec:
 _codecs: dict[int, Codec] = {}
 
 
-def codec_of(shared: Broadcast, pattern: str) -> Codec:
+def codec_of(shared: Broadcast, pattern: str, memory: int | None = None) -> Codec:
     """The codec of a broadcast vocabulary; a Python worker keeps the last one."""
-    key = hash((len(shared.value), pattern, *sorted(shared.value.items())[::997]))
+    key = hash((len(shared.value), pattern, memory, *sorted(shared.value.items())[::997]))
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(shared.value, pattern)
+        _codecs[key] = Codec(shared.value, pattern, memory)
     return _codecs[key]
 
 
@@ -267,13 +269,13 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
     """Encode every text, decode the tokens, and keep only their digests.
 
     Columns: doc_id, n_tokens, ids_sha256 (decimal tokens joined by a blank) and decoded_sha256.
-    One pass, so that neither tokens nor bytes leave the task.
+    One pass, so that neither tokens nor bytes leave the task. Memories outlive a task: its pieces recur in the next.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared, pattern)
+        codec = codec_of(shared, pattern, LARGE_MEMORY)
         for batch in batches:
             for part in _parts(batch):
                 found = []
@@ -288,7 +290,6 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
                 yield pa.record_batch(
                     [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], names=names
                 )
-        codec.forget()
 
     source = docs.select("doc_id", f"`{text}`")
     schema = with_fields(source.select("doc_id"), "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -6,13 +6,12 @@ flat array of symbols with a segment number each. In a round every segment takes
 highest score) and merges all of its occurrences at once, leftmost first where they overlap; the array
 is compacted, only pairs beside a merged symbol are looked up again, and segments without a pair leave.
 
-Merging one by one could differ from a round in one case: a new pair beside a merged symbol is as good
-as the pair of the round or better, and would have come before the next occurrence. A segment in which
+Merging one by one could differ from a round in one case: a new pair beside a merged symbol, with the next occurrence
+merged or not yet, is as good as the pair of the round or better, and would have come first. A segment in which
 that happens after several merges goes back and is merged one by one, in order, with a heap; so does one that
 is not finished after ROUNDS rounds. Results equal those of the sentencepiece library.
 
-What no piece contains is written as the byte pieces of its UTF-8 form (or the unknown piece in a model
-without them). Decoding joins the bytes of pieces; the blank put in front is taken off.
+What no piece contains is written as the byte pieces of its UTF-8 form. Decoding joins the bytes of pieces; the blank put in front is taken off.
 
 Defined cases: a missing text is encoded like an empty one, to no pieces. Rows are encoded one by one,
 so repeated rows give repeated results. Control pieces do not exist in texts: their spelling is ordinary text.
@@ -69,7 +68,7 @@ class Model:
 
 
 def read_model(path: str) -> Model:
-    """Read a BPE model file; only models that take texts unchanged (identity normalisation) are accepted."""
+    """Read a BPE model file; only models with byte pieces that take texts unchanged (identity normalisation) are accepted."""
     with open(path, "rb") as data:
         proto = ModelProto.FromString(data.read())
     kind = ModelProto.SentencePiece.Type
@@ -78,8 +77,8 @@ def read_model(path: str) -> Model:
     known = {kind.NORMAL, kind.UNKNOWN, kind.CONTROL, kind.BYTE}
     if training.model_type != training.BPE or not plain or training.treat_whitespace_as_suffix or any(
         p.type not in known for p in proto.pieces
-    ):
-        raise ValueError("the model must be BPE with unchanged texts and ordinary pieces")
+    ) or sum(p.type == kind.BYTE for p in proto.pieces) != 256:
+        raise ValueError("the model must be BPE with byte pieces, unchanged texts and ordinary pieces")
     normal = [(i, p) for i, p in enumerate(proto.pieces) if p.type == kind.NORMAL]
     place = {s: r for r, s in enumerate(sorted({p.score for _, p in normal}, reverse=True))}
     return Model(
@@ -212,6 +211,10 @@ class PieceCodec:
             early = np.zeros(len(best), bool)
             number = np.repeat(np.arange(len(best)), size)
             early[number[stays][inner[new_rank[inner] <= new_best[inner]]]] = True
+            # a merged symbol meets the next occurrence while that is still apart
+            next_too = np.flatnonzero(chosen[:-2] & chosen[2:] & (segment[:-2] == segment[2:]))
+            meets, _ = self._looked_up(merged[next_too], symbol[next_too + 2])
+            early[number[next_too[meets <= own_best[next_too]]]] = True
             early &= np.bincount(number[chosen], minlength=len(best)) > 1
             if early.any():
                 back = early[number]
@@ -263,7 +266,7 @@ class PieceCodec:
         if symbol < len(self.model.pieces):
             return [symbol]
         text = chr(symbol - UNKNOWN) if symbol >= UNKNOWN else self._text[symbol]
-        return [self.model.bytes_[b] for b in text.encode()] if self.model.bytes_ else [self.model.unknown]
+        return [self.model.bytes_[b] for b in text.encode()]
 
     def encoded_words(self, words: Sequence[str]) -> Iterator[list[int]]:
         """The pieces of every word; all words are merged together."""
@@ -289,8 +292,6 @@ class PieceCodec:
             ids = flat[a:b]
             if w in strange:
                 ids = [i for s in ids for i in self._ids(s)]
-                if not self.model.bytes_:  # neighbouring unknown characters are one piece
-                    ids = [i for k, i in enumerate(ids) if i != self.model.unknown or not k or ids[k - 1] != i]
             yield ids
 
     def encoded(self, texts: Sequence[str | None]) -> Iterator[list[Word]]:
