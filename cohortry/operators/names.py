@@ -3,6 +3,9 @@
 A name is walked character by character. The walk stays on the path of a dictionary word:
 a character that continues some word is taken, any other is skipped, and nothing is
 taken back. The node reached is simply the text taken so far.
+
+Dictionaries up to hundreds of thousands of words are flat tries that every task holds (`trie.py`); larger ones are
+walked by joins.
 """
 
 from __future__ import annotations
@@ -10,7 +13,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +24,12 @@ from ..functions.labels import fill_missing
 from ..functions.text import any_like, ascii_brackets, drop_bracket_prefix, strip_text
 from ..sources.shared import written
 from .skew import BroadcastLimit, fits, key_profile, skew_join
+from .trie import DictionaryTrie
 
 _RESULT = "standard string, code string"
 
-# Every Python worker holds all prefixes of the dictionary, so it may be broadcast only
-# when it is well below what a plain broadcast join could take.
-DICTIONARY_LIMIT = BroadcastLimit(rows=50_000, bytes=8 * 1024 * 1024)
+# Every Python worker holds the dictionary as a flat trie: six bytes a character at most, and the words themselves.
+DICTIONARY_LIMIT = BroadcastLimit(rows=500_000, bytes=80 * 1024 * 1024)
 # Nodes of a dictionary that one row may hold in the walk by joins.
 LOWER_TRIE = 256
 
@@ -65,27 +70,29 @@ def dictionary_table(
 
 
 def _broadcast_walk(name: Column, table: DataFrame, suffix: str) -> Column:
-    """Standardise with the whole dictionary in every Python worker (size checked before)."""
-    words = {r.path: (r.word, r.code) for r in table.collect()}
-    prefixes = {path[:i] for path in words for i in range(1, len(path) + 1)}
-    shared = table.sparkSession.sparkContext.broadcast((prefixes, words))
-
-    @F.pandas_udf(_RESULT)
-    def standardise_batch(paths: pd.Series) -> pd.DataFrame:
-        known, entries = shared.value
-        nothing = (None, None)
-
-        def entry(text):
-            node = ""
-            for ch in text:
-                if node + ch in known:
-                    node += ch
-            if not entries.get(node, nothing)[0] and node + suffix in known:
-                node += suffix
-            return entries.get(node, nothing)
-
-        seen = {p: entry(p) for p in paths.dropna().unique()}
-        return pd.DataFrame([seen.get(p, nothing) for p in paths], columns=["standard", "code"])
+    """Standardise with the whole dictionary in every Python worker (size checked before).
+
+    Each distinct name of a batch is walked once, all of them side by side.
+    """
+    rows = table.toArrow()
+    words = DictionaryTrie.of(rows.column("path").combine_chunks(), rows.select(["word", "code"]))
+    shared = table.sparkSession.sparkContext.broadcast(words)
+
+    @F.arrow_udf(_RESULT)
+    def standardise_batch(paths: pa.Array) -> pa.Array:
+        known = shared.value
+        named = pc.fill_null(known.values.column("word").combine_chunks(), "")
+        is_word = np.append(pc.not_equal(named, "").to_numpy(zero_copy_only=False), False)
+        distinct = paths.dictionary_encode()
+        node = known.walked(distinct.dictionary)
+        entry = known.entries(node)
+        # a node without a word goes on by the suffix if the dictionary does
+        longer = known.followed(node, suffix) if suffix else np.zeros(len(node), np.int64)
+        entry = np.where(~is_word[entry] & (longer > 0), known.entries(longer), entry)
+        found = known.values.take(pa.array(entry, mask=entry < 0)).combine_chunks()
+        return pa.StructArray.from_arrays(
+            [found.column(c).combine_chunks().take(distinct.indices) for c in ("word", "code")], names=["standard", "code"]
+        )
 
     return standardise_batch(ascii_brackets(name))
 
@@ -197,8 +204,12 @@ def standardise(
 
     A dictionary within `limit` is walked in Arrow batches, each distinct name of a batch
     once, without a shuffle. A larger one goes through `walk_by_joins` over distinct names.
-    `missing` replaces the standard name of a NULL name; by default it stays NULL.
+    `missing` replaces the standard name of a NULL name; by default it stays NULL. `names` must not
+    have columns `standard` and `code` of its own.
     """
+    taken = {"standard", "code"} & {c.lower() for c in names.columns}
+    if taken:
+        raise ValueError(f"names already has {sorted(taken)}")
     # measured, collected or joined: written once, so that the dictionary is built once
     table = written(dictionary_table(dictionary, word, code, order, code_match), "dictionary")
     if fits(table, limit):

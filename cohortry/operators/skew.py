@@ -47,8 +47,8 @@ def as_list(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def fits(df: DataFrame, limit: BroadcastLimit = BroadcastLimit()) -> bool:
-    """Measure `df` (one small job) and compare it with `limit`.
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of `df` (one small job).
 
     Text, binary and nested columns are measured by their JSON or byte length;
     every value is charged a fixed overhead on top.
@@ -60,6 +60,12 @@ def fits(df: DataFrame, limit: BroadcastLimit = BroadcastLimit()) -> bool:
         for f in df.schema.fields
     )
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n, size
+
+
+def fits(df: DataFrame, limit: BroadcastLimit = BroadcastLimit()) -> bool:
+    """Measure `df` and compare it with `limit`."""
+    n, size = measured(df)
     return n <= limit.rows and size <= limit.bytes
 
 

@@ -14,7 +14,7 @@ from ..operators.cohort import frequency
 from ..operators.exposures import exposures, first_exposure, first_exposure_of_charges
 from ..operators.linking import canonical_person, visit_persons
 from ..operators.names import dictionary_table, distinct_clean_names, match_ratio, standardise
-from ..operators.rules import changed_rows, fill_by_pattern, fill_from_names
+from ..operators.rules import AUTOMATON_LIMIT, changed_rows, fill_by_automaton, fill_by_pattern, fill_from_names
 from ..operators.sets import first_per_key
 from ..operators.skew import BroadcastLimit, lookup_join
 from ..sources.shared import shared_folder
@@ -191,6 +191,25 @@ def filled_count(t):
     return changed_rows(_filled(t))
 
 
+def _filled_by_automaton(t: Tables, limit: BroadcastLimit = AUTOMATON_LIMIT):
+    return fill_by_automaton(
+        fx.catalog(t), fx.rules(t), name="item", code="code", standard="std",
+        rule_pattern="word", rule_code="rule_code", rule_standard="rule_std", order="ord", limit=limit,
+    )
+
+
+@query("fill_by_automaton", f"WITH {fx.CATALOG_SQL} SELECT * FROM filled")
+def filled_by_automaton(t):
+    """All rules at once, each name read once."""
+    return _filled_by_automaton(t)
+
+
+@query("fill_by_automata", f"WITH {fx.CATALOG_SQL} SELECT * FROM filled")
+def filled_by_automata(t):
+    """Rules that are too many for one automaton."""
+    return _filled_by_automaton(t, BroadcastLimit(rows=100))
+
+
 _CHAIN = f"""{fx.FEES_SQL}, {fx.DICTIONARY_SQL}, {fx.CATALOG_ONLY_SQL},
     chained AS (
       SELECT c.p_partkey, c.code AS old, arg_min(s.code, s.item) AS new, arg_min(s.standard, s.item) AS std

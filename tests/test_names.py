@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortry.operators.names import dictionary_table, distinct_clean_names, match_ratio, standardise, walk_by_joins
-from cohortry.operators.rules import changed_rows, fill_by_pattern
+from cohortry.operators.rules import changed_rows, fill_by_automaton, fill_by_pattern
 from cohortry.operators.skew import BroadcastLimit
 
 BOTH = [BroadcastLimit(), BroadcastLimit(rows=0)]
@@ -88,27 +88,31 @@ def test_distinct_clean_names(spark):
 
 
 RULES = dict(name="name", code="code", rule_pattern="p", rule_code="c", order="o")
+WAYS = pytest.mark.parametrize("fill", [fill_by_pattern, fill_by_automaton])
+FEW = [BroadcastLimit(), BroadcastLimit(rows=2)]
 
 
-@pytest.mark.parametrize("limit", BOTH)
-def test_first_rule_wins(spark, limit):
+@WAYS
+@pytest.mark.parametrize("limit", FEW)
+def test_first_rule_wins(spark, limit, fill):
     catalog = spark.createDataFrame([(0, "红色片A", None), (1, "蓝片", None), (2, "红色片B", "K"), (3, "绿", None), (4, None, None)],
                                     "i int, name string, code string")
     rules = spark.createDataFrame([("片", "C02", "s1", 1), ("红色", "C07", "s2", 2), ("绿", None, "s3", 0)], "p string, c string, s string, o int")
     catalog = catalog.withColumn("std", F.lit(None).cast("string"))
-    found = fill_by_pattern(catalog, rules, standard="std", rule_standard="s", limit=limit, **RULES)
+    found = fill(catalog, rules, standard="std", rule_standard="s", limit=limit, **RULES)
     assert [tuple(r)[2:] for r in found.orderBy("i").collect()] == [
         ("C02", "s1", True), ("C02", "s1", True), ("K", None, False), (None, None, False), (None, None, False)]
     assert changed_rows(found).first()[0] == 2
 
 
-@pytest.mark.parametrize("limit", BOTH)
-def test_rules_against_brute_force(spark, limit):
+@WAYS
+@pytest.mark.parametrize("limit", FEW)
+def test_rules_against_brute_force(spark, limit, fill):
     rng = random.Random(9)
     pool = ["".join(rng.choices("ab%_药", k=rng.randint(0, 7))) for _ in range(60)]
     catalog = [(i, rng.choice(pool), rng.choice([None, None, "K"])) for i in range(400)]
     rules = [("".join(rng.choices("ab%_药", k=rng.randint(1, 4))), f"C{i}", i * 7 % 31) for i in range(31)]
-    found = fill_by_pattern(
+    found = fill(
         spark.createDataFrame(catalog, "i int, name string, code string"),
         spark.createDataFrame(rules, "p string, c string, o int"), limit=limit, **RULES)
     expected = []
@@ -118,9 +122,10 @@ def test_rules_against_brute_force(spark, limit):
     assert [r.code for r in found.orderBy("i").collect()] == expected
 
 
-def test_empty_pattern_matches_every_name_and_no_rules_change_nothing(spark):
+@WAYS
+def test_empty_pattern_matches_every_name_and_no_rules_change_nothing(spark, fill):
     catalog = spark.createDataFrame([(0, "x", None), (1, "", None), (2, None, None)], "i int, name string, code string")
     everything = spark.createDataFrame([("", "C", 1)], "p string, c string, o int")
-    found = fill_by_pattern(catalog, everything, **RULES)
+    found = fill(catalog, everything, **RULES)
     assert [r.code for r in found.orderBy("i").collect()] == ["C", "C", None]
-    assert changed_rows(fill_by_pattern(catalog, everything.limit(0), **RULES)).first()[0] == 0
+    assert changed_rows(fill(catalog, everything.limit(0), **RULES)).first()[0] == 0
