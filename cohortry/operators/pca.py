@@ -1,17 +1,39 @@
-"""Principal components, scores and covariances of a numeric feature column."""
+"""Principal components, scores and covariances of a numeric feature column.
+
+The scatter matrix is cut into square blocks of features. Every task adds up the blocks of its rows, around
+the mean of its own rows, and hands on each block once; blocks are added in a tree of two levels, means and all, so
+neither the shuffle nor a task's memory grows with the rows. The number of tasks follows the cores of the
+cluster, not the files of the table.
+
+Up to WIDEST features the whole matrix is decomposed. For more, a randomised range finder (Halko, Martinsson and Tropp)
+looks for the first components only: a few passes, each of which multiplies the rows with some vectors.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Features of a block; features whose whole matrix is decomposed on the driver (128 MB).
+BLOCK, WIDEST = 512, 4096
+# Bytes of rows that a task holds as a matrix at a time.
+ROW_BYTES = 32 << 20
+# Further vectors and passes of the range finder, and the seed of its first vectors.
+OVERSAMPLED, PASSES, SEED = 10, 4, 17
+
+# Of some rows: their number, the means of two blocks of features, and the scatter of these around the means.
+Sums = tuple[int, np.ndarray, np.ndarray]
+_SUMS = "i int, j int, n bigint, rows int, data binary, task int"
+
 
 @dataclass(frozen=True)
 class Components:
@@ -43,27 +65,26 @@ def _arrays(df: DataFrame, features: str) -> Column:
     return F.when(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), x)
 
 
-def pca_fit(df: DataFrame, features: str, n_components: int | float | None = None) -> Components:
+def pca_fit(df: DataFrame, features: str, n_components: int | float | None = None, widest: int = WIDEST) -> Components:
     """Fit components on centred features.
 
     None keeps min(rows, features) components, a whole number that many, and a fraction between
-    0 and 1 the fewest whose variance ratios add up to more than it. No rows have no components. The work is one pass for
-    the Gram matrix; only features x features numbers reach the driver. Rows with a missing or
-    non-finite element are left out.
+    0 and 1 the fewest whose variance ratios add up to more than it. No rows have no components. Up to `widest` features
+    one pass is enough, and features x features numbers reach the driver. More features need a whole number of components,
+    which are approximate where variances hardly decrease; (components + 10) x features numbers reach the driver.
+    Rows with a missing or non-finite element are left out.
     """
-    found = _gram(df, features).collect()
-    n = found[0]["n"] if found else 0
-    width = max((r["j"] for r in found), default=-1) + 1
+    data = _known(df, features)
+    first = data.select(F.size("x").alias("n")).first()
+    width = first[0] if first else 0
+    if width > widest:
+        return _by_range_finder(data, width, n_components)
+    n, mean, scatter = _whole_scatter(data, width)
     most = min(n, width)
     if n_components is not None and not (
         0 < n_components < 1 or (float(n_components).is_integer() and 1 <= n_components <= most)
     ):
         raise ValueError(f"n_components is None, a fraction or a whole number up to {most}")
-    mean, scatter = np.zeros(width), np.zeros((width, width))
-    for r in found:
-        scatter[r["i"], r["j"]] = scatter[r["j"], r["i"]] = r["g"] - r["si"] * r["sj"] / n
-        if r["i"] == r["j"]:
-            mean[r["i"]] = r["shift"] + r["si"] / n
     values, vectors = np.linalg.eigh(scatter)
     values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1].T
     ratios = values / values.sum() if values.sum() > 0 else values
@@ -73,12 +94,16 @@ def pca_fit(df: DataFrame, features: str, n_components: int | float | None = Non
         k = min(int(np.searchsorted(np.cumsum(ratios), n_components, side="right")) + 1, most)
     else:
         k = int(n_components)
-    components, ratios = vectors[:k], ratios[:k]
-    if not k:
-        return Components(mean, components, ratios)
-    signs = np.sign(components[np.arange(k), np.abs(components).argmax(axis=1)])
+    return Components(mean, _signed(vectors[:k]), ratios[:k])
+
+
+def _signed(components: np.ndarray) -> np.ndarray:
+    """Every component with a positive largest loading."""
+    if not components.size:
+        return components
+    signs = np.sign(components[np.arange(len(components)), np.abs(components).argmax(axis=1)])
     signs[signs == 0] = 1.0
-    return Components(mean, components * signs[:, None], ratios)
+    return components * signs[:, None]
 
 
 def pca_scores(df: DataFrame, fitted: Components, features: str, keep: list[str]) -> DataFrame:
@@ -108,43 +133,172 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def _gram(df: DataFrame, features: str) -> DataFrame:
-    """(i, j, n, si, sj, g, shift) with i <= j: rows, sums and products of features i and j.
+def _known(df: DataFrame, features: str) -> DataFrame:
+    return df.select(_arrays(df, features).alias("x")).filter(F.col("x").isNotNull())
+
+
+def _row_blocks(batches: Iterable[pa.RecordBatch], width: int | None = None) -> Iterator[np.ndarray]:
+    """The rows of a task as matrices of bounded size, all of one width."""
+    for batch in batches:
+        column, at = batch.column(0), 0
+        while at < len(column):
+            if width is None:
+                width = len(column[at])
+            size = max(1, ROW_BYTES // (8 * max(1, width)))
+            yield _matrix(column.slice(at, size), width)
+            at += size
+
+
+def _spans(width: int) -> list[tuple[int, int]]:
+    return [(at, min(width, at + BLOCK)) for at in range(0, width, BLOCK)] or [(0, 0)]
+
+
+def _merged(one: Sums, two: Sums, rows: int) -> Sums:
+    """Sums over two sets of rows; the first `rows` means are those of the matrix's rows."""
+    if one[2].shape != two[2].shape:
+        raise ValueError("feature vectors differ in length")
+    n = one[0] + two[0]
+    apart = two[1] - one[1]
+    scatter = one[2] + two[2] + np.outer(apart[:rows], apart[rows:]) * (one[0] * two[0] / n)
+    return n, one[1] + apart * (two[0] / n), scatter
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """All sums of one block of features in one row."""
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    total = None
+    for n, rows, data in zip(table["n"].to_pylist(), table["rows"].to_pylist(), table["data"], strict=True):
+        flat = np.frombuffer(data.as_buffer(), np.float64)
+        columns = (len(flat) - rows) // (rows + 1)
+        own = n, flat[:rows + columns], flat[rows + columns:].reshape(rows, columns)
+        total = own if total is None else _merged(total, own, rows)
+    return _rows_of([(i, j, total)], table["task"][0].as_py())
+
+
+def _rows_of(found: Iterable[tuple[int, int, Sums]], task: int) -> pa.Table:
+    found = list(found)
+    return pa.table({
+        "i": pa.array([i for i, _, _ in found], pa.int32()), "j": pa.array([j for _, j, _ in found], pa.int32()),
+        "n": pa.array([n for _, _, (n, _, _) in found], pa.int64()),
+        "rows": pa.array([len(scatter) for _, _, (_, _, scatter) in found], pa.int32()),
+        "data": pa.array([np.append(means, scatter.reshape(-1)).tobytes() for _, _, (_, means, scatter) in found], pa.binary()),
+        "task": pa.array([task] * len(found), pa.int32()),
+    })
+
+
+def _few_tasks(data: DataFrame) -> tuple[DataFrame, int]:
+    """The same rows in no more tasks than twice the cores, without a shuffle, and the groups of a tree over them."""
+    tasks = 2 * data.sparkSession.sparkContext.defaultParallelism
+    return data.coalesce(tasks), max(1, ceil(isqrt(tasks)))
 
-    One pass: each partition reduces to its count, sums and Gram matrix, and these add up.
-    Values are shifted by one data row first, which does not change a covariance and keeps
-    the sums small.
-    """
-    data = df.select(_arrays(df, features).alias("x")).filter(F.col("x").isNotNull())
-    first = data.first()
-    shift = np.array(first.x if first else [])
+
+def _scatter_blocks(data: DataFrame) -> DataFrame:
+    """(i, j, n, rows, data, task): per pair of feature blocks i <= j, starting at these features, rows, means and scatter."""
+    few, groups = _few_tasks(data)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, gram = 0, np.zeros(len(shift)), np.zeros((len(shift), len(shift)))
-        for batch in batches:
-            column = batch.column(0)
-            x = _matrix(column, len(shift)) - shift
-            n, total, gram = n + len(x), total + x.sum(axis=0), gram + x.T @ x
-        if n:
-            width = len(shift)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "i": pa.array(range(width), pa.int32()),
-                    "n": pa.array([n] * width, pa.int64()),
-                    "si": pa.array(total),
-                    "sums": pa.array([list(total)] * width, pa.list_(pa.float64())),
-                    "gram": pa.array([list(row) for row in gram], pa.list_(pa.float64())),
-                }
-            )
+        total = None
+        for x in _row_blocks(batches):
+            mean = x.mean(axis=0)
+            x = x - mean
+            own = len(x), np.append(mean, mean), x.T @ x
+            total = own if total is None else _merged(total, own, len(mean))
+        if total is None:
+            return
+        n, mean, scatter = total[0], total[1][:len(total[2])], total[2]
+        task = TaskContext.get().partitionId()
+        spans = _spans(len(mean))
+        for a, (i, to) in enumerate(spans):  # a block at a time
+            for j, end in spans[a:]:
+                yield from _rows_of([(i, j, (n, np.append(mean[i:to], mean[j:end]), scatter[i:to, j:end]))], task).to_batches()
+
+    parts = few.mapInArrow(partial, _SUMS)
+    if groups > 8:  # few tasks are added up in one step
+        parts = parts.groupBy("i", "j", F.pmod("task", F.lit(groups))).applyInArrow(_added, _SUMS)
+    return parts.groupBy("i", "j").applyInArrow(_added, _SUMS)
+
+
+def _whole_scatter(data: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and the scatter matrix, for a width of a checked size."""
+    n, mean, scatter = 0, np.zeros(width), np.zeros((width, width))
+    for r in _scatter_blocks(data).collect():  # features x features numbers
+        flat, n = np.frombuffer(r["data"], np.float64), r["n"]
+        i, j, rows = r["i"], r["j"], r["rows"]
+        columns = (len(flat) - rows) // (rows + 1)
+        if i + rows > width or j + columns > width:
+            raise ValueError("feature vectors differ in length")
+        mean[i:i + rows] = flat[:rows]
+        block = flat[rows + columns:].reshape(rows, columns)
+        scatter[i:i + rows, j:j + columns] = block
+        scatter[j:j + columns, i:i + rows] = block.T
+    return n, mean, scatter
+
+
+def _summed(data: DataFrame, width: int, per_block: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of a matrix over all blocks of rows, in slices of rows of the matrix, by the same tree."""
+    few, groups = _few_tasks(data)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for x in _row_blocks(batches, width):
+            own = per_block(x)
+            total = own if total is None else total + own
+        if total is not None:
+            task = TaskContext.get().partitionId()
+            for i, to in _spans(len(total)):
+                yield pa.record_batch(
+                    [pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([total[i:to].tobytes()], pa.binary())],
+                    names=["i", "task", "data"],
+                )
 
-    parts = data.mapInArrow(partial, "i int, n bigint, si double, sums array<double>, gram array<double>")
-    return (
-        parts.select("i", "n", "si", F.posexplode(F.arrays_zip("sums", "gram")).alias("j", "e"))
-        .filter("j >= i")
-        .groupBy("i", "j")
-        .agg(F.sum("n").alias("n"), F.sum("si").alias("si"), F.sum("e.sums").alias("sj"), F.sum("e.gram").alias("g"))
-        .withColumn("shift", F.get(F.array(*[F.lit(float(v)) for v in shift]).cast("array<double>"), F.col("i")))
-    )
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(data.as_buffer(), np.float64) for data in table["data"])
+        return pa.table({"i": table["i"][:1], "task": table["task"][:1], "data": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "i int, task int, data binary"
+    parts = few.mapInArrow(partial, schema)
+    if groups > 8:
+        parts = parts.groupBy("i", F.pmod("task", F.lit(groups))).applyInArrow(added, schema)
+    found = sorted(parts.groupBy("i").applyInArrow(added, schema).collect(), key=lambda r: r["i"])
+    return np.concatenate([np.frombuffer(r["data"], np.float64) for r in found])
+
+
+def _by_range_finder(data: DataFrame, width: int, n_components: int | float | None) -> Components:
+    """The first components of many features, from the range of the scatter matrix times some vectors."""
+    if n_components is None or not float(n_components).is_integer() or n_components < 1:
+        raise ValueError(f"{width} features need a whole number of components")
+    # rows, sums and squares per feature; a shift keeps squares small
+    shift = np.array(data.first()["x"])
+    sums = _summed(data, width, lambda x: np.column_stack([
+        np.full(width, float(len(x))), (x - shift).sum(axis=0), ((x - shift) ** 2).sum(axis=0)
+    ])).reshape(width, 3)
+    n = int(sums[0, 0])
+    mean = shift + sums[:, 1] / n
+    variance = float((sums[:, 2] - sums[:, 1] ** 2 / n).sum())
+    k = int(n_components)
+    if k > min(n, width):
+        raise ValueError(f"n_components is a whole number up to {min(n, width)}")
+    vectors = np.linalg.qr(np.random.default_rng(SEED).standard_normal((width, min(width, k + OVERSAMPLED))))[0]
+    shared = data.sparkSession.sparkContext.broadcast
+    for _ in range(PASSES):
+        known = shared((mean, vectors))
+
+        def times(x: np.ndarray, known=known) -> np.ndarray:
+            centre, turn = known.value
+            centred = x - centre
+            return centred.T @ (centred @ turn)
+
+        vectors = np.linalg.qr(_summed(data, width, times).reshape(width, -1))[0]
+    known = shared((mean, vectors))
+
+    def within(x: np.ndarray) -> np.ndarray:
+        centre, turn = known.value
+        projected = (x - centre) @ turn
+        return projected.T @ projected
+
+    values, turn = np.linalg.eigh(_summed(data, width, within).reshape(vectors.shape[1], -1))
+    values, components = np.maximum(values[::-1][:k], 0.0), (vectors @ turn[:, ::-1][:, :k]).T
+    return Components(mean, _signed(components), values / variance if variance > 0 else 0 * values)
 
 
 def covariance(df: DataFrame, features: str) -> DataFrame:
@@ -152,5 +306,17 @@ def covariance(df: DataFrame, features: str) -> DataFrame:
 
     Rows with a missing vector, or a missing or non-finite element, are left out.
     """
-    g, si, sj, n = (F.col(c) for c in ("g", "si", "sj", "n"))
-    return _gram(df, features).select("i", "j", ((g - si * sj / n) / (n - 1)).alias("cov"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                flat, rows = np.frombuffer(r["data"], np.float64), r["rows"]
+                columns = (len(flat) - rows) // (rows + 1)
+                i, j = np.divmod(np.arange(rows * columns), columns)
+                keep = i + r["i"] <= j + r["j"]
+                cov = flat[rows + columns:][keep] / (r["n"] - 1) if r["n"] > 1 else np.full(keep.sum(), np.nan)
+                yield pa.record_batch(
+                    [pa.array(i[keep] + r["i"], pa.int32()), pa.array(j[keep] + r["j"], pa.int32()), pa.array(cov)], names=["i", "j", "cov"]
+                )
+
+    return _scatter_blocks(_known(df, features)).mapInArrow(listed, "i int, j int, cov double")

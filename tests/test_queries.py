@@ -11,8 +11,12 @@ def duck(data):
     return tables(data)
 
 
+# Decompositions of all features; test_describe.py compares them with numpy.
+WITHOUT_SQL = {"pca_spectrum", "pca_fraction"}
+
+
 def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+    assert set(SQL) == set(QUERIES) - WITHOUT_SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
