@@ -18,6 +18,7 @@ from ..operators.rules import AUTOMATON_LIMIT, changed_rows, fill_by_automaton,
 from ..operators.sets import first_per_key
 from ..operators.skew import BroadcastLimit, lookup_join
 from ..sources.shared import shared_folder
+from ..sources.updates import Updated, update_in_place
 from ..sources.tables import query as run_sql
 from ..sources.tables import read_csv, read_table, write_csv, write_table
 from . import fixtures as fx
@@ -210,6 +211,52 @@ def filled_by_automata(t):
     return _filled_by_automaton(t, BroadcastLimit(rows=100))
 
 
+def _stored_catalog(t: Tables) -> str:
+    """A catalogue as a table partitioned by brand, some of whose brands have nothing to fill."""
+    path = f"{shared_folder(t.spark)}/catalog-{uuid.uuid4().hex}"
+    stored = fx.catalog(t).join(t.part.select("p_partkey", "p_brand"), "p_partkey")
+    write_table(stored.withColumn("code", F.when(~F.col("p_brand").endswith("1"), F.col("code")).otherwise("K")), path, partition_by=["p_brand"])
+    return path
+
+
+def _update_stored(t: Tables, path: str) -> Updated:
+    def fill(table):
+        return fill_by_automaton(
+            table, fx.rules(t), name="item", code="code", standard="std",
+            rule_pattern="word", rule_code="rule_code", rule_standard="rule_std", order="ord",
+        )
+
+    return update_in_place(t.spark, path, fill, ["p_brand"])
+
+
+_UPDATED = f"""{fx.CATALOG_SQL}, updated AS (
+      SELECT p_partkey, p_brand, CASE WHEN p_brand LIKE '%1' THEN 'K' ELSE f.code END AS code,
+        CASE WHEN p_brand LIKE '%1' THEN c.std ELSE f.std END AS std, p_brand NOT LIKE '%1' AND f.changed AS changed
+      FROM filled f JOIN catalog c USING (p_partkey) JOIN part USING (p_partkey))"""
+
+
+@query("update_in_place", f"WITH {_UPDATED} SELECT p_partkey, p_brand, code, std FROM updated")
+def updated_table(t):
+    """A stored table after the missing codes were filled in place."""
+    path = _stored_catalog(t)
+    _update_stored(t, path)
+    return read_table(t.spark, path).select("p_partkey", "p_brand", "code", "std")
+
+
+@query(
+    "update_in_place_twice",
+    f"""WITH {_UPDATED}, brands AS (SELECT p_brand FROM updated GROUP BY p_brand HAVING bool_or(changed))
+    SELECT 1 AS run, count(*) FILTER (WHERE changed) AS n_changed, count(*) FILTER (WHERE p_brand IN (FROM brands)) AS n_rewritten,
+      (SELECT count(*) FROM brands) AS n_partitions FROM updated
+    UNION ALL SELECT 2, 0, 0, 0""",
+)
+def updated_twice(t):
+    """What an update does, and that the same update has nothing to do afterwards."""
+    path = _stored_catalog(t)
+    runs = [(i, u.changed, u.rewritten, u.partitions) for i in (1, 2) for u in [_update_stored(t, path)]]
+    return t.spark.createDataFrame(runs, "run int, n_changed bigint, n_rewritten bigint, n_partitions bigint")
+
+
 _CHAIN = f"""{fx.FEES_SQL}, {fx.DICTIONARY_SQL}, {fx.CATALOG_ONLY_SQL},
     chained AS (
       SELECT c.p_partkey, c.code AS old, arg_min(s.code, s.item) AS new, arg_min(s.standard, s.item) AS std

@@ -76,9 +76,14 @@ def remove_written(spark: SparkSession) -> int:
 
     Frames that still depend on them cannot be read afterwards.
     """
-    context = spark.sparkContext
-    paths = _tables.pop(context.applicationId, [])
+    paths = _tables.pop(spark.sparkContext.applicationId, [])
     for name in paths:
-        path = context._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(spark, name)
     return len(paths)
+
+
+def delete_folder(spark: SparkSession, name: str) -> None:
+    """Delete a folder of this library's own, on whatever file system it is."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
