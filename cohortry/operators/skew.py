@@ -124,6 +124,11 @@ def _salts(df: DataFrame, on: list[str], hot: Hot) -> DataFrame:
     return df.withColumn(_HASH, _key_hash(df, on)).join(F.broadcast(table), _HASH, "left").drop(_HASH)
 
 
+def hot_rows(df: DataFrame, on: str | Sequence[str], hot: Hot, salts: str) -> DataFrame:
+    """`df` with the number of salts of its key in a column, NULL for keys that are not hot."""
+    return _salts(df, as_list(on), hot).withColumnRenamed(_SALTS, salts)
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,

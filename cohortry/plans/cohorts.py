@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import follow_up_label, person_key
 from ..functions.text import any_like
 from ..functions.time import calendar_date, calendar_date_of_text, calendar_days, elapsed_days
+from ..operators.asof import as_of, events_within
 from ..operators.cohort import (
     as_outcome, attrition, attrition_of, build_cohort, cohort_of, events_after_index, frequency, left_join_suffixed, study_cohort,
 )
@@ -258,6 +259,72 @@ def after_index(t):
     return events_after_index(rows, starts, "master", "ts", spread_by=["eid"])
 
 
+_DATED_INDEX = f"""{fx.EVENTS_SQL}, {fx.INDEX_SQL},
+    dated AS (SELECT master, eid, ts, txt FROM v WHERE ts IS NOT NULL), starts AS (SELECT DISTINCT master, eid, ts FROM idx)"""
+
+
+def _index_times(t: Tables):
+    return _index(t).select("master", "eid", "ts").distinct(), fx.events(t).frame.select("master", "eid", "ts", "txt")
+
+
+@query(
+    "nearest_before_index",
+    f"""WITH {_DATED_INDEX}
+    SELECT starts.master, starts.eid, starts.ts, e.eid AS eid_event, e.ts AS ts_event, e.txt AS txt_event FROM starts
+    LEFT JOIN dated e ON e.master = starts.master AND e.ts < starts.ts
+    QUALIFY row_number() OVER (PARTITION BY starts.master, starts.eid, starts.ts ORDER BY e.ts DESC, e.eid DESC) = 1""",
+)
+def nearest_before_index(t):
+    """What was seen of a person last before the index event."""
+    index, rows = _index_times(t)
+    return as_of(index, rows, "master", index_time="ts", event_time="ts", order=["eid"], same_time=False)
+
+
+@query(
+    "nearest_after_index",
+    f"""WITH {_DATED_INDEX}
+    SELECT starts.master, starts.eid, starts.ts, e.eid AS eid_event, e.ts AS ts_event, e.txt AS txt_event FROM starts
+    LEFT JOIN dated e ON e.master = starts.master AND e.ts > starts.ts AND e.ts <= starts.ts + INTERVAL 2 DAY
+    QUALIFY row_number() OVER (PARTITION BY starts.master, starts.eid, starts.ts ORDER BY e.ts, e.eid) = 1""",
+)
+def nearest_after_index(t):
+    """The first thing after it, within two days."""
+    index, rows = _index_times(t)
+    return as_of(
+        index, rows, "master", index_time="ts", event_time="ts", direction="after", order=["eid"], same_time=False, within=2 * 86_400
+    )
+
+
+@query(
+    "nearest_other_kind",
+    f"""WITH {fx.EVENTS_SQL}, clicks AS (SELECT master, eid, ts FROM v WHERE txt LIKE 'click%'),
+    bought AS (SELECT master, eid, ts FROM v WHERE txt LIKE 'purch%' AND ts IS NOT NULL),
+    b AS (SELECT c.eid, max((e.ts, e.eid)) AS e FROM clicks c JOIN bought e ON c.master = e.master AND e.ts <= c.ts GROUP BY c.eid),
+    a AS (SELECT c.eid, min((e.ts, e.eid)) AS e FROM clicks c JOIN bought e ON c.master = e.master AND e.ts >= c.ts GROUP BY c.eid)
+    SELECT c.eid, c.master, c.ts,
+      CASE WHEN b.e IS NULL OR a.e[1] - c.ts < c.ts - b.e[1] THEN a.e[2] ELSE b.e[2] END AS eid_event,
+      CASE WHEN b.e IS NULL OR a.e[1] - c.ts < c.ts - b.e[1] THEN a.e[1] ELSE b.e[1] END AS ts_event
+    FROM clicks c LEFT JOIN b USING (eid) LEFT JOIN a USING (eid)""",
+)
+def nearest_other_kind(t):
+    """For every click of a person the purchase nearest to it; undated clicks have none."""
+    rows = fx.events(t).frame
+    clicks = rows.filter("txt LIKE 'click%'").select("eid", "master", "ts")
+    bought = rows.filter("txt LIKE 'purch%'").select("eid", "master", "ts")
+    return as_of(clicks, bought, "master", index_time="ts", event_time="ts", direction="nearest", order=["eid"])
+
+
+@query(
+    "events_around_index",
+    f"""WITH {_DATED_INDEX}
+    SELECT starts.master, starts.eid, starts.ts, e.eid AS eid_event, e.ts AS ts_event, e.txt AS txt_event FROM starts
+    JOIN dated e ON e.master = starts.master AND e.ts BETWEEN starts.ts - INTERVAL 36 HOUR AND starts.ts + INTERVAL 5 DAY""",
+)
+def events_around_index(t):
+    index, rows = _index_times(t)
+    return events_within(index, rows, "master", index_time="ts", event_time="ts", before=36 * 3600, after=5 * 86_400)
+
+
 @query(
     "sources_union_all",
     """SELECT source, txt, count(*) AS n FROM (
