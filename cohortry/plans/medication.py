@@ -20,7 +20,7 @@ from ..operators.skew import BroadcastLimit, lookup_join
 from ..sources.shared import shared_folder
 from ..sources.updates import Updated, update_in_place
 from ..sources.tables import query as run_sql
-from ..sources.tables import read_csv, read_table, write_csv, write_table
+from ..sources.tables import read_csv, read_csv_checked, read_table, write_csv, write_table
 from . import fixtures as fx
 from .registry import Tables, query
 
@@ -316,6 +316,39 @@ def csv_round_trip(t):
     return rows.select("p_partkey", "p_brand", "note", previous.alias("previous"))
 
 
+_LINES = """lines AS (
+      SELECT p_partkey, p_name, p_size, CASE
+        WHEN p_partkey % 11 = 0 THEN p_partkey || ',"' || p_name || ', x",' || p_size || ',more'
+        WHEN p_partkey % 13 = 0 THEN 'no ' || p_partkey || ',' || p_name || ',' || p_size
+        WHEN p_partkey % 17 = 0 THEN p_partkey || ',' || p_name END AS misfit FROM part)"""
+
+
+@query(
+    "csv_bad_rows",
+    f"""WITH {_LINES} SELECT CASE WHEN misfit IS NULL THEN p_partkey END AS p_partkey, CASE WHEN misfit IS NULL THEN p_name END AS p_name,
+      CASE WHEN misfit IS NULL THEN p_size END AS p_size, misfit, (SELECT count(*) FROM lines) AS n_rows, (SELECT count(misfit) FROM lines) AS n_misfits
+    FROM lines""",
+)
+def csv_bad_rows(t):
+    """Lines with too many fields, a field of another type or too few fields, beside those that fit; counted by the write."""
+    key, fields = F.col("p_partkey"), F.concat_ws(",", "p_partkey", "p_name", "p_size")
+    line = (
+        F.when(key % 11 == 0, F.concat(key, F.lit(',"'), F.col("p_name"), F.lit(', x",'), F.col("p_size"), F.lit(",more")))
+        .when(key % 13 == 0, F.concat(F.lit("no "), fields))
+        .when(key % 17 == 0, F.concat_ws(",", "p_partkey", "p_name"))
+        .otherwise(fields)
+    )
+    path = f"{shared_folder(t.spark)}/lines-{uuid.uuid4().hex}"
+    t.part.select(line.alias("p_partkey,p_name,p_size")).write.options(header=True, sep="\x01", escapeQuotes=False).csv(path)
+    rows = read_csv_checked(t.spark, path, t.part.select("p_partkey", "p_name", "p_size").schema)
+    kept = f"{path}-fitting"
+    write_table(rows.fitting, kept)
+    n_rows, n_misfits = rows.counts()
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.fitting.schema.fields]
+    both = read_table(t.spark, kept).withColumn("misfit", F.lit(None).cast("string")).union(rows.misfits.select(*none, "text"))
+    return both.select("*", F.lit(n_rows).cast("bigint").alias("n_rows"), F.lit(n_misfits).cast("bigint").alias("n_misfits"))
+
+
 @query("table_round_trip", "SELECT l_returnflag, l_orderkey, l_linenumber, l_shipdate, l_tax FROM lineitem")
 def table_round_trip(t):
     path = f"{shared_folder(t.spark)}/lines-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +24,30 @@ _QUOTES = {"quote": '"', "escape": '"'}
 BYTE_ORDER_MARK = "\ufeff"
 
 
+# Rows are judged by all their fields, whichever of them a query asks for.
+_MISFIT = "__misfit"
+_CHECKED = {"columnPruning": False}
+
+
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, order: str | None = None, line_breaks: bool = False
+    spark: SparkSession, path: str, schema: T.StructType, order: str | None = None, line_breaks: bool = False, strict: bool = False
 ) -> DataFrame:
     """A CSV file with a header, read with a given schema. A byte-order mark is ignored.
 
     `line_breaks` allows line breaks inside quotes; a file is then read by one task. `order` adds a sortable column with the position of the row in the file (file, block and
-    row), for tables in which the first or last of several rows counts.
+    row), for tables in which the first or last of several rows counts. `strict` makes the read fail at a row that does not
+    fit the schema; without it such a row is cut or filled with NULL. `read_csv_checked` sets these rows apart.
     """
-    options = {"header": True, "encoding": "UTF-8", "enforceSchema": False, "multiLine": line_breaks, **_QUOTES}
-    rows = spark.read.schema(schema).options(**options).csv(path)
+    options = {**_CHECKED, "mode": "FAILFAST"} if strict else {}
+    return _ordered(_csv_rows(spark, path, schema, line_breaks, **options), order)
+
+
+def _csv_rows(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool, **options) -> DataFrame:
+    known = {"header": True, "encoding": "UTF-8", "enforceSchema": False, "multiLine": line_breaks, **_QUOTES}
+    return spark.read.schema(schema).options(**known, **options).csv(path)
+
+
+def _ordered(rows: DataFrame, order: str | None) -> DataFrame:
     if order is None:
         return rows
     # rows of one block are numbered in file order by one task; blocks are ordered by offset
@@ -44,6 +59,40 @@ def read_csv(
     return rows.select("*", position.alias(order))
 
 
+@dataclass(frozen=True)
+class CheckedRows:
+    """Rows that fit the schema, and the others as (file, text).
+
+    `counts()` gives rows and misfits once an action over `fitting` has run: it counts them on its way.
+    """
+
+    fitting: DataFrame
+    misfits: DataFrame
+    seen: Observation
+
+    def counts(self) -> tuple[int, int]:
+        return self.seen.get["n_rows"], self.seen.get["n_misfits"]
+
+
+def read_csv_checked(
+    spark: SparkSession, path: str, schema: T.StructType, order: str | None = None, line_breaks: bool = False
+) -> CheckedRows:
+    """As `read_csv`, with the rows set apart that have too few or too many fields, or a field of another type.
+
+    A quote that is not closed is no misfit: it ends with its line (or, with `line_breaks`, with the file).
+    """
+    wide = T.StructType([*schema.fields, T.StructField(_MISFIT, T.StringType())])
+    rows = _csv_rows(spark, path, wide, line_breaks, **_CHECKED, mode="PERMISSIVE", columnNameOfCorruptRecord=_MISFIT)
+    # Spark refuses to read nothing but the misfits, so their text is compared with the fields, which it never equals
+    fields = F.concat(F.lit("\0"), F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in schema.fields])))
+    text = F.nullif(F.col(_MISFIT), fields)
+    seen = Observation()
+    numbered = _ordered(rows, order).observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(text.isNotNull()).alias("n_misfits"))
+    fitting = numbered.filter(text.isNull()).drop(_MISFIT)
+    misfits = rows.select(F.col("_metadata.file_path").alias("file"), text.alias("text")).filter("text IS NOT NULL")
+    return CheckedRows(fitting, misfits, seen)
+
+
 def read_dictionary(
     spark: SparkSession, path: str, schema: T.StructType = DICTIONARY_SCHEMA, line_breaks: bool = False
 ) -> DataFrame:

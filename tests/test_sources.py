@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from cohortry.sources import shared
 from cohortry.sources.tables import (
-    first_row, jdbc_options, query, read_csv, read_dictionary, read_table, write_csv, write_table,
+    first_row, jdbc_options, query, read_csv, read_csv_checked, read_dictionary, read_table, write_csv, write_table,
 )
 
 
@@ -39,6 +39,36 @@ def test_quoted_fields(spark, tmp_path):
     assert [(r.medical_name, r.atc) for r in found] == [('a "b" c, d', "C1"), ("two\nlines", "C2"), ("ends\\", "C3")]
 
 
+MIXED = "k,name\n1,a\n2,b,c\nx,d\n4\n5,\"q, r\"\n\n6,\n"
+PAIRS = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("name", T.StringType())])
+
+
+@pytest.mark.parametrize("line_breaks", [False, True])
+def test_rows_that_do_not_fit_are_set_apart(spark, tmp_path, line_breaks):
+    (tmp_path / "a.csv").write_text(MIXED, encoding="utf-8-sig")
+    (tmp_path / "b.csv").write_text("k,name\n7,g\n", encoding="utf-8")
+    rows = read_csv_checked(spark, str(tmp_path), PAIRS, order="ord", line_breaks=line_breaks)
+    assert write_table(rows.fitting.select("k", "name"), str(tmp_path / "fitting")) == 4
+    assert rows.counts() == (7, 3)
+    kept = read_table(spark, str(tmp_path / "fitting")).orderBy("k").collect()
+    assert [(r.k, r.name) for r in kept] == [(1, "a"), (5, "q, r"), (6, None), (7, "g")]
+    found = rows.misfits.orderBy("text").collect()
+    assert [r.text.strip() for r in found] == ["2,b,c", "4", "x,d"] and all(r.file.endswith("a.csv") for r in found)
+    # whichever columns are asked for
+    assert rows.misfits.select("text").count() == rows.misfits.count() == 3
+    assert rows.fitting.select("name").count() == 4
+
+
+def test_strict_reading_fails_at_a_row_that_does_not_fit(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(MIXED, encoding="utf-8")
+    (tmp_path / "good.csv").write_text("k,name\n1,a\n", encoding="utf-8")
+    assert read_csv(spark, str(tmp_path / "good.csv"), PAIRS, strict=True).count() == 1
+    for columns in (["k", "name"], ["k"]):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read_csv(spark, str(tmp_path / "a.csv"), PAIRS, strict=True).select(*columns).collect()
+    assert read_csv(spark, str(tmp_path / "a.csv"), PAIRS).count() == 6
+
+
 def test_written_csv_is_plain(spark, tmp_path):
     df = spark.createDataFrame([('a "b", c', 1)], "name string, n int")
     assert write_csv(df.coalesce(1), str(tmp_path / "c"), mark=True) == 1
