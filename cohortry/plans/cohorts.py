@@ -14,6 +14,7 @@ from ..operators.cohort import (
 from ..operators.events import first_occurrence, keys_matching, last_contact, rows_at_extreme, union_sources
 from ..operators.linking import canonical_person, link_events, link_extreme, link_keys
 from ..operators.sets import combine_first, drop_keys_where, exclude, keys_minus, restrict_to
+from ..operators.steps import Steps
 from . import fixtures as fx
 from .registry import Tables, query
 
@@ -185,6 +186,42 @@ def step_report(t):
     return attrition({"index": _index(t), "outcome": _outcome(t)}, "master")
 
 
+_STEPS = f"""{fx.EVENTS_SQL},
+    s2 AS (SELECT * FROM v WHERE txt LIKE '%sign%up%'),
+    s3 AS (SELECT * FROM s2 WHERE ts IS NOT NULL),
+    s4 AS (SELECT * FROM s3 WHERE master NOT IN (SELECT master FROM v WHERE txt LIKE '%signup%: 33%')),
+    s5 AS (SELECT * FROM s4 WHERE master NOT IN (SELECT master FROM s4 WHERE birthday IS NULL)),
+    s6 AS (SELECT * FROM s5 WHERE master IN (SELECT master FROM v WHERE txt LIKE '%err%: 91%' OR txt LIKE '%purch%: 5%1%'))"""
+
+
+def _steps(t: Tables) -> Steps:
+    found = fx.events(t)
+    return (
+        Steps(found.frame, "master", "events").keep("index text", any_like(F.col("txt"), fx.INDEX))
+        .keep("dated", F.col("ts").isNotNull()).without_keys("not excluded", keys_matching(found, fx.EXCLUDED), ["eid"])
+        .drop_keys_where("birthday known", F.col("birthday").isNull(), ["eid"])
+        .with_keys("outcome ever", keys_matching(found, fx.OUTCOME), ["eid"])
+    )
+
+
+@query(
+    "step_counts",
+    f"WITH {_STEPS} " + " UNION ALL ".join(
+        f"SELECT {i} AS step_no, '{name}' AS step, count(*) AS n_rows, count(DISTINCT master) AS n_persons FROM {table}"
+        for i, (name, table) in enumerate(
+            [("events", "v"), ("index text", "s2"), ("dated", "s3"), ("not excluded", "s4"), ("birthday known", "s5"), ("outcome ever", "s6")], 1)
+    ),
+)
+def step_counts(t):
+    """Counts after every step of a chain that runs once."""
+    return _steps(t).done()[1]
+
+
+@query("step_rows", f"WITH {_STEPS} SELECT eid, master, txt, ts FROM s6")
+def step_rows(t):
+    return _steps(t).done()[0].select("eid", "master", "txt", "ts")
+
+
 @query(
     "index_without_outcome",
     f"""WITH {fx.EVENTS_SQL}, {fx.INDEX_SQL}, {fx.OUTCOME_SQL}
