@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.collation import collated_like, plain_text, under_collation
 from ..functions.labels import fill_missing
 from ..functions.text import ascii_brackets, clean_label, excluded_code
 from ..functions.fixed_values import MISSING_NAME, WHITE_SPACE
@@ -16,7 +17,7 @@ from ..operators.linking import canonical_person, visit_persons
 from ..operators.names import dictionary_table, distinct_clean_names, match_ratio, standardise
 from ..operators.rules import AUTOMATON_LIMIT, changed_rows, fill_by_automaton, fill_by_pattern, fill_from_names
 from ..operators.sets import first_per_key
-from ..operators.skew import BroadcastLimit, lookup_join
+from ..operators.skew import BroadcastLimit, lookup_join, skew_join
 from ..sources.shared import shared_folder
 from ..sources.updates import Updated, update_in_place
 from ..sources.tables import query as run_sql
@@ -187,6 +188,26 @@ def _filled(t: Tables):
 query("fill_by_pattern", f"WITH {fx.CATALOG_SQL} SELECT * FROM filled")(_filled)
 
 
+@query(
+    "collated_names",
+    """WITH typed AS (SELECT lower(p_name) AS name, p_brand, p_size FROM part), brands AS (
+      SELECT lower(p_name) AS name, min(p_brand) AS first_brand FROM part WHERE p_size > 25 GROUP BY 1)
+    SELECT name, first_brand, count(*) AS n, sum(p_size) AS size, bool_or(name LIKE '%d%a%' OR name LIKE 'r%') AS matches
+    FROM typed LEFT JOIN brands USING (name) GROUP BY name, first_brand""",
+)
+def collated_names(t):
+    """Names in various cases, some with blanks at the end, grouped, joined and matched under one collation."""
+    name = F.when(F.col("p_size") % 3 == 0, F.upper("p_name")).when(F.col("p_size") % 3 == 1, F.initcap("p_name")).otherwise(F.col("p_name"))
+    typed = t.part.select(F.concat(name, F.repeat(F.lit(" "), F.col("p_size") % 4)).alias("name"), "p_brand", "p_size")
+    typed = under_collation(typed, ["name"])
+    brands = typed.filter("p_size > 25").groupBy("name").agg(F.min("p_brand").alias("first_brand"))
+    joined = skew_join(typed, brands, "name", "left")
+    found = joined.groupBy("name", "first_brand").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("size"), F.bool_or(collated_like(F.col("name"), ["%D%A%", "R%"])).alias("matches")
+    )
+    return plain_text(found, ["name"]).withColumn("name", F.lower(F.rtrim("name")))
+
+
 @query("fill_by_pattern_changed", f"WITH {fx.CATALOG_SQL} SELECT count(*) FILTER (WHERE changed) AS n_changed FROM filled")
 def filled_count(t):
     return changed_rows(_filled(t))

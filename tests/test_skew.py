@@ -178,3 +178,18 @@ def test_many_equal_outcomes(spark, sixteen_tasks):
     df = cohort_of(found)
     found = sizes(df)
     assert sum(found) == n and max(found) < n * 0.25
+
+
+def test_collated_keys(spark):
+    """Equal keys that differ in their bytes meet, also if one of them is hot."""
+    from cohortry.functions.collation import collated_like, plain_text, under_collation
+
+    left = spark.createDataFrame([("Abc" if i % 2 else "aBC  ", i) for i in range(300)] + [("x", -1), (None, -2)], "k string, i int")
+    right = spark.createDataFrame([("ABC", 10), ("Y", 11)], "k string, v int")
+    a, b = under_collation(left, ["k"]), under_collation(right, ["k"])
+    assert skew_join(a, b, "k").count() == 300
+    assert skew_join(a, b, "k", hot=hot_keys(left, "k", tasks=50)).count() == 300
+    assert skew_join(a, b, "k", "left").filter("v IS NULL").count() == 2
+    assert a.select("k").distinct().count() == 3
+    assert a.filter(collated_like(F.col("k"), ["%BC", "X"])).count() == 151
+    assert plain_text(a, ["k"]).select("k").distinct().count() == 4
