@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.labels import follow_up_label, person_key
@@ -15,6 +17,7 @@ from ..operators.events import first_occurrence, keys_matching, last_contact, ro
 from ..operators.linking import canonical_person, link_events, link_extreme, link_keys
 from ..operators.sets import combine_first, drop_keys_where, exclude, keys_minus, restrict_to
 from ..operators.steps import Steps
+from ..sources.bucketed import Bucketed, store_bucketed
 from . import fixtures as fx
 from .registry import Tables, query
 
@@ -296,6 +299,35 @@ def after_index(t):
     return events_after_index(rows, starts, "master", "ts", spread_by=["eid"])
 
 
+def _in_buckets(t: Tables, buckets: int = 8) -> Bucketed:
+    events = fx.events(t)
+    return store_bucketed({"events": events.frame, "index": _index(t).select("master", "ts")}, "master", buckets, {"events": ["ts"]})
+
+
+@query("bucketed_first_occurrence", f"WITH {fx.EVENTS_SQL}, {fx.INDEX_SQL} SELECT {_EVENT} FROM idx")
+def bucketed_first_occurrence(t):
+    """First events from a table in buckets by person: no shuffle."""
+    found = fx.events(t)
+    return _in_buckets(t).per_key(
+        lambda tables: first_occurrence(replace(found, frame=tables["events"]), fx.INDEX).select(*_EVENT_COLUMNS)
+    )
+
+
+@query(
+    "bucketed_after_index",
+    f"""WITH {fx.EVENTS_SQL}, {fx.INDEX_SQL}
+    SELECT v.master, v.eid, v.ts, i.index_time FROM v JOIN (SELECT master, min(ts) AS index_time FROM idx GROUP BY master) i USING (master)
+    WHERE v.ts > i.index_time""",
+)
+def bucketed_after_index(t):
+    """Events after the index from two tables in the same buckets."""
+    return _in_buckets(t).per_key(
+        lambda tables: events_after_index(
+            tables["events"].select("master", "eid", "ts"), tables["index"].withColumnRenamed("ts", "index_time"), "master", "ts", spread_by=["eid"]
+        )
+    )
+
+
 _DATED_INDEX = f"""{fx.EVENTS_SQL}, {fx.INDEX_SQL},
     dated AS (SELECT master, eid, ts, txt FROM v WHERE ts IS NOT NULL), starts AS (SELECT DISTINCT master, eid, ts FROM idx)"""
 

@@ -19,9 +19,10 @@ from ..operators.rules import AUTOMATON_LIMIT, changed_rows, fill_by_automaton,
 from ..operators.sets import first_per_key
 from ..operators.skew import BroadcastLimit, lookup_join, skew_join
 from ..sources.shared import shared_folder
-from ..sources.updates import Updated, update_in_place
+from ..sources.records import read_records
 from ..sources.tables import query as run_sql
 from ..sources.tables import read_csv, read_csv_checked, read_table, write_csv, write_table
+from ..sources.updates import Updated, update_in_place
 from . import fixtures as fx
 from .registry import Tables, query
 
@@ -337,6 +338,42 @@ def csv_round_trip(t):
     return rows.select("p_partkey", "p_brand", "note", previous.alias("previous"))
 
 
+class _StoredRows:
+    """Stands for a server: a connection and cursor that answer from a stored table, for a range of keys.
+
+    It reads files where pyarrow finds them; a real connection would not.
+    """
+
+    description = None
+
+    def cursor(self):
+        return self
+
+    def execute(self, table, args):
+        from pyarrow import parquet
+
+        column, low, high = args
+        found = parquet.read_table(table, filters=[(column, ">=", low), (column, "<", high)])
+        self.description = [(name.upper(), None) for name in found.column_names]
+        self._rows = (tuple(r.values()) for batch in found.to_batches(1000) for r in batch.to_pylist())
+
+    def fetchmany(self, n):
+        return [row for _, row in zip(range(n), self._rows)]
+
+    def close(self):
+        pass
+
+
+@query("records_source", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def records_source(t):
+    """A table read through a cursor, one task for each range of keys, columns named by its description."""
+    low, high = t.part.agg(F.min("p_partkey"), F.max("p_partkey")).first()
+    step = -(-(high - low + 1) // 8)
+    ranges = [("p_partkey", at, at + step) for at in range(low, high + 1, step)]
+    wanted = t.part.select("p_partkey", "p_name", "p_size", "p_retailprice").schema
+    return read_records(t.spark, _StoredRows, f"{t.folder}/part.parquet", wanted, ranges)
+
+
 _LINES = """lines AS (
       SELECT p_partkey, p_name, p_size, CASE
         WHEN p_partkey % 11 = 0 THEN p_partkey || ',"' || p_name || ', x",' || p_size || ',more'

@@ -67,10 +67,15 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     df.write.partitionBy(*partition_by).parquet(path)
-    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    remember_written(spark, path)
     return spark.read.schema(schema).parquet(path)
 
 
+def remember_written(spark: SparkSession, path: str) -> None:
+    """`remove_written` will delete the folder too."""
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
 def remove_written(spark: SparkSession) -> int:
     """Delete the tables that `written` has made in this application; returns their number.
 
