@@ -27,6 +27,12 @@ def unquantised(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, value, 0.0)
 
 
+# Masks that count ones within a 64-bit number, and the place of the r-th one of every byte.
+_ALTERNATE, _PAIRS, _NIBBLES = (np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F))
+_BYTES, _HIGHEST, _BYTE = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080), np.uint64(0xFF)
+_IN_BYTE = np.array([([k for k in range(8) if byte >> k & 1] + [0] * 8)[:8] for byte in range(256)], np.int64)
+
+
 class EliasFano:
     """A non-decreasing sequence: low bits packed, high bits in unary."""
 
@@ -63,14 +69,15 @@ class EliasFano:
     def _select(self, i: np.ndarray) -> np.ndarray:
         """The place of one number i in the unary bits."""
         word = np.searchsorted(self.before, i, "right") - 1
-        rest, bits, at = i - self.before[word], self.high[word], np.zeros(len(i), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):
-            part = bits >> at.astype(np.uint64) & np.uint64((1 << step) - 1)
-            ones = np.bitwise_count(part).astype(np.int64)
-            past = rest >= ones
-            rest = np.where(past, rest - ones, rest)
-            at = np.where(past, at + step, at)
-        return (word << 6) + at
+        rest, bits = (i - self.before[word]).astype(np.uint64), self.high[word]
+        # ones up to and with each byte, side by side in one number
+        sums = bits - (bits >> np.uint64(1) & _ALTERNATE)
+        sums = (sums & _PAIRS) + (sums >> np.uint64(2) & _PAIRS)
+        sums = (sums + (sums >> np.uint64(4)) & _NIBBLES) * _BYTES
+        # bytes that end before the wanted one, counted by their highest bits
+        passed = np.bitwise_count((rest * _BYTES | _HIGHEST) - sums & _HIGHEST).astype(np.uint64) << np.uint64(3)
+        rest -= sums << np.uint64(8) >> passed & _BYTE
+        return (word << 6) + passed.astype(np.int64) + _IN_BYTE[bits >> passed & _BYTE, rest]
 
     def search(self, first: np.ndarray, last: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Successor search: in [first, last), the first place with at least `value`."""
@@ -101,6 +108,15 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return words
 
 
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal neighbours begin, and the run of every place."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 class Trie:
     """Discounted probabilities of the successors of one- and two-word contexts.
 
@@ -161,10 +177,11 @@ class Trie:
         }
         return cls({k: EliasFano.of(v) for k, v in sequences.items()}, values)
 
-    def _within(self, level: str, at: np.ndarray, list_number: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Search a value in a numbered list of a level: place in the level, and whether it is there."""
-        sequence, bounds = self.sequences[level], self.sequences[at]
-        first, last = bounds[list_number], bounds[list_number + 1]
+    def _place(
+        self, level: str, first: np.ndarray, last: np.ndarray, list_number: np.ndarray, value: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Search a value in a numbered list, [first, last) of a level: its place, and whether it is there."""
+        sequence = self.sequences[level]
         wanted = list_number * self.RANGE + value
         place = sequence.search(first, last, wanted)
         there = place < last
@@ -178,22 +195,33 @@ class Trie:
         words = self.sequences["words"]
         if not n or not words.size:
             return a, b
-        w = words.search(np.zeros(n, np.int64), np.full(n, words.size), word)
+        # neighbouring questions share their word and mostly their context: each is searched once
+        head, own = _runs(word)
+        w = words.search(np.zeros(len(head), np.int64), np.full(len(head), words.size), word[head])
         known = w < words.size
-        known[known] = words[w[known]] == word[known]
-        k = np.flatnonzero(known)
-        w = w[k]
-        b[k] = unquantised(self.values["word_rest"][w])
-        place, there = self._within("follow", "follow_at", w, after[k])
+        known[known] = words[w[known]] == word[head][known]
+        first, last = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
+        first[known], last[known] = self.sequences["follow_at"][w[known]], self.sequences["follow_at"][w[known] + 1]
+        rest = np.ones(len(head))
+        rest[known] = unquantised(self.values["word_rest"][w[known]])
+        b[:] = rest[own]
+        k = np.flatnonzero(known[own])
+        place, there = self._place("follow", first[own[k]], last[own[k]], w[own[k]], after[k])
         a[k[there]] = unquantised(self.values["follow_p"][place[there]])
-        c, has = self._within("context", "context_at", w, before[k])
-        kc = k[has]
-        rest = unquantised(self.values["context_rest"][c[has]])
-        a[kc] *= rest
-        b[kc] *= rest
-        both = has & there
-        relative = place[both] - self.sequences["follow_at"][w[both]]
-        t, found = self._within("third", "third_at", c[both], relative)
+        # two-word contexts
+        ctx, at = _runs(word[k], before[k])
+        list_number = w[own[k[ctx]]]
+        bounds = self.sequences["context_at"]
+        c, has = self._place("context", bounds[list_number], bounds[list_number + 1], list_number, before[k[ctx]])
+        rest = np.ones(len(ctx))
+        rest[has] = unquantised(self.values["context_rest"][c[has]])
+        a[k] *= rest[at]
+        b[k] *= rest[at]
+        both = has[at] & there
+        number, relative = c[at[both]], place[both] - first[own[k[both]]]
+        low, high = np.zeros(len(ctx), np.int64), np.zeros(len(ctx), np.int64)
+        low[has], high[has] = self.sequences["third_at"][c[has]], self.sequences["third_at"][c[has] + 1]
+        t, found = self._place("third", low[at[both]], high[at[both]], number, relative)
         a[k[both][found]] += unquantised(self.values["third_p"][t[found]])
         return a, b
 

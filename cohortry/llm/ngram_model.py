@@ -25,6 +25,7 @@ rows that repeat a training document count again.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.sources.shared import written
+from cohortry.sources.shared import remember_written, shared_folder, written
 
 from . import tokens as tk
 from .elias_fano import Trie
@@ -170,13 +171,13 @@ def word_counts(own: DataFrame, least: float) -> DataFrame:
 
 
 def _short(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes as the largest needs, with their width in front."""
+    """Counts in as few bytes as the largest needs, with their width in front; compressed, as most are one."""
     width = next(w for w in (1, 2, 4, 8) if not len(counts) or int(counts.max()) < 1 << 8 * w)
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    return bytes([width]) + zstandard.ZstdCompressor(1).compress(counts.astype(f"<u{width}").tobytes())
 
 
 def _long(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
 
 
 class Numbering:
@@ -348,7 +349,7 @@ def scores(
     Rows for which `held_out` holds teach nothing. With `frequent`, words that hold a smaller share of
     all training tokens are in no n-gram.
     """
-    own = written(blocks(docs, held_out, block_tokens), "ngram-blocks")
+    own = _stored(blocks(docs, held_out, block_tokens), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     n_train = own.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
     counted = written(word_counts(own, max(least, frequent * n_train)), "ngram-words")
     v_train = counted.filter("block IS NULL").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
@@ -399,6 +400,16 @@ def scores(
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
+def _stored(own: DataFrame, buckets: int) -> DataFrame:
+    """The blocks as a table in buckets, so that replies are sent to where blocks lie and blocks are never shuffled."""
+    spark = own.sparkSession
+    table = f"ngram_blocks_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    own.write.bucketBy(buckets, "block").option("path", path).saveAsTable(table)
+    remember_written(spark, path)
+    return spark.table(table)
+
+
 def _arrow_kind(docs: DataFrame) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
