@@ -41,6 +41,8 @@ from .elias_fano import Trie
 
 LEAST, DISCOUNT = 2, 0.75
 BLOCK_TOKENS = 2_000_000
+# Compressed successors (about two bytes each) that a trie is asked for at once.
+ASKED_BYTES = 200_000
 # Fingerprint of the end of a text, and numbers that are no word's.
 END = np.uint64(0x656E64206F662074)
 NONE, RARE = (1 << 32) - 1, (1 << 32) - 2
@@ -323,15 +325,31 @@ def answers(requests: DataFrame, least: int = LEAST, discount: float = DISCOUNT)
         rows = table.to_pylist()
         trie = Trie.mapped(_trie(rows, least, discount))
         out = []
-        for row in rows:
-            a, b = trie.query(*_split(_keys(row["contexts"])), _numbers(row["after"]))
-            out.append((row["block"], row["shard"], _floats(a), _floats(b)))
+        for asked in _together(rows):
+            keys, after = [_keys(r["contexts"]) for r in asked], [_numbers(r["after"]) for r in asked]
+            a, b = trie.query(*_split(np.concatenate(keys)), np.concatenate(after))
+            bounds = np.cumsum([len(k) for k in keys])[:-1]
+            answered = zip(asked, np.split(a, bounds), np.split(b, bounds), strict=True)
+            out += [(r["block"], r["shard"], _floats(x), _floats(y)) for r, x, y in answered]
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "shard", "a", "b"])
 
     return requests.groupBy("shard").applyInArrow(answer, "block bigint, shard int, a binary, b binary")
 
 
+def _together(rows: list[dict]) -> Iterator[list[dict]]:
+    """Requests of many blocks that are answered at once: small ones together, a large one alone."""
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += len(row["after"])
+        if size >= ASKED_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _floats(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(1).compress(values.astype(np.float32).tobytes())
 
