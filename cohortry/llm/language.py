@@ -37,6 +37,9 @@ SAMPLE_BYTES, SAMPLE_ROWS = 240_000, 2_000
 # Characters of a sampled text that may be learned from.
 SAMPLE_CHARS = 20_000
 FOREIGN = 10.0
+# A text is in none of the languages if its phrases under the best of them are shorter than this (in bytes, on average);
+# texts of fewer bytes (of words, with a blank on either side) are given the benefit of the doubt.
+LEAST_PHRASE, LEAST_JUDGED = 1.5, 32
 
 LETTERS = np.zeros(256, bool)
 LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
@@ -164,8 +167,8 @@ def phrases(parser: Parser, data: np.ndarray, start: np.ndarray, end: np.ndarray
     return result
 
 
-def scores(parser: Parser, chunk: tk.Chunk) -> tuple[list[str], list[float], list[float]]:
-    """Language, margin and bits per byte of each row of a chunk of lower-cased texts."""
+def scores(parser: Parser, chunk: tk.Chunk) -> tuple[list[str], list[float], list[float], list[float], list[int]]:
+    """Language, margin, bits per byte, bytes per phrase and bytes parsed of each row of a chunk of lower-cased texts."""
     words = tk.find_words(chunk, LETTERS)
     total = np.zeros((chunk.rows, len(parser.names)))
     size = np.zeros(chunk.rows)
@@ -177,12 +180,13 @@ def scores(parser: Parser, chunk: tk.Chunk) -> tuple[list[str], list[float], lis
         for k in range(len(parser.names)):
             total[:, k] = np.bincount(rows, counts[:, k], chunk.rows)
         size = np.bincount(rows, words.end - words.start + 2, chunk.rows)
-    names, margin, bits = [], [], []
+    names, margin, bits, length = [], [], [], []
     for row in range(chunk.rows):
         if not size[row] or not has_letter(chunk.text(row)):
             names.append(UNKNOWN)
             margin.append(0.0)
             bits.append(math.inf)
+            length.append(0.0)
             continue
         cost = total[row] * parser.bits / size[row]
         best = int(np.argmin(cost))
@@ -190,7 +194,8 @@ def scores(parser: Parser, chunk: tk.Chunk) -> tuple[list[str], list[float], lis
         names.append(parser.names[best])
         margin.append(float(1 - cost[best] / rest.min()) if len(rest) else 1.0)
         bits.append(float(cost[best]))
-    return names, margin, bits
+        length.append(float(size[row] / total[row, best]))
+    return names, margin, bits, length, size.astype(int).tolist()
 
 
 _ASCII_LETTERS = bytes(range(0x61, 0x7B))
@@ -232,7 +237,7 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
         own = shared.value
         for batch in batches:
             for chunk in tk.chunks(batch.column("text")):
-                found = scores(own, tk.lowered(chunk))
+                found = scores(own, tk.lowered(chunk))[:3]
                 ids = batch.column("doc_id").slice(chunk.row, chunk.rows)
                 yield pa.record_batch([ids, *map(pa.array, found)], names=names)
 
@@ -241,10 +246,11 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
     return source.mapInArrow(label, schema)
 
 
-def accepted(docs: DataFrame, parser: Parser) -> DataFrame:
-    """The rows of `docs` whose text has a language; all columns stay.
+def accepted(docs: DataFrame, parser: Parser, least_phrase: float = LEAST_PHRASE, least: int = LEAST_JUDGED) -> DataFrame:
+    """The rows of `docs` whose text is in one of the languages; all columns stay.
 
-    A parser that has learned nothing rejects only texts without a letter.
+    A text without a letter goes, and so does one of `least` bytes or more whose phrases under its best language are
+    shorter than `least_phrase` bytes, such as a text in a script that none of them uses. A parser that has learned nothing rejects only texts without a letter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(parser)
     place = docs.columns.index("text")
@@ -256,7 +262,8 @@ def accepted(docs: DataFrame, parser: Parser) -> DataFrame:
             for chunk in tk.chunks(batch.column(place)):
                 low = tk.lowered(chunk)
                 if own.names:
-                    good = [name != UNKNOWN for name in scores(own, low)[0]]
+                    names, _, _, length, size = scores(own, low)
+                    good = [n != UNKNOWN and (b >= least_phrase or k < least) for n, b, k in zip(names, length, size, strict=True)]
                 else:
                     good = [has_letter(low.text(r)) for r in range(low.rows)]
                 kept[chunk.row:chunk.row + chunk.rows] = good

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.sources.shared import shared_folder
+from cohortry.sources.shared import remember_written, shared_folder
 
 from . import byte_bpe, decontaminate, language, minhash, secrets
 
@@ -27,7 +27,8 @@ def _measured(changed: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language (missing, or without a letter) go."""
+    """Texts that are in none of the labelled languages go: missing ones, those without a letter, and those whose
+    phrases under the best language are hardly longer than a byte."""
     everything: Column = F.lit(True)
     return language.accepted(docs, language.train(language.training_sample(docs, everything)))
 
@@ -62,10 +63,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written to the shared folder and read again."""
+    """All stages over the documents, each written to the shared folder and read again.
+
+    The tables of the stages stay until `remove_written`, as the result is read from the last of them.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        remember_written(spark, f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -1,6 +1,7 @@
 """Plain versions of the operators, text by text."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -102,3 +103,56 @@ def decontaminated(text, known, most=0.5):
         if i + 1 not in hit:
             at = spans[i][1]
     return "".join([*out, text[at:]])
+
+
+BYTE_WORD = re.compile(rb"[a-z\x80-\xff]+")
+
+
+def learned_words(labelled, sample_bytes, foreign):
+    """{language: words it learns}, from (language, text) rows."""
+    words = {name: [w for n, t in labelled if n == name for w in BYTE_WORD.findall(low(t).encode())] for name in sorted({n for n, _ in labelled})}
+    rate = {name: {w: c / len(own) for w, c in Counter(own).items()} for name, own in words.items()}
+    out = {}
+    for name, own in rate.items():
+        left, kept = sample_bytes // len(words), []
+        for w in dict.fromkeys(words[name]):
+            if own[w] * foreign >= max(r.get(w, 0) for r in rate.values()) and len(w) + 2 <= left:
+                left -= len(w) + 2
+                kept.append(w)
+        out[name] = kept
+    return out
+
+
+class Languages:
+    """Cross-parses by sets of all substrings of ` word `."""
+
+    def __init__(self, words):
+        self.bits = {n: math.log2(max(2, sum(len(w) + 2 for w in own))) for n, own in words.items()}
+        self.parts = {n: {p[i:j] for w in own for p in [b" " + w + b" "] for i in range(len(p)) for j in range(i + 1, len(p) + 1)} for n, own in words.items()}
+        self.seen = {}
+
+    def phrases(self, word):
+        """For each language the number of phrases of ` word `, each the longest known one or one byte."""
+        if word not in self.seen:
+            padded, counts = b" " + word + b" ", {}
+            for name, parts in self.parts.items():
+                at = n = 0
+                while at < len(padded):
+                    to = at + 1
+                    while to < len(padded) and padded[at:to] in parts and padded[at:to + 1] in parts:
+                        to += 1
+                    at, n = to, n + 1
+                counts[name] = n
+            self.seen[word] = counts
+        return self.seen[word]
+
+    def of(self, text):
+        """(language, margin, bits a byte, bytes a phrase, bytes) of a text."""
+        words = BYTE_WORD.findall(low(text).encode())
+        size = sum(len(w) + 2 for w in words)
+        if not words or not any(c.isalpha() for c in low(text)):
+            return "und", 0.0, math.inf, 0.0, size
+        cost = {n: sum(self.phrases(w)[n] for w in words) * self.bits[n] / size for n in self.bits}
+        best = min(sorted(cost), key=cost.get)
+        rest = [c for n, c in cost.items() if n != best]
+        return best, 1 - cost[best] / min(rest) if rest else 1.0, cost[best], self.bits[best] / cost[best], size

@@ -188,14 +188,17 @@ def test_every_operator_has_one_query():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
 
 
-def plain_pipeline(rows, items, parser):
+def plain_pipeline(rows, items, languages):
     """(doc_id, text, tokens) that remain of (doc_id, text) rows."""
-    import pyarrow as pa
     import tiktoken
 
     from cohortry.llm import byte_bpe, secrets
 
-    kept = [(d, t) for d, t in rows if t is not None and language.scores(parser, tk.lowered(next(tk.chunks(pa.array([t])))))[0] != ["und"]]
+    def known_language(text):
+        name, _, _, length, size = languages.of(text)
+        return name != "und" and (length >= 1.5 or size < 32)
+
+    kept = [(d, t) for d, t in rows if t is not None and known_language(t)]
     single = {d for d, _, _, first in brute.near_duplicates(kept, 5) if first}
     known = brute.windows(items, 10)
     cut = [(d, brute.decontaminated(t, known)) for d, t in kept if d in single]
@@ -206,12 +209,41 @@ def plain_pipeline(rows, items, parser):
     return [(d, t, library.encode_ordinary(t)) for d, t in clean]
 
 
+def languages_of(table, learn):
+    sample = language.training_sample(table, learn)
+    return brute.Languages(brute.learned_words(sample, language.SAMPLE_BYTES, language.FOREIGN))
+
+
+def test_language_query_against_plain_parses(spark, data):
+    """The registered query, on all texts."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    plain = languages_of(docs, ~queries.held_out(4))
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in queries.QUERIES["op10_language"](spark, data).collect():
+        name, margin, bits, *_ = plain.of(texts[r["doc_id"]])
+        assert (r["lang_pred"], round(r["score"], 9), round(r["bits"], 9)) == (name, round(margin, 9), round(bits, 9))
+
+
+def test_language_stage_rejects_texts_in_no_learned_language(spark, documents):
+    rows = [(i, "the house of the old river and the small tree " * 3, "en") for i in range(20)]
+    rows += [(i, "la maison est dans le petit jardin avec des fleurs " * 3, "fr") for i in range(20, 40)]
+    odd = [
+        (100, "Это длинный русский текст, которого никто не учил, и он совсем другой.", None), (101, "漢字かな交じり文はどの言語にも属さない長い文です", None),
+        (102, "да", None), (103, "12 34 5", None), (104, "a river house", None), (105, "qzx", None), (106, None, None),
+    ]
+    docs = documents(rows + odd)
+    kept = {r["doc_id"] for r in stages.language_stage(spark, docs, "").collect()}
+    plain = languages_of(docs, F.lit(True))
+    judged = {d: plain.of(t) for d, t, _ in rows + odd if t is not None}
+    assert kept == {d for d, (name, _, _, length, size) in judged.items() if name != "und" and (length >= 1.5 or size < 32)}
+    assert set(range(40)) <= kept and kept & set(range(100, 107)) == {102, 104, 105}
+
+
 def test_pipeline(spark, data):
     docs = pq.read_table(f"{data}/documents.parquet").to_pylist()
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{data}/benchmark.parquet").to_pylist()]
     table = spark.read.parquet(f"{data}/documents.parquet")
-    parser = language.train(language.training_sample(table, F.lit(True)))
-    want = plain_pipeline([(r["doc_id"], r["text"]) for r in docs], items, parser)
+    want = plain_pipeline([(r["doc_id"], r["text"]) for r in docs], items, languages_of(table, F.lit(True)))
     got = stages.run(spark, data).collect()
     assert sorted((r["doc_id"], r["text"], r["token_ids"]) for r in got) == sorted(want)
     assert all(r["restored"] and r["n_chars"] == len(r["text"]) and r["n_tokens"] == len(r["token_ids"]) for r in got)
