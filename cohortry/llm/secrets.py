@@ -3,8 +3,8 @@
 The first three kinds are patterns. The fourth is a token-efficiency test: a vocabulary learned
 from text spends few tokens on words and names but almost one token per one or two characters on
 random strings, so a low number of characters per token exposes them. Digests of known lengths,
-identifiers (UUIDs, numbers, single-case words, words joined by signs) and everything a pattern
-has found already are left out of that test.
+identifiers (UUIDs, numbers, words joined by signs) and everything a pattern has found already are left out
+of that test: what lies between such spans is tested. Strings of letters of one case need an even lower number.
 
 Spans are (kind, start, end) in code points, the end exclusive; they come in order of start, then
 in the order of KINDS. Defined cases: a missing or empty text has no spans; rows are scanned one
@@ -41,11 +41,15 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 # Characters per token below which a candidate counts as random: English and other prose has 3 to
 # 5, names in code 2.5 and more, base64 about 1.6.
 RANDOM_RATIO = 2.0
+# For strings of letters of one case, which long words are too: words have 2.5 and more, random letters about 1.6.
+ONE_CASE_RATIO = 1.8
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 HEX_ANY_CASE = re.compile(r"[0-9A-Fa-f]+")
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[_/=+-]*|[_/=+-]+")
 
+ONE_CASE = re.compile(r"[a-z]+|[A-Z]+")
+
 Span = tuple[str, int, int]
 
 
@@ -60,6 +64,8 @@ class Scanner:
         """Whether a string is neither a known digest nor an identifier and tokenizes badly."""
         if UUID.fullmatch(value) or (len(value) in DIGEST_LENGTHS and HEX_ANY_CASE.fullmatch(value)):
             return False
+        if ONE_CASE.fullmatch(value):
+            return len(value) < min(self.ratio, ONE_CASE_RATIO) * len(self.tokens(value))
         if IDENTIFIER.fullmatch(value):
             return False
         return len(value) < self.ratio * len(self.tokens(value))
@@ -76,14 +82,28 @@ class Scanner:
             found += [("access", *m.span()) for m in ACCESS.finditer(text, start, end) if m.end() - m.start() >= ACCESS_LENGTH]
             found += [("hex", *m.span()) for m in HEX.finditer(text, start, end)]
         if runs:
-            taken = sorted((s, e) for _, s, e in found)
-            for start, end in runs:
-                for m in CANDIDATE.finditer(text, start, end):
-                    if not any(s < m.end() and m.start() < e for s, e in taken) and self.random(m[0]):
-                        found.append(("random", *m.span()))
+            for start, end in _between(runs, sorted((s, e) for _, s, e in found)):
+                found += [("random", *m.span()) for m in CANDIDATE.finditer(text, start, end) if self.random(m[0])]
         return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def _between(runs: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of some runs, in order, that no span of `taken` touches."""
+    following = iter([*taken, (1 << 62, 1 << 62)])
+    start, end = next(following)
+    free = 0  # the end of all spans so far
+    for low, high in runs:
+        at = max(low, free)
+        while start < high:
+            if at < start:
+                yield at, start
+            free = max(free, end)
+            at = max(at, free)
+            start, end = next(following)
+        if at < high:
+            yield at, high
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
@@ -99,10 +119,10 @@ def redacted(text: str, spans: list[Span], mark: str = "[secret]") -> str:
 
 
 def scan(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ratio: float = RANDOM_RATIO) -> DataFrame:
-    """Columns doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans, one row per row of `docs`."""
+    """Columns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, one row per row of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    counts = [f"n_{kind}" for kind in KINDS]
-    names = ["doc_id", *counts, "base_sha256", "spans"]
+    base_kinds = [kind for kind in KINDS if kind != "random"]
+    names = ["doc_id", *[f"n_{kind}" for kind in base_kinds], "base_sha256", "spans", "n_random"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value, pattern, ratio)
@@ -111,18 +131,23 @@ def scan(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", rat
                 part = batch.slice(at, ROWS)
                 spans = [scanner.spans(t) for t in part.column(text).to_pylist()]
                 base = [joined([s for s in own if s[0] != "random"]) for own in spans]
+
+                def counted(kind: str, spans: list[list[Span]] = spans) -> pa.Array:
+                    return pa.array([sum(s[0] == kind for s in own) for own in spans], pa.int64())
+
                 yield pa.record_batch(
                     [
                         part.column("doc_id"),
-                        *[pa.array([sum(s[0] == kind for s in own) for own in spans], pa.int64()) for kind in KINDS],
+                        *[counted(kind) for kind in base_kinds],
                         pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base]),
                         pa.array([joined(own) for own in spans]),
+                        counted("random"),
                     ],
                     names=names,
                 )
 
     source = docs.select("doc_id", f"`{text}`")
-    fields = ", ".join(f"{name} {'bigint' if name in counts else 'string'}" for name in names[1:])
+    fields = ", ".join(f"{name} {'bigint' if name.startswith('n_') else 'string'}" for name in names[1:])
     schema = with_fields(source.select("doc_id"), fields)
     return source.mapInArrow(find, schema)
 
