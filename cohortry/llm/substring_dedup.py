@@ -244,17 +244,18 @@ def without_repeats(
         raise ValueError("a window must hold its anchor and at most 60 windows may share one")
     texts = _identified(docs)
     found = anchors(texts, width, anchor)
-    # sets, not lists: rows that repeat a document would each add the same passages again.
+    # rows that repeat a document would each add the same passages again, so these are made distinct where they are gathered.
     # a written table as the other side of the join lets adaptive execution split a crowded anchor
     again = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-anchors")
-    here = found.join(again.hint("shuffle_hash"), "anchor").groupBy("doc", "mark").agg(
-        F.collect_set(F.struct("anchor", "place", "n")).alias("found")
+    here = found.join(again.hint("shuffle_hash"), "anchor").repartition("doc", "mark").distinct().groupBy("doc", "mark").agg(
+        F.collect_list(F.struct("anchor", "place", "n")).alias("found")
     )
     # the side of the texts is streamed, not sorted, and shuffled once for both joins
     matched = texts.join(here.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "found")
     decided = _decided(_travelling(matched, width, dense, "passages"), width, shard_words)
-    removed = _travelling(matched, width, dense, "places").join(decided.hint("shuffle_hash"), ["k1", "k2"]).groupBy("doc", "mark").agg(
-        F.collect_set(F.struct("first", "windows")).alias("windows")
+    places = _travelling(matched, width, dense, "places").join(decided.hint("shuffle_hash"), ["k1", "k2"])
+    removed = places.select("doc", "mark", "first", "windows").repartition("doc", "mark").distinct().groupBy("doc", "mark").agg(
+        F.collect_list(F.struct("first", "windows")).alias("windows")
     )
     whole = texts.join(removed.hint("shuffle_hash"), ["doc", "mark"], "left").select(
         F.when(F.col("doc") != F.lit(_NO_ID).cast(docs.schema["doc_id"].dataType), F.col("doc")).alias("doc_id"), "text", "windows"
