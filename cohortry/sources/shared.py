@@ -31,16 +31,34 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`.
 
     Only a local session may fall back on a temporary folder: on a cluster executors could
-    not see it, so the setting is required there and must name a folder that all of them see.
+    not see it, so the setting is required there and must name a folder that all of them see. Spark resolves a bare path
+    when it starts. If that gives a local folder, nothing says whether it is mounted everywhere, so it is tried.
     """
-    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    folder, resolved = spark.conf.get(_SETTING, None), spark.sparkContext.getCheckpointDir()
     if _local(spark):
-        if not folder:
+        if not (folder or resolved):
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortry-"))
-            folder = spark.sparkContext.getCheckpointDir()
-    elif not folder or _on_one_machine(spark, folder):
-        raise ValueError(f"set {_SETTING} to a folder all executors share, with its scheme")
-    return folder
+        return folder or spark.sparkContext.getCheckpointDir()
+    if folder and not _on_one_machine(spark, folder):
+        return folder
+    if resolved and (not resolved.startswith("file:") or _seen_by_all(spark, resolved)):
+        return resolved
+    raise ValueError(f"set {_SETTING} to a folder all executors share, with its scheme")
+
+
+_tried: dict[tuple[str, str], bool] = {}
+
+
+def _seen_by_all(spark: SparkSession, folder: str) -> bool:
+    """Whether what tasks write there is found again, tried once for each application: files that a task
+    writes to a disk of its own are missed by the driver that commits them."""
+    application = spark.sparkContext.applicationId, folder
+    if application not in _tried:
+        n, path = max(2, spark.sparkContext.defaultParallelism), f"{folder}/trial-{uuid.uuid4().hex}"
+        spark.range(0, n, 1, n).write.parquet(path)
+        _tried[application] = spark.read.schema("id bigint").parquet(path).count() == n
+        delete_folder(spark, path)
+    return _tried[application]
 
 
 def use_checkpoints(spark: SparkSession) -> None:

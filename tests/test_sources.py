@@ -145,3 +145,34 @@ def test_no_local_folder_on_a_cluster(spark, master):
     # a scheme says that the folder is mounted everywhere
     for folder in ("file:///mnt/x", "hdfs://host/x"):
         assert shared.shared_folder(session(folder)) == folder
+
+
+@pytest.mark.parametrize("written", [4, 3, 0])
+def test_resolved_folder_on_a_cluster_is_tried(spark, tmp_path, written):
+    """Spark resolves a plain path; it is taken if what tasks write there is found again, and refused otherwise."""
+    tries = []
+
+    class Context:
+        _jvm, _jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+        master, defaultParallelism, applicationId = "local-cluster[2,2,1000]", 4, f"application-{tmp_path}"
+
+        def getCheckpointDir(self):
+            return f"file:{tmp_path}"
+
+    class Session:
+        sparkContext, read = Context(), spark.read
+
+        class conf:
+            get = staticmethod(lambda key, default=None: str(tmp_path))
+
+        def range(self, *args):
+            tries.append(args)
+            return spark.range(0, written, 1, 4)
+
+    for _ in range(2):
+        if written == 4:
+            assert shared.shared_folder(Session()) == f"file:{tmp_path}"
+        else:
+            with pytest.raises(ValueError):
+                shared.shared_folder(Session())
+    assert tries == [(0, 4, 1, 4)] and not list(tmp_path.iterdir())
