@@ -12,6 +12,7 @@ from cohortry.plans import SQL
 HERE = os.path.dirname(os.path.abspath(__file__))
 NAMES = [
     "age_histogram",
+    "attrition",
 ]
 
 
