@@ -13,6 +13,7 @@ HERE = os.path.dirname(os.path.abspath(__file__))
 NAMES = [
     "age_histogram",
     "attrition",
+    "bucketed_first_occurrence",
 ]
 
 
