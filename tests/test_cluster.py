@@ -14,6 +14,7 @@ NAMES = [
     "age_histogram",
     "attrition",
     "bucketed_first_occurrence",
+    "cohort",
 ]
 
 
