@@ -17,6 +17,7 @@ NAMES = [
     "cohort",
     "bucketed_after_index",
     "cohort_label_counts",
+    "cohort_of_frames",
 ]
 
 
