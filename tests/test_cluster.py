@@ -18,6 +18,7 @@ NAMES = [
     "bucketed_after_index",
     "cohort_label_counts",
     "cohort_of_frames",
+    "cohort_members",
 ]
 
 
