@@ -19,6 +19,7 @@ NAMES = [
     "cohort_label_counts",
     "cohort_of_frames",
     "cohort_members",
+    "cohort_shared_records",
 ]
 
 
