@@ -20,6 +20,7 @@ NAMES = [
     "cohort_of_frames",
     "cohort_members",
     "cohort_shared_records",
+    "csv_bad_rows",
 ]
 
 
