@@ -21,6 +21,7 @@ NAMES = [
     "cohort_members",
     "cohort_shared_records",
     "csv_bad_rows",
+    "combine_first",
 ]
 
 
