@@ -22,6 +22,7 @@ NAMES = [
     "cohort_shared_records",
     "csv_bad_rows",
     "combine_first",
+    "csv_round_trip",
 ]
 
 
