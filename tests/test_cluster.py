@@ -23,6 +23,7 @@ NAMES = [
     "csv_bad_rows",
     "combine_first",
     "csv_round_trip",
+    "fill_by_automata",
 ]
 
 
