@@ -25,6 +25,7 @@ NAMES = [
     "csv_round_trip",
     "fill_by_automata",
     "excluded_shared_records",
+    "fill_by_automaton",
 ]
 
 
