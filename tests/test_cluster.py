@@ -30,6 +30,7 @@ NAMES = [
     "follow_up_histogram",
     "index_without_outcome",
     "last_contact_without_outcome",
+    "last_contact",
 ]
 
 
