@@ -31,6 +31,7 @@ NAMES = [
     "index_without_outcome",
     "last_contact_without_outcome",
     "last_contact",
+    "match_ratio",
 ]
 
 
