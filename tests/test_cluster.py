@@ -32,6 +32,7 @@ NAMES = [
     "last_contact_without_outcome",
     "last_contact",
     "match_ratio",
+    "name_chain_changed",
 ]
 
 
