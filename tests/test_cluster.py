@@ -33,6 +33,7 @@ NAMES = [
     "last_contact",
     "match_ratio",
     "name_chain_changed",
+    "outcome_first",
 ]
 
 
