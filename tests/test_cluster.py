@@ -34,6 +34,7 @@ NAMES = [
     "match_ratio",
     "name_chain_changed",
     "outcome_first",
+    "name_chain",
 ]
 
 
